@@ -1,0 +1,18 @@
+import sys, time, json
+sys.path.insert(0, '/root/repo')
+from velas.session import get_spark
+from velas.plans.features import features_for
+from velas.functions.rounding import round_report
+from velas.oracle import features_sql
+from velas.testing import duck_connect, compare
+sf = sys.argv[1] if len(sys.argv) > 1 else '/root/testdata/sf0.01'
+variant = sys.argv[2] if len(sys.argv) > 2 else 'canonical'
+block = int(sys.argv[3]) if len(sys.argv) > 3 else 500000
+spark = get_spark('local[8]', 8)
+t = time.time()
+df = round_report(features_for(spark, sf, variant, block_rows=block))
+con = duck_connect(sf)
+t2 = time.time()
+res = compare(df, features_sql(variant), con)
+print(json.dumps(res, default=str, indent=1))
+print('time', time.time() - t)
