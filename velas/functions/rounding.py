@@ -26,7 +26,12 @@ SCALES = {
 }
 
 
-def round_expr(name: str, scale: int):
+F32 = "f32"  # relative rounding: ~7 significant digits via single precision
+
+
+def round_expr(name: str, scale):
+    if scale == F32:
+        return (F.col(name).cast("float").cast("double") + F.lit(0.0)).alias(name)
     return (F.round(F.col(name), scale) + F.lit(0.0)).alias(name)
 
 
@@ -39,6 +44,8 @@ def sql_round(name: str, scales: dict[str, int] | None = None, src: str | None =
     """The same rounding as SQL text (for the DuckDB oracle)."""
     scales = SCALES if scales is None else scales
     src = src or name
+    if scales.get(name) == F32:
+        return f"CAST(CAST({src} AS FLOAT) AS DOUBLE) + 0.0 AS {name}"
     if name in scales:
         return f"round({src}, {scales[name]}) + 0.0 AS {name}"
     return f"{src} AS {name}"

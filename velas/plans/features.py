@@ -36,6 +36,36 @@ def output_columns(variant: str) -> list[str]:
     return cols
 
 
+def _indicator_rows(bars: DataFrame, variant: str, block_rows: int, halo: int,
+                    extra: tuple[str, ...] = ()) -> DataFrame:
+    """Home rows with raw indicators and targets; OBV still block-local.
+    ``extra`` keeps intermediate columns (tp, ma_tp, mad) for inspection."""
+    seq = layout.sequence(coerce_numeric(bars), fill_cols=list(BAR_COLS))
+    blocks = layout.halo_blocks(seq, block_rows=block_rows, back=halo)
+    w = SeriesWindow(("symbol", "blk"), "rn")
+    df = add_indicators(blocks, w)
+    df = add_targets(df, w, variant)
+    keep = [c for c in output_columns(variant) if c != "obv"] + ["_signed_vol", "blk", "home"]
+    keep += [F.col(f"_{c}").alias(c) for c in extra]
+    return df.where(layout.is_home()).select(*keep)
+
+
+def _finish(df: DataFrame, fill: list[str]) -> DataFrame:
+    """Block-local running values (fills, OBV), then the block carry."""
+    run = SeriesWindow(("symbol", "blk"), "rn").running()
+    local = {c: F.last(F.col(c), ignorenulls=True).over(run) for c in fill}
+    local["obv"] = F.sum("_signed_vol").over(run)
+    return layout.carry_forward(df.withColumns(local), fill, ["obv"])
+
+
+def indicator_table(bars: DataFrame, variant: str = "canonical",
+                    block_rows: int = layout.BLOCK_ROWS, halo: int = layout.HALO_ROWS,
+                    extra: tuple[str, ...] = ()) -> DataFrame:
+    """Every bar with its raw indicators and targets (no final fill, no drop)."""
+    df = _finish(_indicator_rows(bars, variant, block_rows, halo, extra), [])
+    return df.select(*output_columns(variant), *extra)
+
+
 def features(bars: DataFrame, variant: str = "canonical", label_mode: str = "reference",
              block_rows: int = layout.BLOCK_ROWS, halo: int = layout.HALO_ROWS,
              drop_incomplete: bool = True) -> DataFrame:
@@ -46,24 +76,11 @@ def features(bars: DataFrame, variant: str = "canonical", label_mode: str = "ref
     so the last bar keeps its predecessor's targets; 'strict' fills only
     the indicators, so the last bar has no targets and is dropped.
     """
-    seq = layout.sequence(coerce_numeric(bars), fill_cols=list(BAR_COLS))
-    blocks = layout.halo_blocks(seq, block_rows=block_rows, back=halo)
-    w = SeriesWindow(("symbol", "blk"), "rn")
-    df = add_indicators(blocks, w)
-    df = add_targets(df, w, variant)
     cols = output_columns(variant)
-    keep = [c for c in cols if c != "obv"] + ["_signed_vol", "blk", "home"]
-    df = df.where(layout.is_home()).select(*keep)
-
-    # final fill + OBV: block-local running values, then the block carry
     fill = [c for c in cols if c not in ("symbol", "date", "rn", "obv")]
     if label_mode == "strict":
         fill = [c for c in fill if c not in TARGETS]
-    run = SeriesWindow(("symbol", "blk"), "rn").running()
-    local = {c: F.last(F.col(c), ignorenulls=True).over(run) for c in fill}
-    local["obv"] = F.sum("_signed_vol").over(run)
-    df = df.withColumns(local)
-    df = layout.carry_forward(df, fill, ["obv"])
+    df = _finish(_indicator_rows(bars, variant, block_rows, halo), fill)
     if drop_incomplete:
         df = df.dropna(subset=list(ESSENTIAL[variant]))
     return df.select(*cols)
@@ -72,3 +89,8 @@ def features(bars: DataFrame, variant: str = "canonical", label_mode: str = "ref
 def features_for(spark, sf_dir: str, variant: str = "canonical", **kw) -> DataFrame:
     from velas.sources.bars import bars_from_orders
     return features(bars_from_orders(spark, sf_dir), variant=variant, **kw)
+
+
+def indicators_for(spark, sf_dir: str, variant: str = "canonical", **kw) -> DataFrame:
+    from velas.sources.bars import bars_from_orders
+    return indicator_table(bars_from_orders(spark, sf_dir), variant=variant, **kw)
