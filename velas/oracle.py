@@ -495,3 +495,23 @@ JOIN (SELECT * FROM reg WHERE target = 'volatility') vz ON vz.symbol = pz.symbol
                         + _sr("value", ms) + ", CAST(rank AS INTEGER) AS rank FROM ranked")
     q["champions"] = metrics_long_ctes() + " SELECT symbol, target, model FROM ranked WHERE rank = 1"
     return q
+
+
+def oracle_queries_extra() -> dict[str, str]:
+    """Connectors and chart tables (model fits have no SQL oracle)."""
+    q: dict[str, str] = {}
+    q["sink_features"] = features_sql("canonical")
+    q["scan_bars"] = _sel(["symbol", "date", "open", "high", "low", "close", "volume"], src=f"({BARS_ORDERS})")
+    q["parse_event_props"] = "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events"
+    q["epoch_to_date"] = ("SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS epoch, "
+                          "CAST(ts AS DATE) AS date FROM events")
+    q["chart_price_history"] = f"{_w('analysis')} " + _sel(
+        ["symbol", "date", "close", "ma50", "ma200", "volume"], src="feat")
+    panels = {"rsi": ("rsi",), "macd": ("macd", "macd_signal", "macd_hist"),
+              "bollinger": ("close", "bb_upper", "bb_middle", "bb_lower"),
+              "stochastic": ("stoch_k", "stoch_d"), "volatility": ("volatility",)}
+    parts = " UNION ALL ".join(f"SELECT symbol, date, '{p}' AS panel, '{s}' AS series, {s} AS value FROM feat"
+                               for p, ss in panels.items() for s in ss)
+    q["chart_indicators"] = (f"{_w('analysis')}, ci AS ({parts}) "
+                             + _sel(["symbol", "date", "panel", "series", "value"], {"value": F32}, "ci"))
+    return q

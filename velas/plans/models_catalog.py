@@ -1,9 +1,204 @@
-"""Registered queries without a SQL oracle (model fits, file round trips).
+"""Registered queries for models, predictions, connectors and chart tables.
 
-Filled in as the model and connector operators land; checked rows-only by
-the driver and numerically by the tests.
+Model fits have no SQL oracle (rows-only check by the driver; numeric tests
+in tests/); connectors and chart tables do (see ``velas.oracle``).
 """
 
 from __future__ import annotations
 
-MODEL_QUERIES: dict = {}
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from velas.functions.rounding import F32, round_report
+from velas.operators import knn, linear, metrics, mlzoo, predict, prep
+from velas.operators.indicators import FEATURES
+from velas.plans import catalog as C
+from velas.session import materialize, scratch_path
+from velas.sources import bars as bsrc
+from velas.sources import files
+
+TARGETS = C.TARGET_COLUMNS  # price/direction/volatility -> column
+FEATS = list(FEATURES)
+
+
+def _prepared(spark, sf, target_col):
+    return prep.prepare(materialize(C._feat(spark, sf)), target_col)
+
+
+def _model_query(name: str, target: str):
+    classify = target == "direction"
+
+    def q(spark, sf):
+        out = mlzoo.fit_predict(_prepared(spark, sf, TARGETS[target]), name, FEATS, classify)
+        return out.withColumns({"target": F.lit(target), "model": F.lit(name)})
+    return q
+
+
+def fast_predictions(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Hold-out predictions of the linear family and KNN for all targets
+    (long: symbol, target, model, rn, y, p, prob_up) and the feature table."""
+    feat = materialize(C._feat(spark, sf))
+    parts = []
+    for target, col in TARGETS.items():
+        prepared = prep.prepare(feat, col)
+        classify = target == "direction"
+        k = knn.knn_predict(prepared, FEATS, classify=classify)
+        if not classify:
+            k = k.withColumn("prob_up", F.lit(None).cast("double"))
+            coefs = linear.fit_linear(prepared, FEATS)
+            test = prepared.where(~F.col("is_train")).select("symbol", "rn", "label", *FEATS)
+            lin = linear.predict_linear(test, coefs, FEATS).select(
+                "symbol", "rn", F.col("label").cast("double").alias("y"), "p", "model",
+                F.lit(None).cast("double").alias("prob_up"))
+            parts.append(lin.withColumn("target", F.lit(target)))
+        parts.append(k.select("symbol", "rn", F.col("y").cast("double").alias("y"), "p", "prob_up")
+                     .withColumns({"target": F.lit(target), "model": F.lit("KNN")}))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return materialize(out), feat
+
+
+FAST_ORDER = ([("price", m, i) for i, m in enumerate(linear.LINEAR_MODELS + ("KNN",))]
+              + [("volatility", m, i) for i, m in enumerate(linear.LINEAR_MODELS + ("KNN",))]
+              + [("direction", "KNN", 0)])
+
+
+def _metrics(pred: DataFrame) -> DataFrame:
+    reg = metrics.regression_metrics(pred.where("target != 'direction'"))
+    cls = metrics.classification_metrics(pred.where("target = 'direction'"))
+    return metrics.metrics_long(reg, cls)
+
+
+def q_predict_next_bar(spark, sf):
+    pred, feat = fast_predictions(spark, sf)
+    order = spark.createDataFrame(FAST_ORDER, "target string, model string, model_ordinal int")
+    champs = metrics.best_model(_metrics(pred), order).select(
+        "symbol", "target", F.col("best_model").alias("model"))
+    latest = C.clean.latest_n(feat, 1).select("symbol", "rn", "date", "close")
+    return predict.next_bar_record(predict.champion_predictions(pred, champs), latest)
+
+
+def q_prediction_report(spark, sf):
+    return predict.prediction_report(q_predict_next_bar(spark, sf))
+
+
+def q_sink_predictions(spark, sf):
+    rec = q_predict_next_bar(spark, sf).withColumn("run_date", F.current_date())
+    path = scratch_path(spark, f"predictions-{uuid.uuid4().hex}")
+    files.write_table(rec, path, partition_by=["run_date"], fmt="csv")
+    return spark.read.option("header", True).csv(path)
+
+
+def q_model_bakeoff(spark, sf):
+    """Every model of the family on every target: hold-out metrics, long form."""
+    feat = materialize(C._feat(spark, sf))
+    parts = []
+    for target, col in TARGETS.items():
+        prepared = prep.prepare(feat, col)
+        classify = target == "direction"
+        names = mlzoo.CLASSIFICATION_MODELS if classify else mlzoo.REGRESSION_MODELS
+        for name in names:
+            if name in linear.LINEAR_MODELS:
+                continue
+            p = mlzoo.fit_predict(prepared, name, FEATS, classify).select("symbol", "rn", "y", "p")
+            parts.append(p.withColumns({"target": F.lit(target), "model": F.lit(name)}))
+        if not classify:
+            coefs = linear.fit_linear(prepared, FEATS)
+            test = prepared.where(~F.col("is_train")).select("symbol", "rn", "label", *FEATS)
+            lin = linear.predict_linear(test, coefs, FEATS).select(
+                "symbol", "rn", F.col("label").cast("double").alias("y"), "p", "model")
+            parts.append(lin.withColumn("target", F.lit(target)))
+    pred = parts[0]
+    for p in parts[1:]:
+        pred = pred.unionByName(p)
+    return round_report(_metrics(materialize(pred)), {"value": F32})
+
+
+def q_sink_features(spark, sf):
+    """Write the feature table partitioned by symbol and read it back."""
+    path = scratch_path(spark, f"features-{uuid.uuid4().hex}")
+    files.write_table(C._feat(spark, sf), path, partition_by=["symbol"])
+    return round_report(spark.read.parquet(path))
+
+
+def q_scan_bars(spark, sf):
+    """Round trip of the bars through per-symbol CSV files."""
+    path = scratch_path(spark, f"bars-csv-{uuid.uuid4().hex}")
+    files.write_bars_csv(bsrc.bars_from_orders(spark, sf), path)
+    return round_report(files.scan_bars(spark, path))
+
+
+def q_sink_metrics(spark, sf):
+    pred, _ = fast_predictions(spark, sf)
+    path = scratch_path(spark, f"metrics-{uuid.uuid4().hex}")
+    files.write_table(_metrics(pred), path, fmt="csv")
+    return spark.read.option("header", True).option("inferSchema", True).csv(path)
+
+
+def q_model_roundtrip(spark, sf):
+    """Persist prep parameters and fitted coefficients, reload, re-score:
+    the reloaded model must give the same predictions."""
+    feat = materialize(C._feat(spark, sf))
+    prepared = prep.prepare(feat, "next_close")
+    coefs = linear.fit_linear(prepared, FEATS)
+    base = scratch_path(spark, f"models-{uuid.uuid4().hex}")
+    files.write_table(coefs, f"{base}/coefficients", partition_by=["symbol"])
+    files.write_table(prep.prep_params(feat), f"{base}/prep_params", partition_by=["symbol"])
+    loaded = spark.read.parquet(f"{base}/coefficients")
+    test = prepared.where(~F.col("is_train")).select("symbol", "rn", *FEATS)
+    a = linear.predict_linear(test, coefs, FEATS).select("symbol", "rn", "model", F.col("p").alias("p_fit"))
+    b = linear.predict_linear(test, loaded, FEATS).select("symbol", "rn", "model", F.col("p").alias("p_loaded"))
+    return a.join(b, ["symbol", "rn", "model"]).withColumn(
+        "same", F.abs(F.col("p_fit") - F.col("p_loaded")) <= F.lit(1e-9) * F.abs(F.col("p_fit")))
+
+
+def q_parse_event_props(spark, sf):
+    ev = bsrc.read_table(spark, sf, "events")
+    return ev.select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+def q_epoch_to_date(spark, sf):
+    ev = bsrc.read_table(spark, sf, "events")
+    secs = F.unix_seconds(F.col("ts").cast("timestamp"))
+    return ev.select("event_id", secs.alias("epoch"), files.epoch_to_date(secs).alias("date"))
+
+
+def q_chart_price_history(spark, sf):
+    return round_report(predict.chart_price_history(C._feat(spark, sf, "analysis")))
+
+
+def q_chart_indicators(spark, sf):
+    return round_report(predict.chart_indicators(C._feat(spark, sf, "analysis")), {"value": F32})
+
+
+MODEL_QUERIES = {
+    "ols_predict": _model_query("Linear Regression", "price"),
+    "ridge_predict": _model_query("Ridge Regression", "price"),
+    "lasso_predict": _model_query("Lasso Regression", "price"),
+    "elastic_predict": _model_query("ElasticNet", "price"),
+    "rf_regress": _model_query("Random Forest", "volatility"),
+    "gbt_regress": _model_query("Gradient Boosting", "volatility"),
+    "xgb_like_regress": _model_query("XGBoost", "volatility"),
+    "rff_regress": _model_query("SVR", "price"),
+    "logistic_predict": _model_query("Logistic Regression", "direction"),
+    "rf_classify": _model_query("Random Forest", "direction"),
+    "gbt_classify": _model_query("Gradient Boosting", "direction"),
+    "xgb_like_classify": _model_query("XGBoost", "direction"),
+    "rff_svc": _model_query("SVC", "direction"),
+    "mlp_classify": _model_query("MLP", "direction"),
+    "model_bakeoff": q_model_bakeoff,
+    "predict_next_bar": q_predict_next_bar,
+    "prediction_report": q_prediction_report,
+    "sink_predictions": q_sink_predictions,
+    "sink_features": q_sink_features,
+    "scan_bars": q_scan_bars,
+    "sink_metrics": q_sink_metrics,
+    "model_roundtrip": q_model_roundtrip,
+    "parse_event_props": q_parse_event_props,
+    "epoch_to_date": q_epoch_to_date,
+    "chart_price_history": q_chart_price_history,
+    "chart_indicators": q_chart_indicators,
+}
