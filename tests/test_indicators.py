@@ -135,7 +135,7 @@ def test_symbols_do_not_leak(spark):
 
 def test_properties(spark):
     o, h, lo, c, v = _series(400, seed=9)
-    pdf = features(_frame(spark, o, h, lo, c, v)).toPandas()
+    pdf = features(_frame(spark, o, h, lo, c, v)).orderBy("rn").toPandas()
     r = pdf["rsi"].dropna()
     assert ((r >= 0) & (r <= 100)).all()
     bb = pdf.dropna(subset=["bb_upper"])

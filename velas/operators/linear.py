@@ -42,7 +42,9 @@ def _chunk_r(d: int):
         x = np.vstack(pdf["x"].to_numpy()) if len(pdf) else np.zeros((0, d))
         a = np.column_stack([np.ones(len(pdf)), x, pdf["label"].to_numpy(dtype=float)])
         r = np.linalg.qr(a, mode="r")
-        return pd.DataFrame({"symbol": pdf["symbol"].iloc[0], "n": len(pdf),
+        counts = np.zeros(len(r), dtype=np.int64)
+        counts[0] = len(pdf)  # the chunk's row count, carried once
+        return pd.DataFrame({"symbol": pdf["symbol"].iloc[0], "n": counts,
                              "r": [row.tolist() for row in r]})
     return fn
 
