@@ -37,12 +37,16 @@ def _dist(qx: str = "q_x", tx: str = "t_x"):
     return F.sqrt(F.aggregate(sq, F.lit(0.0), lambda acc, v: acc + v))
 
 
-def neighbours(prepared: DataFrame, features, k: int = K, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(symbol, rn, t_rn, t_label, dist, nn_rank) for the k nearest training
-    rows of every test row.  Ties in distance go to the earlier training row."""
+def neighbours(prepared: DataFrame, features, k: int = K, bucket_rows: int = BUCKET_ROWS,
+               labels: tuple[str, ...] = ("label",)) -> DataFrame:
+    """(symbol, rn, y*, t_rn, t_label*, dist, nn_rank) for the k nearest
+    training rows of every test row; one (y_x, t_x) pair per label column
+    (plain ``y``/``t_label`` for the single column ``label``).  Ties in
+    distance go to the earlier training row."""
     d = len(features)
     proj = sum((F.col(f) for f in features[1:]), F.col(features[0])) / F.lit(math.sqrt(d))
-    rows = materialize(prepared.select("symbol", "rn", "is_train", "label",
+    lab = {c: ("" if c == "label" else f"_{c}") for c in labels}
+    rows = materialize(prepared.select("symbol", "rn", "is_train", *labels,
                                        F.array(*[F.col(f) for f in features]).alias("x"),
                                        proj.alias("p")))
     train = rows.where("is_train")
@@ -61,9 +65,11 @@ def neighbours(prepared: DataFrame, features, k: int = K, bucket_rows: int = BUC
 
     t = train.join(st, "symbol").select(
         "symbol", bucket(F.col("p")).alias("bucket"), F.col("rn").alias("t_rn"),
-        F.col("label").alias("t_label"), F.col("p").alias("t_p"), F.col("x").alias("t_x"))
+        *[F.col(c).alias(f"t_label{sfx}") for c, sfx in lab.items()],
+        F.col("p").alias("t_p"), F.col("x").alias("t_x"))
     q = test.join(st, "symbol").select(
-        "symbol", "rn", F.col("label").alias("y"), F.col("p").alias("q_p"), "pmin", "w", "nb",
+        "symbol", "rn", *[F.col(c).alias(f"y{sfx}") for c, sfx in lab.items()],
+        F.col("p").alias("q_p"), "pmin", "w", "nb",
         bucket(F.col("p")).alias("_qb"), F.col("x").alias("q_x"))
 
     # seed radius from the own and neighbouring buckets
@@ -84,8 +90,8 @@ def neighbours(prepared: DataFrame, features, k: int = K, bucket_rows: int = BUC
     probes = q.withColumn("bucket", F.explode(F.sequence(lo, hi)))
     cand = probes.join(t, ["symbol", "bucket"]).where(
         F.col("radius").isNull() | (F.abs(F.col("t_p") - F.col("q_p")) <= r))
-    cand = cand.select("symbol", "rn", "y", "t_rn", "t_label",
-                       _dist().alias("dist"))
+    cand = cand.select("symbol", "rn", *[f"y{sfx}" for sfx in lab.values()], "t_rn",
+                       *[f"t_label{sfx}" for sfx in lab.values()], _dist().alias("dist"))
     wk = Window.partitionBy("symbol", "rn").orderBy("dist", "t_rn")
     return (cand.withColumn("nn_rank", F.row_number().over(wk)).where(F.col("nn_rank") <= k))
 
@@ -101,3 +107,27 @@ def knn_predict(prepared: DataFrame, features, k: int = K, classify: bool = Fals
     return agg.select("symbol", "rn", F.col("y").cast("double").alias("y"),
                       F.when(F.col("share") > 0.5, F.lit(1.0)).otherwise(F.lit(0.0)).alias("p"),
                       F.col("share").alias("prob_up"))
+
+
+def knn_predict_multi(prepared: DataFrame, features, labels: dict[str, bool], k: int = K) -> DataFrame:
+    """One neighbour search shared by several label columns.
+
+    ``labels`` maps a label column to classify?; output is long:
+    (symbol, rn, label, y, p, prob_up)."""
+    nb = neighbours(prepared, features, k, labels=tuple(labels))
+    aggs = []
+    for c in labels:
+        aggs += [F.first(f"y_{c}").alias(f"y_{c}"),
+                 F.avg(F.col(f"t_label_{c}").cast("double")).alias(f"share_{c}")]
+    agg = nb.groupBy("symbol", "rn").agg(*aggs)
+    parts = []
+    for c, classify in labels.items():
+        share = F.col(f"share_{c}")
+        p = F.when(share > 0.5, F.lit(1.0)).otherwise(F.lit(0.0)) if classify else share
+        parts.append(agg.select("symbol", "rn", F.lit(c).alias("label"),
+                                F.col(f"y_{c}").cast("double").alias("y"), p.alias("p"),
+                                (share if classify else F.lit(None).cast("double")).alias("prob_up")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

@@ -86,6 +86,18 @@ def prepare(feat: DataFrame, target: str, features=FEATURES, test_size: float =
     return materialize(out) if checkpoint else out
 
 
+def prepare_multi(feat: DataFrame, labels: dict[str, str], features=FEATURES,
+                  test_size: float = TEST_SIZE, impute_scope: str = "all") -> DataFrame:
+    """Like ``prepare`` with several label columns ``y_<name>`` (one per
+    target): the rows, imputation and scaling do not depend on the target,
+    so every target's models share one prepared table."""
+    df = split_flags(feat.select("symbol", "date", "rn", *features,
+                                 *[F.col(c).alias(f"y_{n}") for n, c in labels.items()]), test_size)
+    df = materialize(df)
+    imputed = apply_imputer(df, fit_imputer(df, features, impute_scope), features)
+    return materialize(apply_scaler(imputed, fit_scaler(imputed, features), features))
+
+
 def prep_params(feat: DataFrame, features=FEATURES, test_size: float = TEST_SIZE,
                 impute_scope: str = "all", checkpoint: bool = True) -> DataFrame:
     """Long table (symbol, feature, ordinal, fill_mean, mean, sd_pop, dropped)."""

@@ -244,17 +244,22 @@ TARGET_COLUMNS = {"price": "next_close", "direction": "next_direction",
                   "volatility": "next_volatility"}
 
 
+def knn_all_targets(feat: DataFrame) -> DataFrame:
+    """KNN hold-out predictions for every target from one prepared table and
+    one neighbour search: (symbol, target, rn, y, p, prob_up)."""
+    prepared = prep.prepare_multi(feat, TARGET_COLUMNS)
+    labels = {f"y_{t}": t == "direction" for t in TARGET_COLUMNS}
+    out = knn.knn_predict_multi(prepared, list(FEATURES), labels)
+    return out.withColumn("target", F.substring(F.col("label"), 3, 100)).drop("label")
+
+
 def holdout_predictions(spark, sf) -> DataFrame:
     """Long table (symbol, target, model, rn, y, p) on the test split."""
     feat = materialize(_feat(spark, sf))
-    parts = []
-    for target, col in TARGET_COLUMNS.items():
-        classify = target == "direction"
-        prepared = prep.prepare(feat, col)
-        k = knn.knn_predict(prepared, list(FEATURES), classify=classify).select(
-            "symbol", "rn", "y", "p")
-        parts.append(k.withColumns({"target": F.lit(target), "model": F.lit("KNN")}))
-        test = prep.split_flags(feat).where(~F.col("is_train"))
+    parts = [knn_all_targets(feat).select("symbol", "rn", "y", "p", "target")
+             .withColumn("model", F.lit("KNN"))]
+    test = prep.split_flags(feat).where(~F.col("is_train"))
+    for target in TARGET_COLUMNS:
         if target == "price":
             pers = test.select("symbol", "rn", F.col("next_close").alias("y"), F.col("close").alias("p"))
         elif target == "direction":

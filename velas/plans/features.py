@@ -14,6 +14,7 @@ from velas.functions.windows import SeriesWindow
 from velas.operators.indicators import FEATURES, add_indicators
 from velas.operators.targets import ESSENTIAL, TARGETS, add_targets
 from velas.plans import layout
+from velas.session import materialize
 from velas.sources.bars import BAR_COLS
 
 # Column order of the feature table.
@@ -51,7 +52,13 @@ def _indicator_rows(bars: DataFrame, variant: str, block_rows: int, halo: int,
 
 
 def _finish(df: DataFrame, fill: list[str]) -> DataFrame:
-    """Block-local running values (fills, OBV), then the block carry."""
+    """Block-local running values (fills, OBV), then the block carry.
+
+    The indicator rows are written once (reliable checkpoint in the shared
+    folder): the carry reads them twice (per-block summary and join back),
+    and re-running ~40 window operators for the second read costs more than
+    the write."""
+    df = materialize(df)
     run = SeriesWindow(("symbol", "blk"), "rn").running()
     local = {c: F.last(F.col(c), ignorenulls=True).over(run) for c in fill}
     local["obv"] = F.sum("_signed_vol").over(run)

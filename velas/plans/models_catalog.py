@@ -38,23 +38,22 @@ def _model_query(name: str, target: str):
 
 def fast_predictions(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Hold-out predictions of the linear family and KNN for all targets
-    (long: symbol, target, model, rn, y, p, prob_up) and the feature table."""
+    (long: symbol, target, model, rn, y, p, prob_up) and the feature table.
+    One prepared table and one neighbour search serve all three targets."""
     feat = materialize(C._feat(spark, sf))
-    parts = []
-    for target, col in TARGETS.items():
-        prepared = prep.prepare(feat, col)
-        classify = target == "direction"
-        k = knn.knn_predict(prepared, FEATS, classify=classify)
-        if not classify:
-            k = k.withColumn("prob_up", F.lit(None).cast("double"))
-            coefs = linear.fit_linear(prepared, FEATS)
-            test = prepared.where(~F.col("is_train")).select("symbol", "rn", "label", *FEATS)
-            lin = linear.predict_linear(test, coefs, FEATS).select(
-                "symbol", "rn", F.col("label").cast("double").alias("y"), "p", "model",
-                F.lit(None).cast("double").alias("prob_up"))
-            parts.append(lin.withColumn("target", F.lit(target)))
-        parts.append(k.select("symbol", "rn", F.col("y").cast("double").alias("y"), "p", "prob_up")
-                     .withColumns({"target": F.lit(target), "model": F.lit("KNN")}))
+    prepared = prep.prepare_multi(feat, TARGETS)
+    labels = {f"y_{t}": t == "direction" for t in TARGETS}
+    k = knn.knn_predict_multi(prepared, FEATS, labels)
+    parts = [k.withColumn("target", F.substring(F.col("label"), 3, 100)).drop("label")
+             .withColumn("model", F.lit("KNN"))]
+    test = prepared.where(~F.col("is_train"))
+    for target in ("price", "volatility"):
+        coefs = linear.fit_linear(prepared.withColumn("label", F.col(f"y_{target}")), FEATS)
+        lin = linear.predict_linear(test.select("symbol", "rn", F.col(f"y_{target}").alias("label"), *FEATS),
+                                    coefs, FEATS).select(
+            "symbol", "rn", F.col("label").cast("double").alias("y"), "p", "model",
+            F.lit(None).cast("double").alias("prob_up"))
+        parts.append(lin.withColumn("target", F.lit(target)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -93,28 +92,25 @@ def q_sink_predictions(spark, sf):
 
 
 def q_model_bakeoff(spark, sf):
-    """Every model of the family on every target: hold-out metrics, long form."""
-    feat = materialize(C._feat(spark, sf))
-    parts = []
-    for target, col in TARGETS.items():
-        prepared = prep.prepare(feat, col)
+    """Every model of the family on every target: hold-out metrics, long form.
+    Linear family and KNN come from the shared grouped / relational passes;
+    the pyspark.ml models are fitted per symbol."""
+    pred, feat = fast_predictions(spark, sf)
+    parts = [pred.select("symbol", "rn", "y", "p", "target", "model")]
+    prepared = prep.prepare_multi(feat, TARGETS)
+    for target in TARGETS:
         classify = target == "direction"
         names = mlzoo.CLASSIFICATION_MODELS if classify else mlzoo.REGRESSION_MODELS
+        rows = prepared.withColumn("label", F.col(f"y_{target}"))
         for name in names:
-            if name in linear.LINEAR_MODELS:
+            if name in linear.LINEAR_MODELS or name == "KNN":
                 continue
-            p = mlzoo.fit_predict(prepared, name, FEATS, classify).select("symbol", "rn", "y", "p")
+            p = mlzoo.fit_predict(rows, name, FEATS, classify).select("symbol", "rn", "y", "p")
             parts.append(p.withColumns({"target": F.lit(target), "model": F.lit(name)}))
-        if not classify:
-            coefs = linear.fit_linear(prepared, FEATS)
-            test = prepared.where(~F.col("is_train")).select("symbol", "rn", "label", *FEATS)
-            lin = linear.predict_linear(test, coefs, FEATS).select(
-                "symbol", "rn", F.col("label").cast("double").alias("y"), "p", "model")
-            parts.append(lin.withColumn("target", F.lit(target)))
-    pred = parts[0]
+    out = parts[0]
     for p in parts[1:]:
-        pred = pred.unionByName(p)
-    return round_report(_metrics(materialize(pred)), {"value": F32})
+        out = out.unionByName(p)
+    return round_report(_metrics(materialize(out)), {"value": F32})
 
 
 def q_sink_features(spark, sf):
