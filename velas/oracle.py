@@ -501,6 +501,7 @@ def oracle_queries_extra() -> dict[str, str]:
     """Connectors and chart tables (model fits have no SQL oracle)."""
     q: dict[str, str] = {}
     q["sink_features"] = features_sql("canonical")
+    q["union_symbols"] = _sel(["symbol", "date", "open", "high", "low", "close", "volume"], src=f"({BARS_ORDERS})")
     q["scan_bars"] = _sel(["symbol", "date", "open", "high", "low", "close", "volume"], src=f"({BARS_ORDERS})")
     q["parse_event_props"] = "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events"
     q["epoch_to_date"] = ("SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS epoch, "
@@ -514,4 +515,5 @@ def oracle_queries_extra() -> dict[str, str]:
                                for p, ss in panels.items() for s in ss)
     q["chart_indicators"] = (f"{_w('analysis')}, ci AS ({parts}) "
                              + _sel(["symbol", "date", "panel", "series", "value"], {"value": F32}, "ci"))
+    q["backtest_persistence"] = oracle_queries()["backtest_pairs"]
     return q

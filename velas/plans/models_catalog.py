@@ -170,7 +170,40 @@ def q_chart_indicators(spark, sf):
     return round_report(predict.chart_indicators(C._feat(spark, sf, "analysis")), {"value": F32})
 
 
+def q_union_symbols(spark, sf):
+    """Per-symbol sources combined into one bar table."""
+    bars = bsrc.bars_from_orders(spark, sf)
+    frames = [bars.where(F.col("symbol") == s) for s in C.stats.symbol_list(bars)]
+    return round_report(bsrc.union_symbols(frames))
+
+
+def q_backtest_models(spark, sf):
+    """M21 with fitted models: the last 60 bars of every series scored by the
+    linear family (fitted on the chronological training split) and by KNN
+    (training rows as neighbours); actuals from the next bar; ``in_sample``
+    marks bars that were also training rows."""
+    from velas.operators import backtest
+    feat = materialize(C._feat(spark, sf))
+    prepared = prep.prepare_multi(feat, TARGETS)
+    window = backtest.backtest_rows(feat).select("symbol", "rn", "in_sample")
+    rows = prepared.join(window, ["symbol", "rn"])
+    parts = []
+    for target in ("price", "volatility"):
+        coefs = linear.fit_linear(prepared.withColumn("label", F.col(f"y_{target}")), FEATS)
+        scored = linear.predict_linear(rows.select("symbol", "rn", "in_sample", F.col(f"y_{target}").alias("y"),
+                                                   *FEATS), coefs, FEATS)
+        parts.append(scored.select("symbol", "rn", "in_sample", "model", F.lit(target).alias("target"),
+                                   F.col("y").cast("double").alias("y"), "p"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 MODEL_QUERIES = {
+    "union_symbols": q_union_symbols,
+    "backtest_models": q_backtest_models,
+    "backtest_persistence": C.q_backtest_pairs,
     "ols_predict": _model_query("Linear Regression", "price"),
     "ridge_predict": _model_query("Ridge Regression", "price"),
     "lasso_predict": _model_query("Lasso Regression", "price"),
