@@ -52,7 +52,9 @@ def add_ema(df: DataFrame, w: SeriesWindow, x: str, out: str, span: int,
     d = 1.0 - a
     tmp = f"_{out}"
     k, sb, p, z, lsum, el = (f"{tmp}_{s}" for s in ("k", "sb", "p", "z", "lsum", "l"))
-    first_valid = F.min(F.when(F.col(x).isNotNull(), F.col(q))).over(w.whole())
+    # running minimum: equals the first valid offset on every row at or after
+    # it (and is NULL before it), without buffering the whole partition
+    first_valid = F.min(F.when(F.col(x).isNotNull(), F.col(q))).over(w.running())
     df = df.withColumn(k, F.col(q) - first_valid)
     df = df.withColumns({
         sb: F.when(F.col(k) >= 0, F.floor(F.col(k) / sub)),

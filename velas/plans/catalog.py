@@ -32,6 +32,12 @@ def _bars(spark, sf):
     return bsrc.bars_from_orders(spark, sf)
 
 
+def _bars_once(spark, sf):
+    """Bars written once for queries that read them more than once, so the
+    source table is scanned and aggregated a single time."""
+    return materialize(_bars(spark, sf))
+
+
 def _ind(spark, sf, variant="canonical", extra=()):
     return fplan.indicator_table(_bars(spark, sf), variant=variant, extra=extra)
 
@@ -60,7 +66,7 @@ def q_coerce_numeric(spark, sf):
 
 
 def q_ffill(spark, sf):
-    seq = layout.sequence(fplan.coerce_numeric(_bars(spark, sf)), fill_cols=list(bsrc.BAR_COLS))
+    seq = layout.sequence(fplan.coerce_numeric(_bars_once(spark, sf)), fill_cols=list(bsrc.BAR_COLS))
     return round_report(seq.select("symbol", "date", "rn", *bsrc.BAR_COLS))
 
 
@@ -122,7 +128,7 @@ def q_latest_n(spark, sf):
 
 
 def q_period_filter(spark, sf):
-    return round_report(clean.period_filter(_bars(spark, sf), PERIOD))
+    return round_report(clean.period_filter(_bars_once(spark, sf), PERIOD))
 
 
 def q_filter_symbols(spark, sf):
@@ -142,7 +148,7 @@ def q_series_profile(spark, sf):
 
 
 def q_symbol_lookup(spark, sf):
-    bars = _bars(spark, sf)
+    bars = _bars_once(spark, sf)
     latest = clean.latest_n(layout.sequence(bars), 1).select("symbol", "date", "close")
     return round_report(clean.symbol_lookup(latest, clean.series_profile(bars)))
 
@@ -156,17 +162,17 @@ def q_indicator_corr(spark, sf):
 
 
 def q_close_matrix(spark, sf):
-    bars = _bars(spark, sf)
+    bars = _bars_once(spark, sf)
     return round_report(stats.close_matrix(bars, stats.symbol_list(bars)))
 
 
 def q_price_corr(spark, sf):
-    bars = _bars(spark, sf)
+    bars = _bars_once(spark, sf)
     return round_report(stats.price_corr(bars, stats.symbol_list(bars)), {"corr": 6})
 
 
 def q_return_corr(spark, sf):
-    bars = _bars(spark, sf)
+    bars = _bars_once(spark, sf)
     return round_report(stats.return_corr(bars, stats.symbol_list(bars)), {"corr": 6})
 
 

@@ -41,7 +41,9 @@ def _indicator_rows(bars: DataFrame, variant: str, block_rows: int, halo: int,
                     extra: tuple[str, ...] = ()) -> DataFrame:
     """Home rows with raw indicators and targets; OBV still block-local.
     ``extra`` keeps intermediate columns (tp, ma_tp, mad) for inspection."""
-    seq = layout.sequence(coerce_numeric(bars), fill_cols=list(BAR_COLS))
+    # the bars (far smaller than the tables they come from) are written once:
+    # the numbering reads them twice (per-bucket counts and the rows)
+    seq = layout.sequence(materialize(coerce_numeric(bars)), fill_cols=list(BAR_COLS))
     blocks = layout.halo_blocks(seq, block_rows=block_rows, back=halo)
     w = SeriesWindow(("symbol", "blk"), "rn")
     df = add_indicators(blocks, w)

@@ -172,7 +172,7 @@ def q_chart_indicators(spark, sf):
 
 def q_union_symbols(spark, sf):
     """Per-symbol sources combined into one bar table."""
-    bars = bsrc.bars_from_orders(spark, sf)
+    bars = C._bars_once(spark, sf)
     frames = [bars.where(F.col("symbol") == s) for s in C.stats.symbol_list(bars)]
     return round_report(bsrc.union_symbols(frames))
 
