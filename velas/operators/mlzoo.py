@@ -33,7 +33,7 @@ from velas.operators import knn, linear
 
 SEED = 42
 RFF_DIM = 256
-FIT_THREADS = 4
+FIT_THREADS = 8
 
 # Declared model order per target (ties go to the earlier one).
 REGRESSION_MODELS = ("Linear Regression", "Ridge Regression", "Lasso Regression", "ElasticNet",
@@ -148,3 +148,26 @@ def fit_predict(prepared: DataFrame, name: str, features, classify: bool) -> Dat
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def fit_many(jobs) -> DataFrame:
+    """Fit many pyspark.ml models at once.  ``jobs``: iterable of
+    (prepared, name, features, classify, tags) - one hold-out prediction
+    frame per (job, symbol), tagged with the ``tags`` columns; all fits are
+    submitted to one thread pool so small fits overlap."""
+    tasks = []
+    for prepared, name, features, classify, tags in jobs:
+        for sym in symbols_of(prepared):
+            tasks.append((prepared, sym, name, features, classify, tags))
+
+    def run(t):
+        prepared, sym, name, features, classify, tags = t
+        out = _fit_one(prepared, sym, name, features, classify)[0].select("symbol", "rn", "y", "p")
+        return out.withColumns({k: F.lit(v) for k, v in tags.items()})
+
+    with ThreadPoolExecutor(max_workers=FIT_THREADS) as pool:
+        parts = list(pool.map(run, tasks))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -98,15 +98,14 @@ def q_model_bakeoff(spark, sf):
     pred, feat = fast_predictions(spark, sf)
     parts = [pred.select("symbol", "rn", "y", "p", "target", "model")]
     prepared = prep.prepare_multi(feat, TARGETS)
+    jobs = []
     for target in TARGETS:
         classify = target == "direction"
         names = mlzoo.CLASSIFICATION_MODELS if classify else mlzoo.REGRESSION_MODELS
         rows = prepared.withColumn("label", F.col(f"y_{target}"))
-        for name in names:
-            if name in linear.LINEAR_MODELS or name == "KNN":
-                continue
-            p = mlzoo.fit_predict(rows, name, FEATS, classify).select("symbol", "rn", "y", "p")
-            parts.append(p.withColumns({"target": F.lit(target), "model": F.lit(name)}))
+        jobs += [(rows, name, FEATS, classify, {"target": target, "model": name})
+                 for name in names if name not in linear.LINEAR_MODELS and name != "KNN"]
+    parts.append(mlzoo.fit_many(jobs))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
