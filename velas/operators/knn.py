@@ -31,10 +31,16 @@ K = 5
 BUCKET_ROWS = 32
 
 
-def _dist(qx: str = "q_x", tx: str = "t_x"):
-    """Euclidean distance of two equal-length arrays, summed left to right."""
-    sq = F.zip_with(F.col(qx), F.col(tx), lambda a, b: (a - b) * (a - b))
-    return F.sqrt(F.aggregate(sq, F.lit(0.0), lambda acc, v: acc + v))
+def _dist(d: int, qx: str = "q_x", tx: str = "t_x"):
+    """Euclidean distance of two d-element arrays, summed left to right.
+
+    Written with indexed elements (not higher-order functions) so it stays
+    inside whole-stage code generation."""
+    total = None
+    for i in range(d):
+        diff = F.col(qx)[i] - F.col(tx)[i]
+        total = diff * diff if total is None else total + diff * diff
+    return F.sqrt(total)
 
 
 def neighbours(prepared: DataFrame, features, k: int = K, bucket_rows: int = BUCKET_ROWS,
@@ -75,7 +81,7 @@ def neighbours(prepared: DataFrame, features, k: int = K, bucket_rows: int = BUC
     # seed radius from the own and neighbouring buckets
     seed = q.withColumn("bucket", F.explode(F.sequence(F.col("_qb") - 1, F.col("_qb") + 1)))
     seed = seed.join(t, ["symbol", "bucket"]).select(
-        "symbol", "rn", _dist().alias("dist"))
+        "symbol", "rn", _dist(d).alias("dist"))
     ws = Window.partitionBy("symbol", "rn").orderBy("dist")
     radius = (seed.withColumn("_r", F.row_number().over(ws)).where(F.col("_r") == k)
               .select("symbol", "rn", F.col("dist").alias("radius")))
@@ -91,7 +97,7 @@ def neighbours(prepared: DataFrame, features, k: int = K, bucket_rows: int = BUC
     cand = probes.join(t, ["symbol", "bucket"]).where(
         F.col("radius").isNull() | (F.abs(F.col("t_p") - F.col("q_p")) <= r))
     cand = cand.select("symbol", "rn", *[f"y{sfx}" for sfx in lab.values()], "t_rn",
-                       *[f"t_label{sfx}" for sfx in lab.values()], _dist().alias("dist"))
+                       *[f"t_label{sfx}" for sfx in lab.values()], _dist(d).alias("dist"))
     wk = Window.partitionBy("symbol", "rn").orderBy("dist", "t_rn")
     return (cand.withColumn("nn_rank", F.row_number().over(wk)).where(F.col("nn_rank") <= k))
 
