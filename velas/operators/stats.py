@@ -24,8 +24,9 @@ DENSITY_CUT = 3.0
 
 
 def _long_pairs(wide: DataFrame, keys: list[str], names: list[str], prefix: str) -> DataFrame:
+    """Full matrix in long form from the upper triangle (corr is symmetric)."""
     entries = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"),
-                        F.col(f"{prefix}{i}_{j}").alias("corr"))
+                        F.col(f"{prefix}{min(i, j)}_{max(i, j)}").alias("corr"))
                for i, a in enumerate(names) for j, b in enumerate(names)]
     return wide.select(*keys, F.explode(F.array(*entries)).alias("_p")).select(*keys, "_p.*")
 
@@ -33,7 +34,8 @@ def _long_pairs(wide: DataFrame, keys: list[str], names: list[str], prefix: str)
 def indicator_corr(feat: DataFrame, columns=CORR_COLUMNS) -> DataFrame:
     """Pearson correlation of every indicator pair per symbol (pairwise complete)."""
     cols = list(columns)
-    aggs = [F.corr(a, b).alias(f"c{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    aggs = [F.corr(a, b).alias(f"c{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols)
+            if i <= j]
     wide = feat.groupBy("symbol").agg(*aggs)
     return _long_pairs(wide, ["symbol"], cols, "c")
 
@@ -66,7 +68,7 @@ def close_matrix(bars: DataFrame, symbols: list[str]) -> DataFrame:
 def price_corr(bars: DataFrame, symbols: list[str]) -> DataFrame:
     wide = close_matrix_wide(bars, symbols)
     n = len(symbols)
-    aggs = [F.corr(f"s{i}", f"s{j}").alias(f"c{i}_{j}") for i in range(n) for j in range(n)]
+    aggs = [F.corr(f"s{i}", f"s{j}").alias(f"c{i}_{j}") for i in range(n) for j in range(n) if i <= j]
     return _long_pairs(wide.agg(*aggs), [], symbols, "c")
 
 
@@ -98,7 +100,7 @@ def return_corr(bars: DataFrame, symbols: list[str]) -> DataFrame:
     cols = [f"s{i}" for i in range(len(symbols))]
     rets = padded_returns(close_matrix_wide(bars, symbols), cols).dropna(subset=cols)
     n = len(cols)
-    aggs = [F.corr(f"s{i}", f"s{j}").alias(f"c{i}_{j}") for i in range(n) for j in range(n)]
+    aggs = [F.corr(f"s{i}", f"s{j}").alias(f"c{i}_{j}") for i in range(n) for j in range(n) if i <= j]
     return _long_pairs(rets.agg(*aggs), [], symbols, "c")
 
 

@@ -71,6 +71,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def materialize(df):
     """Cut lineage: write ``df`` to the shared checkpoint folder and continue
-    from the written copy (reliable checkpoint; survives executor loss)."""
+    from the written copy (reliable checkpoint; survives executor loss).
+
+    The rows are persisted only while the checkpoint is written, so the plan
+    runs once (a bare checkpoint computes it twice: for the action and for
+    the write).  The checkpoint keeps the output partitioning, so later
+    operators on the same keys do not shuffle again."""
+    from pyspark import StorageLevel
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return held.checkpoint(eager=True)
+    finally:
+        held.unpersist()
