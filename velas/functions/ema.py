@@ -41,17 +41,16 @@ def carry_terms(span: int, sub: int = SUB_BLOCK) -> int:
     return max(1, math.ceil(17 * math.log(10) / per))
 
 
-def add_ema(df: DataFrame, w: SeriesWindow, x: str, out: str, span: int,
-            q: str = "_q", sub: int = SUB_BLOCK) -> DataFrame:
-    """Append column ``out`` = recursive EMA of ``x`` along ``w``.
+def add_emas(df: DataFrame, w: SeriesWindow, x: str, spans: dict[str, int],
+             q: str = "_q", sub: int = SUB_BLOCK) -> DataFrame:
+    """Append one column per ``{out: span}`` = recursive EMA of ``x`` along ``w``.
 
+    EMAs of the same input share the offsets, sub-blocks and window layers.
     ``q`` must be the 0-based row offset inside the partition (consecutive).
     Leading NULLs of x give NULL; x must have no inner NULLs (forward-filled).
     """
-    a = ema_alpha(span)
-    d = 1.0 - a
-    tmp = f"_{out}"
-    k, sb, p, z, lsum, el = (f"{tmp}_{s}" for s in ("k", "sb", "p", "z", "lsum", "l"))
+    tag = "_" + "_".join(spans)
+    k, sb, p = f"{tag}_k", f"{tag}_sb", f"{tag}_p"
     # running minimum: equals the first valid offset on every row at or after
     # it (and is NULL before it), without buffering the whole partition
     first_valid = F.min(F.when(F.col(x).isNotNull(), F.col(q))).over(w.running())
@@ -60,21 +59,40 @@ def add_ema(df: DataFrame, w: SeriesWindow, x: str, out: str, span: int,
         sb: F.when(F.col(k) >= 0, F.floor(F.col(k) / sub)),
         p: F.when(F.col(k) >= 0, F.col(k) % sub),
     })
-    t = F.when(F.col(k) == 0, F.col(x)).otherwise(F.lit(a) * F.col(x))
-    df = df.withColumn(z, t * F.pow(F.lit(d), -F.col(p)))
-    wsub = w.sub(sb)
-    df = df.withColumn(lsum, F.sum(F.col(z)).over(wsub.running()))
-    df = df.withColumn(el, F.pow(F.lit(d), F.col(p)) * F.col(lsum))
+    decay = {out: 1.0 - ema_alpha(span) for out, span in spans.items()}
+    z = {}
+    for out, span in spans.items():
+        t = F.when(F.col(k) == 0, F.col(x)).otherwise(F.lit(ema_alpha(span)) * F.col(x))
+        z[f"_{out}_z"] = t * F.pow(F.lit(decay[out]), -F.col(p))
+    df = df.withColumns(z)
+    run_sub = w.sub(sb).running()
+    df = df.withColumns({f"_{out}_lsum": F.sum(F.col(f"_{out}_z")).over(run_sub) for out in spans})
+    df = df.withColumns({f"_{out}_l": F.pow(F.lit(decay[out]), F.col(p)) * F.col(f"_{out}_lsum")
+                         for out in spans})
     # carry: value at the end of the previous sub-block, refined term by term
     is_end = F.col(p) == sub - 1
-    d_sub = d ** sub
-    carry = F.lit(0.0)
-    for i in range(carry_terms(span, sub)):
-        cname = f"{tmp}_c{i}"
-        end_value = F.col(el) + F.lit(d_sub) * carry
-        df = df.withColumn(cname, F.coalesce(
-            F.last(F.when(is_end, end_value), ignorenulls=True).over(w.before()), F.lit(0.0)))
-        carry = F.col(cname)
-    df = df.withColumn(out, F.when(F.col(k) >= 0, F.col(el) + F.pow(F.lit(d), F.col(p) + 1) * carry))
-    drop = [k, sb, p, z, lsum, el] + [f"{tmp}_c{i}" for i in range(carry_terms(span, sub))]
+    terms = {out: carry_terms(span, sub) for out, span in spans.items()}
+    carry = {out: F.lit(0.0) for out in spans}
+    for i in range(max(terms.values())):
+        layer = {}
+        for out in spans:
+            if i >= terms[out]:
+                continue
+            end_value = F.col(f"_{out}_l") + F.lit(decay[out] ** sub) * carry[out]
+            layer[f"_{out}_c{i}"] = F.coalesce(
+                F.last(F.when(is_end, end_value), ignorenulls=True).over(w.before()), F.lit(0.0))
+        df = df.withColumns(layer)
+        carry.update({out: F.col(f"_{out}_c{i}") for out in spans if i < terms[out]})
+    df = df.withColumns({
+        out: F.when(F.col(k) >= 0, F.col(f"_{out}_l")
+                    + F.pow(F.lit(decay[out]), F.col(p) + 1) * carry[out])
+        for out in spans})
+    drop = [k, sb, p] + [f"_{out}_{s}" for out in spans for s in ("z", "lsum", "l")]
+    drop += [f"_{out}_c{i}" for out in spans for i in range(terms[out])]
     return df.drop(*drop)
+
+
+def add_ema(df: DataFrame, w: SeriesWindow, x: str, out: str, span: int,
+            q: str = "_q", sub: int = SUB_BLOCK) -> DataFrame:
+    """Append column ``out`` = recursive EMA of ``x`` along ``w``."""
+    return add_emas(df, w, x, {out: span}, q, sub)

@@ -15,7 +15,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velas.functions.ema import add_ema
+from velas.functions.ema import add_ema, add_emas
 from velas.functions.windows import SeriesWindow, full, list_mad, list_mean, rolling_list, safe_div
 
 # Fixed values that define the indicators (window lengths, spans, constants).
@@ -121,8 +121,7 @@ def add_ratio_indicators(df: DataFrame) -> DataFrame:
 
 def add_macd(df: DataFrame, w: SeriesWindow) -> DataFrame:
     """EMA12, EMA26, MACD, signal (EMA9 of MACD) and histogram."""
-    df = add_ema(df, w, "close", "ema12", EMA_FAST)
-    df = add_ema(df, w, "close", "ema26", EMA_SLOW)
+    df = add_emas(df, w, "close", {"ema12": EMA_FAST, "ema26": EMA_SLOW})
     df = df.withColumn("macd", F.col("ema12") - F.col("ema26"))
     df = add_ema(df, w, "macd", "macd_signal", EMA_SIGNAL)
     return df.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
