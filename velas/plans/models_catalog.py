@@ -157,7 +157,7 @@ def q_parse_event_props(spark, sf):
 
 def q_epoch_to_date(spark, sf):
     ev = bsrc.read_table(spark, sf, "events")
-    secs = F.unix_seconds(F.col("ts").cast("timestamp"))
+    secs = files.ntz_to_epoch(F.col("ts"))
     return ev.select("event_id", secs.alias("epoch"), files.epoch_to_date(secs).alias("date"))
 
 

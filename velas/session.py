@@ -48,14 +48,18 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared folder named by ``spark.checkpoint.dir``.
 
-    The cluster sets it; only when it is unset (tests, local bench) do we
-    create a private scratch folder.  Lineage is cut with ``checkpoint()`` or
-    written tables under this folder, never with local checkpoints.
+    The cluster sets it; only in local mode (tests, local bench) and only
+    when it is unset do we create a private scratch folder.  On a cluster an
+    unset value is an error: a machine-local folder would not survive the
+    loss of an executor.  Lineage is cut with ``checkpoint()`` or written
+    tables under this folder, never with local checkpoints.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS/S3)")
         path = tempfile.mkdtemp(prefix="velas-ckpt-", dir=os.environ.get("VELAS_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", path)
     if not spark.sparkContext.getCheckpointDir():

@@ -82,12 +82,27 @@ CHART_SCHEMA = T.StructType([T.StructField("chart", T.StructType([
 ]))])
 
 
-def epoch_to_date(seconds, zone: str | None = None):
-    """Epoch seconds -> calendar date (in ``zone`` if given, else UTC)."""
-    ts = F.timestamp_seconds(seconds)
+def _epoch_ntz():
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
+def epoch_to_ntz(seconds, zone=None):
+    """Epoch seconds -> wall-clock timestamp (no zone) in ``zone`` (default
+    UTC).  Pure wall-clock arithmetic: independent of the session zone."""
+    ntz = F.timestamp_add("SECOND", seconds, _epoch_ntz())
     if zone is not None:
-        ts = F.from_utc_timestamp(ts, zone)
-    return F.to_date(ts)
+        ntz = F.convert_timezone(F.lit("UTC"), zone if not isinstance(zone, str) else F.lit(zone), ntz)
+    return ntz
+
+
+def epoch_to_date(seconds, zone=None):
+    """Epoch seconds -> calendar date in ``zone`` (default UTC)."""
+    return F.to_date(epoch_to_ntz(seconds, zone))
+
+
+def ntz_to_epoch(ts):
+    """Wall-clock timestamp (read as UTC) -> epoch seconds."""
+    return F.timestamp_diff("SECOND", _epoch_ntz(), ts)
 
 
 def read_chart_json(spark: SparkSession, path: str) -> DataFrame:
@@ -108,7 +123,7 @@ def explode_chart(doc: DataFrame) -> DataFrame:
             q["low"].alias("low"), q["close"].alias("close"), q["volume"].alias("volume"),
             F.coalesce(adj["adjclose"], F.array().cast("array<double>")).alias("adj_close"))))
     return z.select(
-        "symbol", F.to_date(F.from_utc_timestamp(F.timestamp_seconds(F.col("col.ts")), F.col("tz"))).alias("date"),
+        "symbol", epoch_to_date(F.col("col.ts"), F.col("tz")).alias("date"),
         F.col("col.open").alias("open"), F.col("col.high").alias("high"), F.col("col.low").alias("low"),
         F.col("col.close").alias("close"), F.col("col.volume").cast("double").alias("volume"),
         F.col("col.adj_close").alias("adj_close"))
