@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from velas.functions.windows import SeriesWindow
@@ -45,32 +45,30 @@ def add_emas(df: DataFrame, w: SeriesWindow, x: str, spans: dict[str, int],
              q: str = "_q", sub: int = SUB_BLOCK) -> DataFrame:
     """Append one column per ``{out: span}`` = recursive EMA of ``x`` along ``w``.
 
-    EMAs of the same input share the offsets, sub-blocks and window layers.
+    EMAs of the same input share the offsets, sub-blocks and window layers;
+    per-row terms are inlined, so the plan has one layer per window step
+    (first valid row, sub-block sums, each carry term).
     ``q`` must be the 0-based row offset inside the partition (consecutive).
     Leading NULLs of x give NULL; x must have no inner NULLs (forward-filled).
     """
-    tag = "_" + "_".join(spans)
-    k, sb, p = f"{tag}_k", f"{tag}_sb", f"{tag}_p"
+    fv = "_" + "_".join(spans) + "_fv"
     # running minimum: equals the first valid offset on every row at or after
     # it (and is NULL before it), without buffering the whole partition
-    first_valid = F.min(F.when(F.col(x).isNotNull(), F.col(q))).over(w.running())
-    df = df.withColumn(k, F.col(q) - first_valid)
-    df = df.withColumns({
-        sb: F.when(F.col(k) >= 0, F.floor(F.col(k) / sub)),
-        p: F.when(F.col(k) >= 0, F.col(k) % sub),
-    })
+    df = df.withColumn(fv, F.min(F.when(F.col(x).isNotNull(), F.col(q))).over(w.running()))
+    k = F.col(q) - F.col(fv)
+    sb = F.when(k >= 0, F.floor(k / sub))
+    p = F.when(k >= 0, k % sub)
     decay = {out: 1.0 - ema_alpha(span) for out, span in spans.items()}
-    z = {}
+    run_sub = Window.partitionBy(*w.partition, sb).orderBy(w.order).rowsBetween(
+        Window.unboundedPreceding, 0)
+    sums = {}
     for out, span in spans.items():
-        t = F.when(F.col(k) == 0, F.col(x)).otherwise(F.lit(ema_alpha(span)) * F.col(x))
-        z[f"_{out}_z"] = t * F.pow(F.lit(decay[out]), -F.col(p))
-    df = df.withColumns(z)
-    run_sub = w.sub(sb).running()
-    df = df.withColumns({f"_{out}_lsum": F.sum(F.col(f"_{out}_z")).over(run_sub) for out in spans})
-    df = df.withColumns({f"_{out}_l": F.pow(F.lit(decay[out]), F.col(p)) * F.col(f"_{out}_lsum")
-                         for out in spans})
+        t = F.when(k == 0, F.col(x)).otherwise(F.lit(ema_alpha(span)) * F.col(x))
+        sums[f"_{out}_lsum"] = F.sum(t * F.pow(F.lit(decay[out]), -p)).over(run_sub)
+    df = df.withColumns(sums)
+    local = {out: F.pow(F.lit(decay[out]), p) * F.col(f"_{out}_lsum") for out in spans}
     # carry: value at the end of the previous sub-block, refined term by term
-    is_end = F.col(p) == sub - 1
+    is_end = p == sub - 1
     terms = {out: carry_terms(span, sub) for out, span in spans.items()}
     carry = {out: F.lit(0.0) for out in spans}
     for i in range(max(terms.values())):
@@ -78,18 +76,17 @@ def add_emas(df: DataFrame, w: SeriesWindow, x: str, spans: dict[str, int],
         for out in spans:
             if i >= terms[out]:
                 continue
-            end_value = F.col(f"_{out}_l") + F.lit(decay[out] ** sub) * carry[out]
+            end_value = local[out] + F.lit(decay[out] ** sub) * carry[out]
             layer[f"_{out}_c{i}"] = F.coalesce(
                 F.last(F.when(is_end, end_value), ignorenulls=True).over(w.before()), F.lit(0.0))
         df = df.withColumns(layer)
         carry.update({out: F.col(f"_{out}_c{i}") for out in spans if i < terms[out]})
-    df = df.withColumns({
-        out: F.when(F.col(k) >= 0, F.col(f"_{out}_l")
-                    + F.pow(F.lit(decay[out]), F.col(p) + 1) * carry[out])
-        for out in spans})
-    drop = [k, sb, p] + [f"_{out}_{s}" for out in spans for s in ("z", "lsum", "l")]
+    values = {out: F.when(k >= 0, local[out] + F.pow(F.lit(decay[out]), p + 1) * carry[out])
+              for out in spans}
+    drop = [fv] + [f"_{out}_lsum" for out in spans]
     drop += [f"_{out}_c{i}" for out in spans for i in range(terms[out])]
-    return df.drop(*drop)
+    keep = [c for c in df.columns if c not in set(drop) and c not in values]
+    return df.select(*keep, *[v.alias(o) for o, v in values.items()])
 
 
 def add_ema(df: DataFrame, w: SeriesWindow, x: str, out: str, span: int,
