@@ -33,6 +33,9 @@ from velas.operators import knn, linear
 
 SEED = 42
 RFF_DIM = 256
+# execution-only settings for deep forests (same model): more nodes split per
+# pass over the data, node ids cached between levels
+TREE_EXECUTION = {"maxMemoryInMB": 1024, "cacheNodeIds": True}
 FIT_THREADS = 8
 
 # Declared model order per target (ties go to the earlier one).
@@ -44,7 +47,8 @@ CLASSIFICATION_MODELS = ("Logistic Regression", "Random Forest", "Gradient Boost
 
 def _regressor(name: str, n_features: int):
     if name == "Random Forest":
-        return RandomForestRegressor(numTrees=100, featureSubsetStrategy="all", maxDepth=30, seed=SEED)
+        return RandomForestRegressor(numTrees=100, featureSubsetStrategy="all", maxDepth=30, seed=SEED,
+                                     **TREE_EXECUTION)
     if name == "Gradient Boosting":
         return GBTRegressor(maxIter=100, maxDepth=3, stepSize=0.1, seed=SEED)
     if name == "XGBoost":
@@ -59,7 +63,8 @@ def _classifier(name: str, n_features: int, n_train: int):
         return LogisticRegression(regParam=1.0 / max(n_train, 1), standardization=False, tol=1e-12,
                                   maxIter=1000)
     if name == "Random Forest":
-        return RandomForestClassifier(numTrees=100, featureSubsetStrategy="sqrt", maxDepth=30, seed=SEED)
+        return RandomForestClassifier(numTrees=100, featureSubsetStrategy="sqrt", maxDepth=30, seed=SEED,
+                                      **TREE_EXECUTION)
     if name == "Gradient Boosting":
         return GBTClassifier(maxIter=100, maxDepth=3, stepSize=0.1, seed=SEED)
     if name == "XGBoost":
