@@ -107,9 +107,10 @@ def q_ffill_post(spark, sf):
 
 
 def q_drop_incomplete(spark, sf):
-    before = _bars(spark, sf).groupBy("symbol").agg(F.count(F.lit(1)).alias("n_bars"))
-    after = _feat(spark, sf).groupBy("symbol").agg(F.count(F.lit(1)).alias("n_kept"),
-                                                   F.min("rn").alias("first_kept_rn"))
+    bars = _bars_once(spark, sf)
+    before = bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_bars"))
+    after = fplan.features(bars).groupBy("symbol").agg(F.count(F.lit(1)).alias("n_kept"),
+                                                     F.min("rn").alias("first_kept_rn"))
     return before.join(after, "symbol", "left")
 
 
