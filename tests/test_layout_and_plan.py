@@ -54,3 +54,23 @@ def test_feature_plan_is_jvm_only_and_pruned(spark):
 def test_bar_aggregation_is_partial(spark):
     plan = _plan(bars_from_orders(spark, SF001))
     assert plan.count("HashAggregate") + plan.count("SortAggregate") + plan.count("ObjectHashAggregate") >= 2
+
+
+def test_no_row_level_window_is_partitioned_by_symbol_alone(spark):
+    """A hot symbol must not land in one task: row-level windows partition by
+    (symbol, block) or (symbol, month); windows by symbol alone only run over
+    the small per-bucket / per-block summary tables."""
+    import re
+    from velas.plans import layout
+    from velas.plans.features import _indicator_rows
+    bars = bars_from_orders(spark, SF001)
+    plan = (_plan(_indicator_rows(bars, "canonical", layout.BLOCK_ROWS, layout.HALO_ROWS))
+            + _plan(features(bars)))
+    specs = re.findall(r"windowspecdefinition\(([^()]*?)(?:,\s*specifiedwindowframe|\))", plan)
+    assert specs
+    for spec in specs:
+        parts = [p.strip() for p in spec.split(",")]
+        keys = [p.split("#")[0] for p in parts if " ASC" not in p and " DESC" not in p]
+        order = [p.split("#")[0] for p in parts if " ASC" in p or " DESC" in p]
+        if keys == ["symbol"]:
+            assert order and order[0] in ("_tb", "blk"), spec
