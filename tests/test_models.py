@@ -77,3 +77,26 @@ def test_pyspark_ml_fit_runs(spark):
     df = df.withColumn("is_train", df.idx < 160)
     out = mlzoo.fit_predict(df, "Random Forest", cols, classify=False).collect()
     assert len(out) == 40 and all(r.p is not None for r in out)
+
+
+def test_grouped_logistic_matches_newton(spark):
+    rng = np.random.default_rng(11)
+    n, d = 300, 4
+    x = rng.normal(0, 1, (n, d))
+    x = (x - x.mean(0)) / x.std(0)
+    y = (rng.uniform(size=n) < 1 / (1 + np.exp(-(0.3 + x @ np.array([1.0, -2.0, 0.5, 0.0]))))).astype(float)
+    cols = [f"f{j}" for j in range(d)]
+    rows = [("S", i, i, True, float(y[i]), *map(float, x[i])) for i in range(n)]
+    df = spark.createDataFrame(rows, "symbol string, rn long, idx long, is_train boolean, label double, "
+                               + ", ".join(f"{c} double" for c in cols))
+    got = linear.fit_logistic(df, cols, chunk_rows=70).collect()[0]
+    # independent solve: plain gradient descent to convergence on the same objective
+    a = np.column_stack([np.ones(n), x])
+    th = np.zeros(d + 1)
+    reg = np.eye(d + 1)
+    reg[0, 0] = 0
+    for _ in range(20000):
+        p = 1 / (1 + np.exp(-a @ th))
+        th -= 0.002 * (a.T @ (p - y) + reg @ th)
+    assert got.intercept == pytest.approx(th[0], abs=1e-6)
+    assert np.allclose(got.coef, th[1:], atol=1e-6)

@@ -199,3 +199,79 @@ def predict_linear(rows: DataFrame, coefs: DataFrame, features) -> DataFrame:
     x = F.array(*[F.col(f) for f in features])
     dot = F.aggregate(F.zip_with(x, F.col("coef"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
     return rows.join(coefs, "symbol").withColumn("p", F.col("intercept") + dot).drop("intercept", "coef")
+
+
+# --- logistic regression (M10) by grouped Newton iterations -----------------
+LOGISTIC_C = 1.0  # fixed value: inverse L2 strength of the reference model
+NEWTON_MAX_ITER, NEWTON_TOL = 100, 1e-10
+
+
+def _logistic_partial(d: int):
+    """Per (symbol, chunk): gradient and Hessian of the summed log-loss at the
+    symbol's current coefficients."""
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.column_stack([np.ones(len(pdf)), np.vstack(pdf["x"].to_numpy())])
+        y = pdf["label"].to_numpy(dtype=float)
+        theta = np.asarray(pdf["theta"].iloc[0], dtype=float)
+        z = x @ theta
+        p = 0.5 * (1.0 + np.tanh(0.5 * z))  # stable sigmoid
+        g = x.T @ (p - y)
+        h = (x * (p * (1 - p))[:, None]).T @ x
+        return pd.DataFrame({"symbol": [pdf["symbol"].iloc[0]], "theta": [theta.tolist()],
+                             "g": [g.tolist()], "h": [h.ravel().tolist()]})
+    return fn
+
+
+def _logistic_step(d: int, c: float):
+    """Per symbol: sum the partials, add the L2 term (slopes only), one
+    Newton step.  Objective: 0.5 |w|^2 + C * sum log-loss."""
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        k = d + 1
+        theta = np.asarray(pdf["theta"].iloc[0], dtype=float)
+        g = c * np.sum(np.vstack(pdf["g"].to_numpy()), axis=0)
+        h = c * np.sum(np.vstack(pdf["h"].to_numpy()), axis=0).reshape(k, k)
+        reg = np.eye(k)
+        reg[0, 0] = 0.0
+        g = g + reg @ theta
+        h = h + reg
+        step = np.linalg.solve(h, g)
+        new = theta - step
+        return pd.DataFrame({"symbol": [pdf["symbol"].iloc[0]], "theta": [new.tolist()],
+                             "step": [float(np.max(np.abs(step)))]})
+    return fn
+
+
+def fit_logistic(prepared: DataFrame, features, c: float = LOGISTIC_C,
+                 chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """(symbol, intercept, coef) of L2 logistic regression for every symbol.
+
+    The training rows are written once; each Newton iteration is one pass of
+    grouped partial sums (no group larger than a chunk) and one small
+    per-symbol solve.  The driver only reads the largest step size."""
+    from velas.session import materialize
+    d = len(features)
+    train = materialize(prepared.where("is_train").select(
+        "symbol", (F.col("idx") / F.lit(chunk_rows)).cast("long").alias("chunk"),
+        F.array(*[F.col(f) for f in features]).alias("x"),
+        F.col("label").cast("double").alias("label")))
+    zeros = F.array(*[F.lit(0.0)] * (d + 1))
+    coef = materialize(train.select("symbol").distinct().withColumn("theta", zeros))
+    for _ in range(NEWTON_MAX_ITER):
+        partial = train.join(coef, "symbol").groupBy("symbol", "chunk").applyInPandas(
+            _logistic_partial(d), "symbol string, theta array<double>, g array<double>, h array<double>")
+        coef = materialize(partial.groupBy("symbol").applyInPandas(
+            _logistic_step(d, c), "symbol string, theta array<double>, step double"))
+        if coef.agg(F.max("step")).first()[0] <= NEWTON_TOL:
+            break
+    return coef.select("symbol", F.get(F.col("theta"), 0).alias("intercept"),
+                       F.slice(F.col("theta"), 2, d).alias("coef"))
+
+
+def predict_logistic(rows: DataFrame, coefs: DataFrame, features) -> DataFrame:
+    """Probability of class 1 and the 0/1 prediction (threshold 0.5)."""
+    x = F.array(*[F.col(f) for f in features])
+    dot = F.aggregate(F.zip_with(x, F.col("coef"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    prob = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("intercept") + dot)))
+    out = rows.join(coefs, "symbol").withColumn("prob_up", prob)
+    return out.withColumn("p", F.when(F.col("prob_up") > 0.5, F.lit(1.0)).otherwise(F.lit(0.0))).drop(
+        "intercept", "coef")

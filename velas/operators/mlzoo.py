@@ -3,8 +3,10 @@
 * Linear family (OLS, ridge, lasso, elastic net): grouped sufficient
   statistics, any number of symbols in one pass (``velas.operators.linear``).
 * KNN: relational, exact (``velas.operators.knn``).
-* Trees, boosting, logistic regression, multilayer perceptron: ``pyspark.ml``
-  estimators fitted per symbol.  Each fit is a distributed Spark job; the
+* Logistic regression: grouped Newton iterations, all symbols at once
+  (``velas.operators.linear.fit_logistic``).
+* Trees, boosting, multilayer perceptron: ``pyspark.ml`` estimators fitted
+  per symbol.  Each fit is a distributed Spark job; the
   symbols are submitted concurrently from a small thread pool.
 * Kernel SVM: re-aimed as random Fourier features (Rahimi & Recht, 2007) of
   the RBF kernel, computed by an Arrow-batched pandas UDF, followed by a
@@ -143,6 +145,11 @@ def fit_predict(prepared: DataFrame, name: str, features, classify: bool) -> Dat
         test = prepared.where(~F.col("is_train")).select("symbol", "rn", "label", *features)
         return linear.predict_linear(test, coefs, features).select(
             "symbol", "rn", F.col("label").cast("double").alias("y"), "p")
+    if name == "Logistic Regression" and classify:
+        coefs = linear.fit_logistic(prepared, features)
+        test = prepared.where(~F.col("is_train")).select("symbol", "rn", "label", *features)
+        return linear.predict_logistic(test, coefs, features).select(
+            "symbol", "rn", F.col("label").cast("double").alias("y"), "p", "prob_up")
     if name == "KNN":
         out = knn.knn_predict(prepared, list(features), classify=classify)
         return out
