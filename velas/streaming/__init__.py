@@ -1,0 +1,6 @@
+"""Streaming operators: none.
+
+The reference pipeline is batch only (it re-reads recent bars to predict);
+it has no watermark, windowed stream aggregation or state store, so nothing
+is built here.  Incremental runs re-execute the batch plans on new data.
+"""
