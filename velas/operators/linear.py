@@ -150,7 +150,7 @@ def _coordinate_descent(g, c, n, l1, l2, sweeps_per_check: int = 20):
     return w
 
 
-def _solve(d: int):
+def _solve(d: int, models=LINEAR_MODELS):
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         stacked = np.vstack(pdf["r"].to_numpy())
         r = np.linalg.qr(stacked, mode="r")
@@ -174,29 +174,40 @@ def _solve(d: int):
         cxy = gram[1:k, k] - n * mean_x * mean_y
         for name, l1, l2 in (("Lasso Regression", LASSO_ALPHA, 0.0),
                              ("ElasticNet", ENET_ALPHA * ENET_L1_RATIO, ENET_ALPHA * (1 - ENET_L1_RATIO))):
-            w = _coordinate_descent(gxx, cxy, n, l1, l2)
-            out.append((name, mean_y - mean_x @ w, w))
+            if name in models:
+                w = _coordinate_descent(gxx, cxy, n, l1, l2)
+                out.append((name, mean_y - mean_x @ w, w))
+        out = [o for o in out if o[0] in models]
         return pd.DataFrame({"symbol": pdf["symbol"].iloc[0], "model": [o[0] for o in out],
                              "intercept": [float(o[1]) for o in out],
                              "coef": [list(map(float, o[2])) for o in out]})
     return fn
 
 
-def fit_linear(prepared: DataFrame, features, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """(symbol, model, intercept, coef array) for the four linear models."""
-    d = len(features)
+def _x(features):
+    """Feature vector: a list of column names, or the name of an array column
+    given as a 1-tuple ``("z", dim)``."""
+    if isinstance(features, tuple) and len(features) == 2 and isinstance(features[1], int):
+        return F.col(features[0]), features[1]
+    return F.array(*[F.col(f) for f in features]), len(features)
+
+
+def fit_linear(prepared: DataFrame, features, chunk_rows: int = CHUNK_ROWS,
+               models=LINEAR_MODELS) -> DataFrame:
+    """(symbol, model, intercept, coef array) for the linear models."""
+    x, d = _x(features)
     train = prepared.where("is_train").select(
         "symbol", (F.col("idx") / F.lit(chunk_rows)).cast("long").alias("chunk"),
-        F.array(*[F.col(f) for f in features]).alias("x"), F.col("label").cast("double").alias("label"))
+        x.alias("x"), F.col("label").cast("double").alias("label"))
     factors = train.groupBy("symbol", "chunk").applyInPandas(
         _chunk_r(d), "symbol string, n long, r array<double>")
     return factors.groupBy("symbol").applyInPandas(
-        _solve(d), "symbol string, model string, intercept double, coef array<double>")
+        _solve(d, models), "symbol string, model string, intercept double, coef array<double>")
 
 
 def predict_linear(rows: DataFrame, coefs: DataFrame, features) -> DataFrame:
     """Score rows with every fitted model of their symbol (JVM expressions)."""
-    x = F.array(*[F.col(f) for f in features])
+    x, _ = _x(features)
     dot = F.aggregate(F.zip_with(x, F.col("coef"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
     return rows.join(coefs, "symbol").withColumn("p", F.col("intercept") + dot).drop("intercept", "coef")
 
@@ -249,10 +260,10 @@ def fit_logistic(prepared: DataFrame, features, c: float = LOGISTIC_C,
     grouped partial sums (no group larger than a chunk) and one small
     per-symbol solve.  The driver only reads the largest step size."""
     from velas.session import materialize
-    d = len(features)
+    x, d = _x(features)
     train = materialize(prepared.where("is_train").select(
         "symbol", (F.col("idx") / F.lit(chunk_rows)).cast("long").alias("chunk"),
-        F.array(*[F.col(f) for f in features]).alias("x"),
+        x.alias("x"),
         F.col("label").cast("double").alias("label")))
     zeros = F.array(*[F.lit(0.0)] * (d + 1))
     coef = materialize(train.select("symbol").distinct().withColumn("theta", zeros))
@@ -269,7 +280,7 @@ def fit_logistic(prepared: DataFrame, features, c: float = LOGISTIC_C,
 
 def predict_logistic(rows: DataFrame, coefs: DataFrame, features) -> DataFrame:
     """Probability of class 1 and the 0/1 prediction (threshold 0.5)."""
-    x = F.array(*[F.col(f) for f in features])
+    x, _ = _x(features)
     dot = F.aggregate(F.zip_with(x, F.col("coef"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
     prob = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("intercept") + dot)))
     out = rows.join(coefs, "symbol").withColumn("prob_up", prob)

@@ -9,8 +9,9 @@
   per symbol.  Each fit is a distributed Spark job; the
   symbols are submitted concurrently from a small thread pool.
 * Kernel SVM: re-aimed as random Fourier features (Rahimi & Recht, 2007) of
-  the RBF kernel, computed by an Arrow-batched pandas UDF, followed by a
-  linear ``pyspark.ml`` learner - an approximation by design.
+  the RBF kernel, computed by an Arrow-batched pandas UDF, followed by the
+  grouped ridge (SVR) or L2 logistic regression (SVC, with probabilities) -
+  an approximation by design, fitted for all symbols at once.
 
 Prepared rows: symbol, rn, idx, is_train, label, scaled feature columns.
 Prediction rows: symbol, rn, y, p (+ prob_up for classifiers).
@@ -40,6 +41,9 @@ RFF_DIM = 256
 TREE_EXECUTION = {"maxMemoryInMB": 1024, "cacheNodeIds": True}
 FIT_THREADS = 8
 
+# models fitted by grouped passes over all symbols (no per-symbol loop)
+GROUPED_MODELS = ("KNN", "Logistic Regression", "SVR", "SVC")
+
 # Declared model order per target (ties go to the earlier one).
 REGRESSION_MODELS = ("Linear Regression", "Ridge Regression", "Lasso Regression", "ElasticNet",
                      "Random Forest", "Gradient Boosting", "SVR", "KNN", "XGBoost")
@@ -141,10 +145,23 @@ def symbols_of(prepared: DataFrame) -> list[str]:
 def fit_predict(prepared: DataFrame, name: str, features, classify: bool) -> DataFrame:
     """Hold-out predictions of model ``name`` for every symbol."""
     if name in linear.LINEAR_MODELS and not classify:
-        coefs = linear.fit_linear(prepared, features).where(F.col("model") == name)
+        coefs = linear.fit_linear(prepared, features, models=(name,))
         test = prepared.where(~F.col("is_train")).select("symbol", "rn", "label", *features)
         return linear.predict_linear(test, coefs, features).select(
             "symbol", "rn", F.col("label").cast("double").alias("y"), "p")
+    if name in ("SVR", "SVC"):
+        # kernel machines re-aimed: random Fourier features of the RBF kernel,
+        # then ridge regression / L2 logistic regression, grouped by symbol
+        z = add_rff(prepared.select("symbol", "rn", "idx", "is_train", "label", *features), features)
+        zf = ("z", RFF_DIM)
+        test = z.where(~F.col("is_train")).select("symbol", "rn", "label", "z")
+        if classify:
+            coefs = linear.fit_logistic(z, zf)
+            return linear.predict_logistic(test, coefs, zf).select(
+                "symbol", "rn", F.col("label").cast("double").alias("y"), "p", "prob_up")
+        coefs = linear.fit_linear(z, zf, models=("Ridge Regression",))
+        return linear.predict_linear(test, coefs, zf).select(
+            "symbol", "rn", F.col("label").cast("double").alias("y"), "p")
     if name == "Logistic Regression" and classify:
         coefs = linear.fit_logistic(prepared, features)
         test = prepared.where(~F.col("is_train")).select("symbol", "rn", "label", *features)

@@ -105,10 +105,11 @@ def q_model_bakeoff(spark, sf):
         rows = prepared.withColumn("label", F.col(f"y_{target}"))
         jobs += [(rows, name, FEATS, classify, {"target": target, "model": name})
                  for name in names
-                 if name not in linear.LINEAR_MODELS and name not in ("KNN", "Logistic Regression")]
-        if classify:  # grouped, all symbols at once
-            lg = mlzoo.fit_predict(rows, "Logistic Regression", FEATS, True).select("symbol", "rn", "y", "p")
-            parts.append(lg.withColumns({"target": F.lit(target), "model": F.lit("Logistic Regression")}))
+                 if name not in linear.LINEAR_MODELS and name not in mlzoo.GROUPED_MODELS]
+        for name in names:  # grouped fits: all symbols at once
+            if name in mlzoo.GROUPED_MODELS:
+                g = mlzoo.fit_predict(rows, name, FEATS, classify).select("symbol", "rn", "y", "p")
+                parts.append(g.withColumns({"target": F.lit(target), "model": F.lit(name)}))
     parts.append(mlzoo.fit_many(jobs))
     out = parts[0]
     for p in parts[1:]:
