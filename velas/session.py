@@ -18,8 +18,6 @@ BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    # checkpoint files of data no longer referenced are deleted by the cleaner
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
