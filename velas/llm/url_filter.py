@@ -75,8 +75,13 @@ def fit(labelled: DataFrame, max_train: int = MAX_TRAIN) -> LogisticRegressionMo
     if sample.isEmpty():
         return None
     host, path = host_and_path(F.col("url"))
-    rows = sample.select(F.col("label").cast("double").alias("label"), grams(host, path).alias("_grams"))
-    return LogisticRegression(maxIter=50, regParam=0.002, standardization=False).fit(_hasher().transform(rows))
+    n_block, n = sample.agg(F.sum("label"), F.count(F.lit(1))).first()
+    # both classes weigh the same: how often rules block says nothing about other URLs
+    weight = F.when(F.col("label") == 1, n / (2.0 * max(n_block, 1))).otherwise(n / (2.0 * max(n - n_block, 1)))
+    rows = sample.select(F.col("label").cast("double").alias("label"), weight.alias("weight"),
+                         grams(host, path).alias("_grams"))
+    return (LogisticRegression(maxIter=50, regParam=0.002, standardization=False, weightCol="weight")
+            .fit(_hasher().transform(rows)))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], labelled: DataFrame | None = None,
