@@ -85,8 +85,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select("doc_id", "_hit", (full if digest == "all" else F.when(F.col("_hit"), full)).alias("_sha")),
         "exact-dedup")
 
-    groups = (hashed.where("_hit").groupBy(F.col("_sha").alias("_group"))
-              .agg(F.min("doc_id").alias("_keep"), F.count(F.lit(1)).alias("_size")).where("_size > 1"))
+    # stored, so that the join below shuffles on its own and a hot hash can be split
+    groups = store(hashed.where("_hit").groupBy(F.col("_sha").alias("_group"))
+                   .agg(F.min("doc_id").alias("_keep"), F.count(F.lit(1)).alias("_size")).where("_size > 1"),
+                   "exact-groups")
     joined = hashed.join(groups, (F.col("_sha") == F.col("_group")) & F.col("_hit"), "left")
     keep = F.when(F.col("_size").isNull(), F.col("doc_id")).otherwise(F.col("_keep"))
     return joined.select(
