@@ -40,7 +40,7 @@ from velas.llm.common import WORD, store
 
 WEIGHTS = (5, 2, 1)
 MAX_SOURCES = 100_000
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 512
 ADDED = ("size", "source_size", "target", "copy", "shard", "copies")
 
 
