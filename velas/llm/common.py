@@ -13,6 +13,9 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -20,10 +23,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the cluster's shared checkpoint folder and
     read it back: later uses neither recompute it nor depend on executors that
-    may be lost meanwhile."""
+    may be lost meanwhile.  The shuffle files of the write are let go when it ends,
+    so a chain of stored steps needs the disk of one step."""
     spark = df.sparkSession
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

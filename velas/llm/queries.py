@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from velas.llm import decontaminate, exact_dedup, mixing, sharding, url_filter
-from velas.llm.common import read_table
+from velas.llm import (class_lm, decontaminate, exact_dedup, language_id, mixing, sharding, span_dedup,
+                       toxicity, url_filter)
+from velas.llm.common import fold, read_table, text_or_empty
 
 #: Rules of the URL query (fixed values).
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"),
@@ -20,6 +21,13 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha256")).alias("text_sha256"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold(F.col("doc_id"), 4) == 2
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out)
+    model = language_id.fit(docs, ~F.col("held_out"))
+    return language_id.predict(docs, model, extra=["held_out"])
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source")
     return sharding.place(docs, SHARDS)
@@ -45,8 +53,26 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, URL_RULES).drop("p_block")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"), ~toxicity.held_out())
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = (read_table(spark, sf_dir, "documents").select("doc_id", text_or_empty().alias("text"))
+            .withColumn("held_out", fold(F.col("doc_id"), 5) == 1))
+    model, unlisted = class_lm.fit(docs.where("not held_out").select("text"))
+    return class_lm.score(docs, model, unlisted)
+
+
+def op9_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_dedup.span_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_exact_dedup, op3_sharding, op4_decontaminate, op5_mixing, op6_url_filter)}
+    op1_exact_dedup, op2_language_id, op3_sharding, op4_decontaminate, op5_mixing, op6_url_filter, op7_toxicity,
+    op8_class_lm, op9_span_dedup)}
 
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -76,6 +102,21 @@ SQL = {
         SELECT d.doc_id, len(d.w) AS n_words, coalesce(pos.n_hit, 0) AS n_hit, coalesce(its.n_items, 0) AS n_items,
                sha256(coalesce(its.items, '')) AS items_sha256, coalesce(pos.n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN pos ON d.r = pos.r LEFT JOIN its ON d.r = its.r""",
+    "op9_span_dedup": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+                     regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        g AS (SELECT r, doc_id, i, array_to_string(w[i:i + 12], ' ') AS g
+              FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+        m AS (SELECT g, min(doc_id) AS first_doc FROM g GROUP BY g),
+        gone AS (SELECT DISTINCT r, p FROM (
+                   SELECT g.r, unnest(range(g.i, g.i + 13)) AS p FROM g JOIN m ON g.g = m.g
+                   WHERE m.first_doc < g.doc_id)),
+        kept AS (SELECT t.r, string_agg(t.word, ' ' ORDER BY t.p) AS words, count(*) AS n
+                 FROM (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) t
+                 LEFT JOIN gone ON t.r = gone.r AND t.p = gone.p WHERE gone.p IS NULL GROUP BY t.r)
+        SELECT d.doc_id, len(d.w) AS n_words, len(d.w) - coalesce(kept.n, 0) AS n_removed,
+               sha256(coalesce(kept.words, '')) AS kept_sha256
+        FROM d LEFT JOIN kept ON d.r = kept.r""",
     "op5_mixing": r"""
         WITH RECURSIVE d AS (
           SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,

@@ -16,15 +16,18 @@ removed.
    consecutive too come out as pieces ``(doc, start, n, src_doc, src_start)``.
 3. **Compaction.**  Pieces that continue each other in the document and in the
    source lie on one nonbranching path; they are joined end to end into spans.
-4. **Verification.**  A span is applied to a text only where the text's words
-   hash to what the span was made from, and both ends of a span are compared
-   by a second, independent hash of their words, looked up by coordinates.
+4. **Verification.**  The words at both ends of a span, its own and its
+   source's, are looked up by their coordinates and compared by a second,
+   independent hash; a span is applied only where its words hash to that.
 
-Hot anchors (a passage that a large part of all documents share) are found
-from a bounded sample of documents and dealt separately: their windows are
-reduced by a partial aggregation to one source each and joined back, a plain
-equi-join that adaptive execution splits.  The sample only decides which way
-a window goes, not what comes out.
+Hot anchors (a passage that a large part of all documents share) are found in
+a bounded sample of documents and salted: each salt settles its own first
+occurrences, and these few rows are settled among the salts in a second round.
+The sample only decides how rows are dealt out, not what comes out.
+
+Texts enter a shuffle only for documents that hold a span or a source; these
+are told apart at the scan by a bit table of ``SIEVE_BITS`` bits, whatever the
+data; what it lets through needlessly has no spans in the join.
 
 Defined cases: null and empty texts have no words; texts below K words lose
 nothing; null ids count as larger than any id and never as smaller than each
@@ -39,14 +42,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from velas.llm.common import store
-from velas.llm.text_tokens import Block, blocks, gram_hashes
+from velas.llm.text_tokens import Block, blocks, gram_hashes, mix64
 
-K, M = 13, 5
+K, M = 13, 4
 TAIL = 5  # bytes of a window's hash that travel; the anchor adds 8
 NO_ID = (1 << 63) - 1
+SAMPLE_DOCS = 8192   # about so many documents are looked through for hot anchors
+HOT_DOCS = 40        # an anchor that so many of them hold is hot
+SALTS = 64
+SALT_STEP = 0x2545F4914F6CDD1D
+SIEVE_BITS = 1 << 26
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -89,10 +97,33 @@ def _tail_bytes(h: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :TAIL]).ravel()
 
 
-def _runs(k: int, m: int):
+def _hot_anchors(docs: DataFrame, k: int, m: int) -> np.ndarray:
+    """Sorted anchors that HOT_DOCS or more documents of a sample hold.  The
+    sample is a range of the id hash, so the list has a bound."""
+    share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block in blocks(b.column("text"), lower=False):
+                doc, _, anchor, _ = _windows(block, k, m)
+                first = _starts(doc, anchor)
+                pairs = np.unique(np.stack([anchor[first], doc[first].astype(np.uint64)], axis=1), axis=0)
+                found, n = np.unique(pairs[:, 0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["anchor", "n"])
+
+    span = 1 << 30
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(span)) < int(share * span)).select("text")
+    hot = (sample.mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+           .where(F.col("n") >= HOT_DOCS).select("anchor").toArrow())
+    return np.sort(hot["anchor"].to_numpy().astype(np.int64)).view(np.uint64)
+
+
+def _runs(k: int, m: int, hot_broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = hot_broadcast.value
         for b in batches:
             ids = b.column("doc_id")
+            id_values = ids.to_numpy().view(np.uint64)
             for block in blocks(b.column("text"), lower=False):
                 doc, pos, anchor, whole = _windows(block, k, m)
                 if not len(doc):
@@ -101,31 +132,44 @@ def _runs(k: int, m: int):
                 limits = np.append(first, len(doc)).astype(np.int32) * TAIL
                 tails = pa.Array.from_buffers(pa.binary(), len(first), [
                     None, pa.py_buffer(limits.tobytes()), pa.py_buffer(_tail_bytes(whole).tobytes())])
+                part, row = anchor[first], doc[first] + block.first
+                at = pos[first].astype(np.int64)
+                if len(hot):
+                    near = np.minimum(np.searchsorted(hot, part), len(hot) - 1)
+                    salt = np.where(hot[near] == part, mix64(id_values[row]) % np.uint64(SALTS) + np.uint64(1),
+                                    np.uint64(0))
+                    part = part + salt * np.uint64(SALT_STEP)
+                    at = at | (salt.astype(np.int64) << 40)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor[first].view(np.int64)), ids.take(pa.array(doc[first] + block.first)),
-                     pa.array(pos[first].astype(np.int32)), tails], ["anchor", "doc_id", "pos", "tails"])
+                    [pa.array(part.view(np.int64)), ids.take(pa.array(row)), pa.array(at), tails],
+                    ["part", "doc_id", "at", "tails"])
 
     return run
 
 
-RUN_SCHEMA = "anchor long, doc_id long, pos int, tails binary"
-PIECE_SCHEMA = "doc_id long, start int, n int, src_doc long, src_start int"
+#: part: the anchor, for a hot one moved by its salt; at: position, and the salt above bit 40
+RUN_SCHEMA = "part long, doc_id long, at long, tails binary"
+#: a piece, or (edge not null) an edge of a hot anchor in the first document of a salt
+PIECE_SCHEMA = "doc_id long, start int, n int, src_doc long, src_start int, edge long"
 
 
-def _expand(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, doc, pos, key) of every window in a batch of run rows."""
+def _expand(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """(part, doc, position, key, salt) of every window in a batch of run rows."""
     tails = b.column("tails")
-    at = np.frombuffer(tails.buffers()[1], dtype=np.int32)[tails.offset:tails.offset + len(tails) + 1]
-    data = np.frombuffer(tails.buffers()[2], dtype=np.uint8)[at[0]:at[-1]]
-    n = np.diff(at) // TAIL
+    limits = np.frombuffer(tails.buffers()[1], dtype=np.int32)[tails.offset:tails.offset + len(tails) + 1]
+    data = np.frombuffer(tails.buffers()[2], dtype=np.uint8)[limits[0]:limits[-1]]
+    n = np.diff(limits) // TAIL
     total = int(n.sum())
     wide = np.zeros((total, 8), dtype=np.uint8)
     wide[:, :TAIL] = data.reshape(-1, TAIL)
-    anchor = np.repeat(b.column("anchor").to_numpy(), n)
-    key = wide.view(np.uint64).ravel() * np.uint64(0x9E3779B97F4A7C15) + anchor.view(np.uint64)
+    at = b.column("at").to_numpy()
+    salt = (at >> 40).astype(np.uint64)
+    part = b.column("part").to_numpy().view(np.uint64)
+    key = wide.view(np.uint64).ravel() * np.uint64(0x9E3779B97F4A7C15) + np.repeat(
+        part - salt * np.uint64(SALT_STEP), n)
     ramp = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
-    return (anchor, np.repeat(b.column("doc_id").to_numpy(), n),
-            np.repeat(b.column("pos").to_numpy().astype(np.int64), n) + ramp, key)
+    return (np.repeat(part, n), np.repeat(b.column("doc_id").to_numpy(), n),
+            np.repeat(at & ((1 << 40) - 1), n) + ramp, key, np.repeat(salt, n))
 
 
 def _pieces(doc: np.ndarray, pos: np.ndarray, src_doc: np.ndarray, src_pos: np.ndarray) -> pa.RecordBatch:
@@ -135,35 +179,54 @@ def _pieces(doc: np.ndarray, pos: np.ndarray, src_doc: np.ndarray, src_pos: np.n
     n = np.diff(np.append(first, len(doc)))
     return pa.RecordBatch.from_arrays(
         [pa.array(doc[first]), pa.array(pos[first].astype(np.int32)), pa.array(n.astype(np.int32)),
-         pa.array(src_doc[first]), pa.array(src_pos[first].astype(np.int32))],
-        ["doc_id", "start", "n", "src_doc", "src_start"])
+         pa.array(src_doc[first]), pa.array(src_pos[first].astype(np.int32)),
+         pa.nulls(len(first), pa.int64())], ["doc_id", "start", "n", "src_doc", "src_start", "edge"])
+
+
+def _firsts(doc: np.ndarray, pos: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+    n = len(doc)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(doc), pa.array(pos.astype(np.int32)), pa.array(np.ones(n, dtype=np.int32)),
+         pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(key.view(np.int64))],
+        ["doc_id", "start", "n", "src_doc", "src_start", "edge"])
 
 
 def _sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (anchor, doc, pos): the windows that a smaller doc has."""
-    kept = [np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.uint64)]
+    """From rows sorted by (part, doc, at): the windows that a smaller document
+    of the same part has, and, under salted parts, what the smallest one has."""
+    kept = [np.zeros(0, dtype=t) for t in (np.uint64, np.int64, np.int64, np.uint64, np.uint64)]
     for b in batches:
         if not b.num_rows:
             continue
-        rows = _expand(b)
         n_kept = len(kept[0])
-        anchor, doc, pos, key = (np.concatenate([a, x]) for a, x in zip(kept, rows))
-        _, first, group = np.unique(key, return_index=True, return_inverse=True)
+        part, doc, pos, key, salt = (np.concatenate([a, x]) for a, x in zip(kept, _expand(b)))
+        _, first, group = np.unique(key ^ mix64(salt), return_index=True, return_inverse=True)
         source = first[group]
-        hit = np.flatnonzero(doc[source] < doc)
-        hit = hit[hit >= n_kept]
+        later = doc[source] < doc
+        new = np.arange(len(doc)) >= n_kept
+        hit = np.flatnonzero(later & new)
         if len(hit):
             yield _pieces(doc[hit], pos[hit], doc[source[hit]], pos[source[hit]])
-        last = first[anchor[first] == anchor[-1]]  # the next batch may go on with this anchor
-        last.sort()
-        kept = [x[last] for x in (anchor, doc, pos, key)]
+        fresh = np.flatnonzero(~later & new & (salt > 0))
+        if len(fresh):
+            yield _firsts(doc[fresh], pos[fresh], key[fresh])
+        last = np.sort(first[part[first] == part[-1]])  # the next batch may go on with this part
+        kept = [x[last] for x in (part, doc, pos, key, salt)]
 
 
 def repeated_pieces(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
-    """Pieces of repeated text from rows (doc_id long, text)."""
-    runs = docs.mapInArrow(_runs(k, m), RUN_SCHEMA)
-    return (runs.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "pos")
-            .mapInArrow(_sources, PIECE_SCHEMA))
+    """Pieces of repeated text (doc_id, start, n, src_doc, src_start) from rows
+    (doc_id long, text); n counts windows."""
+    hot = docs.sparkSession.sparkContext.broadcast(_hot_anchors(docs, k, m))
+    found = store(docs.mapInArrow(_runs(k, m, hot), RUN_SCHEMA)
+                  .repartition("part").sortWithinPartitions("part", "doc_id", "at")
+                  .mapInArrow(_sources, PIECE_SCHEMA), "span-pieces")
+    # an edge has the rows of at most one document per salt here
+    among = Window.partitionBy("edge").orderBy("doc_id", "start")
+    settled = (found.where("edge is not null")
+               .withColumn("src_doc", F.first("doc_id").over(among))
+               .withColumn("src_start", F.first("start").over(among)).where("src_doc < doc_id"))
+    return found.where("edge is null").union(settled).drop("edge")
 
 
 def compact(pieces: DataFrame) -> DataFrame:
@@ -181,7 +244,32 @@ def compact(pieces: DataFrame) -> DataFrame:
                     (F.col("start") + F.col("_diagonal")).cast("int").alias("src_start")))
 
 
-def _cut(k: int, names: list[str]):
+def _digest(words: list[bytes], lo: int, hi: int) -> int | None:
+    if hi > len(words):
+        return None
+    return int.from_bytes(hashlib.blake2b(b" ".join(words[lo:hi]), digest_size=8).digest(), "big", signed=True)
+
+
+def _look_up(k: int):
+    """(span, source, digest) for the ranges asked of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for text, asked in zip(b.column("_text").to_pylist(), b.column("_asked").to_pylist()):
+                words = text.encode("utf-8", "surrogatepass").split()
+                out += [(a["span"], a["source"], _digest(words, a["start"], a["start"] + a["n"] + k - 1))
+                        for a in asked]
+            span, source, digest = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(span, pa.int64()), pa.array(source, pa.bool_()),
+                                              pa.array(digest, pa.int64())], ["span", "source", "digest"])
+
+    return run
+
+
+def _cut(k: int):
+    """n_words, n_removed and kept_sha256 of texts, given their verified spans."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
@@ -192,27 +280,58 @@ def _cut(k: int, names: list[str]):
                     change = np.zeros(len(words) + 1, dtype=np.int64)
                     for s in spans:
                         lo, hi = s["start"], s["start"] + s["n"] + k - 1
-                        if hi <= len(words):
+                        if s["digest"] == _digest(words, lo, hi):
                             change[lo] += 1
                             change[hi] -= 1
                     kept = [words[i] for i in np.flatnonzero(np.cumsum(change[:-1]) == 0)]
-                out.append((len(words), len(words) - len(kept), b" ".join(kept)))
+                out.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
             n, gone, kept = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in names), pa.array(n, pa.int64()), pa.array(gone, pa.int64()),
-                 pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())],
-                [*names, "n_words", "n_removed", "kept_sha256"])
+                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())],
+                ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     return run
 
 
+def _involved(ids: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """Bit table of the ids in column ``_id``, and (word, position) of a row's key."""
+    bit = F.pmod(F.xxhash64("_id"), F.lit(SIEVE_BITS))
+    word, at = F.shiftright(bit, 6), F.pmod(bit, F.lit(64)).cast("int")
+    table = (ids.select(word.alias("_word"), F.lit(1).cast("long").alias("_one"), at.alias("_at"))
+             .groupBy("_word").agg(F.bit_or(F.expr("shiftleft(_one, _at)")).alias("_mask")))
+    return table, word, at
+
+
 def span_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
     """id, n_words, n_removed, kept_sha256 per row."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    keyed = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.col("_text").alias("text"))
-    spans = (compact(store(repeated_pieces(keyed, k), "span-pieces"))
-             .groupBy(F.col("doc_id").alias("_id"))
-             .agg(F.collect_list(F.struct("start", "n")).alias("_spans")))
-    joined = (rows.join(spans.hint("shuffle_hash"), F.coalesce("doc_id", F.lit(NO_ID)) == F.col("_id"), "left")
-              .select("doc_id", "_text", "_spans"))
-    return joined.mapInArrow(_cut(k, ["doc_id"]), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"),
+                       F.coalesce(F.col(text_col), F.lit("")).alias("_text"),
+                       F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"))
+    spans = store(compact(repeated_pieces(rows.select(F.col("_id").alias("doc_id"), F.col("_text").alias("text")), k))
+                  .withColumn("span", F.monotonically_increasing_id()), "spans")
+
+    table, word, at = _involved(spans.select(F.explode(F.array("doc_id", "src_doc")).alias("_id")))
+    told = (rows.withColumn("_word", word).withColumn("_at", at)
+            .join(F.broadcast(store(table, "span-ids")), "_word", "left")
+            .withColumn("_hit", F.coalesce(F.expr("shiftrightunsigned(_mask, _at) & 1L") == 1, F.lit(False)))
+            .select("doc_id", "_id", "_text", "_hit"))
+    held = told.where("_hit").drop("_hit")
+
+    ends = spans.select(F.explode(F.array(
+        F.struct("doc_id", "span", F.lit(False).alias("source"), "start", "n"),
+        F.struct(F.col("src_doc").alias("doc_id"), "span", F.lit(True).alias("source"),
+                 F.col("src_start").alias("start"), "n"))).alias("e")).select("e.*")
+    asked = (ends.groupBy(F.col("doc_id").alias("_id"))
+             .agg(F.collect_list(F.struct("span", "source", "start", "n")).alias("_asked")))
+    digests = (held.join(asked.hint("shuffle_hash"), "_id").select("_text", "_asked")
+               .mapInArrow(_look_up(k), "span long, source boolean, digest long").where("digest is not null"))
+    agreed = (digests.groupBy("span").agg(
+        F.collect_set(F.when(~F.col("source"), F.col("digest"))).alias("_here"),
+        F.collect_set(F.when(F.col("source"), F.col("digest"))).alias("_there"))
+        .select("span", F.explode(F.array_intersect("_here", "_there")).alias("digest")))
+    cuts = (spans.join(agreed, "span").groupBy(F.col("doc_id").alias("_id"))
+            .agg(F.collect_list(F.struct("start", "n", "digest")).alias("_spans")))
+    joined = held.join(cuts.hint("shuffle_hash"), "_id", "left").select("doc_id", "_text", "_spans")
+    plain = told.where("not _hit").select("doc_id", "_text", F.lit(None).cast(joined.schema["_spans"].dataType).alias("_spans"))
+    return plain.union(joined).mapInArrow(
+        _cut(k), "doc_id long, n_words long, n_removed long, kept_sha256 string")
