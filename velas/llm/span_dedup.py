@@ -329,8 +329,8 @@ def span_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.collect_set(F.when(~F.col("source"), F.col("digest"))).alias("_here"),
         F.collect_set(F.when(F.col("source"), F.col("digest"))).alias("_there"))
         .select("span", F.explode(F.array_intersect("_here", "_there")).alias("digest")))
-    cuts = (spans.join(agreed, "span").groupBy(F.col("doc_id").alias("_id"))
-            .agg(F.collect_list(F.struct("start", "n", "digest")).alias("_spans")))
+    cuts = store(spans.join(agreed, "span").groupBy(F.col("doc_id").alias("_id"))
+                 .agg(F.collect_list(F.struct("start", "n", "digest")).alias("_spans")), "span-cuts")
     joined = held.join(cuts.hint("shuffle_hash"), "_id", "left").select("doc_id", "_text", "_spans")
     plain = told.where("not _hit").select("doc_id", "_text", F.lit(None).cast(joined.schema["_spans"].dataType).alias("_spans"))
     return plain.union(joined).mapInArrow(
