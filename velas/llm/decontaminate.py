@@ -158,3 +158,12 @@ def scan_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
     return keyed.join(gathered, "_row").drop("_row")
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                      **options) -> DataFrame:
+    """The rows of ``docs`` without any hit, with the columns they came with."""
+    whole = docs.select(F.struct(*docs.columns).alias("_whole"), F.col(id_col).alias("_id"),
+                        F.col(text_col).alias("_text"))
+    found = scan_documents(whole, items, "_id", "_text", with_spans=False, **options)
+    return found.where(F.size("hit") == 0).select("_whole.*")

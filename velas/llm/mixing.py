@@ -163,11 +163,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def draw(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
          seed: int = 1, **options) -> DataFrame:
-    """The mixed rows themselves: every taken copy of a document once, with the
-    input's columns plus ``copy`` and ``shard``, shuffled within each task's
-    part of a shard."""
-    names = [c for c in docs.columns if c not in ADDED]
-    mixed = mix(docs, id_col, text_col, source_col, seed=seed, **options)
-    return (mixed.select(*names, F.explode("copies").alias("_one"))
-            .select(*names, "_one.copy", "_one.shard")
-            .sortWithinPartitions("shard", F.xxhash64(F.col(id_col), F.col("copy"), F.lit(seed))))
+    """The mixed rows themselves: every taken copy of a document once, with
+    exactly the input's columns, each task's part of an output shard shuffled."""
+    whole = docs.select(F.struct(*docs.columns).alias("_whole"), F.col(id_col).alias("_id"),
+                        F.col(text_col).alias("_text"), F.col(source_col).alias("_from"))
+    mixed = mix(whole, "_id", "_text", "_from", keep_text=False, seed=seed, **options)
+    return (mixed.select("_whole", "_id", F.explode("copies").alias("_one"))
+            .sortWithinPartitions("_one.shard", F.xxhash64("_id", "_one.copy", F.lit(seed)))
+            .select("_whole.*"))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from velas.llm import (class_lm, decontaminate, exact_dedup, language_id, mixing, sharding, span_dedup,
-                       toxicity, url_filter)
+from velas.llm import (class_lm, decontaminate, exact_dedup, jaccard_join, language_id, mixing, sharding,
+                       span_dedup, toxicity, url_filter)
 from velas.llm.common import fold, read_table, text_or_empty
 
 #: Rules of the URL query (fixed values).
@@ -70,9 +70,14 @@ def op9_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_dedup.span_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.jaccard_join(docs).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_language_id, op3_sharding, op4_decontaminate, op5_mixing, op6_url_filter, op7_toxicity,
-    op8_class_lm, op9_span_dedup)}
+    op8_class_lm, op9_span_dedup, op10_jaccard_join)}
 
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -117,6 +122,20 @@ SQL = {
         SELECT d.doc_id, len(d.w) AS n_words, len(d.w) - coalesce(kept.n, 0) AS n_removed,
                sha256(coalesce(kept.words, '')) AS kept_sha256
         FROM d LEFT JOIN kept ON d.r = kept.r""",
+    "op10_jaccard_join": rf"""
+        WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
+                     regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT r, array_to_string(w[i:i + 3], ' ') AS g
+              FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+        n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+        shared AS (SELECT a.r AS x, b.r AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r),
+        link AS (SELECT x, y FROM shared JOIN n a ON x = a.r JOIN n b ON y = b.r
+                 WHERE 100 * k >= 85 * (a.n + b.n - k)),
+        both_ways AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+        reach AS (SELECT r AS x, r AS y FROM d UNION SELECT reach.x, both_ways.y FROM reach JOIN both_ways ON reach.y = both_ways.x)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles,
+               (SELECT min(e.doc_id) FROM reach JOIN d e ON e.r = reach.y WHERE reach.x = d.r) AS component_id
+        FROM d LEFT JOIN n ON d.r = n.r""",
     "op5_mixing": r"""
         WITH RECURSIVE d AS (
           SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,

@@ -34,7 +34,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from velas.llm.common import fold, store, text_or_empty
 
@@ -292,7 +292,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col:
     if not n_toxic or not n_clean:
         return Model([], [0.0] * FEATURES, -30.0)
     terms = learn_terms(sample)
-    seen = sample.select("toxic", _featurizer(sample, terms)(F.col("text")).alias("x")).collect()
+    seen = sample.select("toxic", _featurizer(docs.sparkSession, terms)(F.col("text")).alias("x")).collect()
     x = np.array([list(r["x"]) for r in seen], dtype=float)
     y = np.array([r["toxic"] for r in seen], dtype=float)
     weights, intercept = regress(x, y, share)
@@ -310,8 +310,8 @@ def _lexicon(terms: list[Term]) -> FuzzyLexicon:
     return _lexicons[key]
 
 
-def _featurizer(df: DataFrame, terms: list[Term]):
-    shared = df.sparkSession.sparkContext.broadcast(terms)
+def _featurizer(spark: SparkSession, terms: list[Term]):
+    shared = spark.sparkContext.broadcast(terms)
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         lexicon = _lexicon(shared.value)
@@ -321,17 +321,24 @@ def _featurizer(df: DataFrame, terms: list[Term]):
     return F.pandas_udf(run, "array<double>")
 
 
+def score_of(spark: SparkSession, model: Model, text: Column) -> Column:
+    """The score (0 to 1) of a text column."""
+    x = _featurizer(spark, model.terms)(text)
+    weighted = F.zip_with(x, F.array(*map(F.lit, model.weights)), lambda a, w: a * w)
+    return F.aggregate(weighted, F.lit(model.intercept), lambda acc, v: acc + v, lambda z: 1 / (1 + F.exp(-z)))
+
+
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with ``score`` (0 to 1) and ``predicted``."""
     names = [c for c in docs.columns if c not in ("score", "predicted")]
-    x = _featurizer(docs, model.terms)(F.col(text_col))
-    logit = F.lit(model.intercept)
-    for i, w in enumerate(model.weights):
-        logit = logit + F.lit(w) * F.col("_x")[i]
-    return (docs.select(*names, x.alias("_x"))
-            .select(*names, (1 / (1 + F.exp(-logit))).alias("score"))
+    return (docs.select(*names, score_of(docs.sparkSession, model, F.col(text_col)).alias("score"))
             .withColumn("predicted", (F.col("score") >= 0.5).cast("int")))
 
 
+def reject_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score below 0.5, with the columns they came with."""
+    return docs.where(score_of(docs.sparkSession, model, F.col(text_col)) < 0.5)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     return fold(F.col(id_col), 5) == 0
