@@ -37,12 +37,6 @@ class SeriesWindow:
         """All earlier rows of the partition, excluding the current one."""
         return self.base.rowsBetween(Window.unboundedPreceding, -1)
 
-    def whole(self) -> WindowSpec:
-        return Window.partitionBy(*self.partition)
-
-    def sub(self, extra: str) -> "SeriesWindow":
-        return SeriesWindow(self.partition + (extra,), self.order)
-
 
 def full(w: SeriesWindow, x: Column | str, n: int, agg: Callable[[Column], Column]) -> Column:
     """Aggregate over a trailing window of n rows, NULL unless all n are non-NULL.
@@ -55,11 +49,6 @@ def full(w: SeriesWindow, x: Column | str, n: int, agg: Callable[[Column], Colum
     return F.when(F.count(x).over(frame) == n, agg(x).over(frame))
 
 
-def ffill(w: SeriesWindow, x: str) -> Column:
-    """Last non-NULL value up to and including the current row."""
-    return F.last(F.col(x), ignorenulls=True).over(w.running())
-
-
 def rolling_list(w: SeriesWindow, x: str, n: int) -> Column:
     """The trailing n values as an array (bounded: at most n elements)."""
     return F.collect_list(F.col(x)).over(w.trailing(n))

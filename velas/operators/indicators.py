@@ -32,6 +32,7 @@ VOL_WINDOW, ANNUALISATION = 21, 252
 RSI_UPPER, RSI_LOWER = 70.0, 30.0
 STOCH_UPPER, STOCH_LOWER = 80.0, 20.0
 
+# The features and their order.
 FEATURES = (
     "open", "high", "low", "close", "volume",
     "ma5", "ma10", "ma20", "ma50", "ma200",
@@ -39,16 +40,6 @@ FEATURES = (
     "rsi", "bb_upper", "bb_middle", "bb_lower", "stoch_k", "stoch_d",
     "atr", "obv", "roc", "williams_r", "cci", "momentum", "volatility",
 )
-# display names of the features in reports
-DISPLAY_NAMES = {
-    "open": "Open", "high": "High", "low": "Low", "close": "Close", "volume": "Volume",
-    "ma5": "MA5", "ma10": "MA10", "ma20": "MA20", "ma50": "MA50", "ma200": "MA200",
-    "ema12": "EMA12", "ema26": "EMA26", "macd": "MACD", "macd_signal": "MACD_signal",
-    "macd_hist": "MACD_hist", "rsi": "RSI", "bb_upper": "BB_upper", "bb_middle": "BB_middle",
-    "bb_lower": "BB_lower", "stoch_k": "%K", "stoch_d": "%D", "atr": "ATR", "obv": "OBV",
-    "roc": "ROC", "williams_r": "Williams_%R", "cci": "CCI", "momentum": "Momentum",
-    "volatility": "Volatility",
-}
 
 
 def add_lags(df: DataFrame, w: SeriesWindow) -> DataFrame:

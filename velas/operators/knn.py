@@ -126,14 +126,10 @@ def knn_predict_multi(prepared: DataFrame, features, labels: dict[str, bool], k:
         aggs += [F.first(f"y_{c}").alias(f"y_{c}"),
                  F.avg(F.col(f"t_label_{c}").cast("double")).alias(f"share_{c}")]
     agg = nb.groupBy("symbol", "rn").agg(*aggs)
-    parts = []
+    entries = []
     for c, classify in labels.items():
         share = F.col(f"share_{c}")
         p = F.when(share > 0.5, F.lit(1.0)).otherwise(F.lit(0.0)) if classify else share
-        parts.append(agg.select("symbol", "rn", F.lit(c).alias("label"),
-                                F.col(f"y_{c}").cast("double").alias("y"), p.alias("p"),
+        entries.append(F.struct(F.lit(c).alias("label"), F.col(f"y_{c}").cast("double").alias("y"), p.alias("p"),
                                 (share if classify else F.lit(None).cast("double")).alias("prob_up")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return agg.select("symbol", "rn", F.explode(F.array(*entries)).alias("_e")).select("symbol", "rn", "_e.*")

@@ -115,7 +115,8 @@ def _coordinate_descent(g, c, n, l1, l2, sweeps_per_check: int = 20):
 
     After every block of sweeps the current support and signs define a
     linear system (G_AA + n l2 I) w_A = c_A - n l1 s_A; its solution is
-    accepted as soon as it satisfies the optimality conditions."""
+    accepted as soon as it satisfies the optimality conditions.  Returns the
+    weights and whether they have converged."""
     d = len(c)
     w = np.zeros(d)
     diag = np.diag(g)
@@ -130,7 +131,7 @@ def _coordinate_descent(g, c, n, l1, l2, sweeps_per_check: int = 20):
     start = np.linalg.lstsq(g + n * (l1 + l2) * np.eye(d), c, rcond=None)[0]
     cand = _active_set(g, c, n, l1, l2, start, tol, max_steps=4 * d)
     if cand is not None:
-        return cand
+        return cand, True
     last = np.inf
     next_check = sweeps_per_check
     for sweep in range(CD_MAX_ITER):
@@ -145,15 +146,15 @@ def _coordinate_descent(g, c, n, l1, l2, sweeps_per_check: int = 20):
             next_check *= 2
             cand = _active_set(g, c, n, l1, l2, w, tol)
             if cand is not None:
-                return cand
+                return cand, True
         # exactly dependent features leave flat directions in which w may
         # drift while the fitted values (unique for every solution) no
         # longer change: stop once the objective has converged
         cur = objective(w)
         if last - cur <= 1e-15 * abs(cur) + 1e-300:
-            return w
+            return w, True
         last = cur
-    return w
+    return w, False
 
 
 def _solve(d: int, models=LINEAR_MODELS):
@@ -166,12 +167,12 @@ def _solve(d: int, models=LINEAR_MODELS):
         out = []
         # OLS: least squares on the factor (minimum norm if rank deficient)
         theta = np.linalg.lstsq(rx, ry, rcond=None)[0]
-        out.append(("Linear Regression", theta[0], theta[1:]))
+        out.append(("Linear Regression", theta[0], theta[1:], True))
         # ridge: penalise the slopes only
         pen = np.zeros((d, k))
         pen[:, 1:] = np.sqrt(RIDGE_ALPHA) * np.eye(d)
         theta = np.linalg.lstsq(np.vstack([rx, pen]), np.concatenate([ry, np.zeros(d)]), rcond=None)[0]
-        out.append(("Ridge Regression", theta[0], theta[1:]))
+        out.append(("Ridge Regression", theta[0], theta[1:], True))
         # lasso / elastic net on centred Gram statistics
         gram = r.T @ r
         mean_x = gram[0, 1:k] / n
@@ -181,12 +182,13 @@ def _solve(d: int, models=LINEAR_MODELS):
         for name, l1, l2 in (("Lasso Regression", LASSO_ALPHA, 0.0),
                              ("ElasticNet", ENET_ALPHA * ENET_L1_RATIO, ENET_ALPHA * (1 - ENET_L1_RATIO))):
             if name in models:
-                w = _coordinate_descent(gxx, cxy, n, l1, l2)
-                out.append((name, mean_y - mean_x @ w, w))
+                w, converged = _coordinate_descent(gxx, cxy, n, l1, l2)
+                out.append((name, mean_y - mean_x @ w, w, converged))
         out = [o for o in out if o[0] in models]
         return pd.DataFrame({"symbol": pdf["symbol"].iloc[0], "model": [o[0] for o in out],
                              "intercept": [float(o[1]) for o in out],
-                             "coef": [list(map(float, o[2])) for o in out]})
+                             "coef": [list(map(float, o[2])) for o in out],
+                             "converged": [o[3] for o in out]})
     return fn
 
 
@@ -200,7 +202,7 @@ def _x(features):
 
 def fit_linear(prepared: DataFrame, features, chunk_rows: int = CHUNK_ROWS,
                models=LINEAR_MODELS) -> DataFrame:
-    """(symbol, model, intercept, coef array) for the linear models."""
+    """(symbol, model, intercept, coef array, converged) for the linear models."""
     x, d = _x(features)
     train = prepared.where("is_train").select(
         "symbol", (F.col("idx") / F.lit(chunk_rows)).cast("long").alias("chunk"),
@@ -208,19 +210,21 @@ def fit_linear(prepared: DataFrame, features, chunk_rows: int = CHUNK_ROWS,
     factors = train.groupBy("symbol", "chunk").applyInPandas(
         _chunk_r(d), "symbol string, n long, r array<double>")
     return factors.groupBy("symbol").applyInPandas(
-        _solve(d, models), "symbol string, model string, intercept double, coef array<double>")
+        _solve(d, models), "symbol string, model string, intercept double, coef array<double>, converged boolean")
 
 
 def predict_linear(rows: DataFrame, coefs: DataFrame, features) -> DataFrame:
     """Score rows with every fitted model of their symbol (JVM expressions)."""
     x, _ = _x(features)
     dot = F.aggregate(F.zip_with(x, F.col("coef"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    return rows.join(coefs, "symbol").withColumn("p", F.col("intercept") + dot).drop("intercept", "coef")
+    return rows.join(coefs, "symbol").withColumn("p", F.col("intercept") + dot).drop("intercept", "coef", "converged")
 
 
 # --- logistic regression (M10) by grouped Newton iterations -----------------
 LOGISTIC_C = 1.0  # fixed value: inverse L2 strength of the reference model
 NEWTON_MAX_ITER, NEWTON_TOL = 100, 1e-10
+MAX_STEP = 10.0          # largest change of a coefficient in one Newton step
+ONE_CLASS_LOGIT = 30.0   # intercept that stands for certainty
 
 
 def _logistic_partial(d: int):
@@ -235,23 +239,30 @@ def _logistic_partial(d: int):
         g = x.T @ (p - y)
         h = (x * (p * (1 - p))[:, None]).T @ x
         return pd.DataFrame({"symbol": [pdf["symbol"].iloc[0]], "theta": [theta.tolist()],
-                             "g": [g.tolist()], "h": [h.ravel().tolist()]})
+                             "g": [g.tolist()], "h": [h.ravel().tolist()],
+                             "n": [len(y)], "ones": [int(y.sum())]})
     return fn
 
 
 def _logistic_step(d: int, c: float):
     """Per symbol: sum the partials, add the L2 term (slopes only), one
-    Newton step.  Objective: 0.5 |w|^2 + C * sum log-loss."""
+    Newton step of bounded length.  Objective: 0.5 |w|^2 + C * sum log-loss.
+    A symbol whose labels are all one class gets that class as a constant."""
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         k = d + 1
         theta = np.asarray(pdf["theta"].iloc[0], dtype=float)
+        n, ones = int(pdf["n"].sum()), int(pdf["ones"].sum())
+        if ones in (0, n):
+            constant = [ONE_CLASS_LOGIT if ones else -ONE_CLASS_LOGIT] + [0.0] * d
+            return pd.DataFrame({"symbol": [pdf["symbol"].iloc[0]], "theta": [constant], "step": [0.0]})
         g = c * np.sum(np.vstack(pdf["g"].to_numpy()), axis=0)
         h = c * np.sum(np.vstack(pdf["h"].to_numpy()), axis=0).reshape(k, k)
         reg = np.eye(k)
         reg[0, 0] = 0.0
         g = g + reg @ theta
         h = h + reg
-        step = np.linalg.solve(h, g)
+        step = np.linalg.lstsq(h, g, rcond=None)[0]
+        step *= min(1.0, MAX_STEP / max(float(np.max(np.abs(step))), 1e-300))
         new = theta - step
         return pd.DataFrame({"symbol": [pdf["symbol"].iloc[0]], "theta": [new.tolist()],
                              "step": [float(np.max(np.abs(step)))]})
@@ -260,7 +271,7 @@ def _logistic_step(d: int, c: float):
 
 def fit_logistic(prepared: DataFrame, features, c: float = LOGISTIC_C,
                  chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """(symbol, intercept, coef) of L2 logistic regression for every symbol.
+    """(symbol, intercept, coef, converged) of L2 logistic regression for every symbol.
 
     The training rows are written once; each Newton iteration is one pass of
     grouped partial sums (no group larger than a chunk) and one small
@@ -275,13 +286,14 @@ def fit_logistic(prepared: DataFrame, features, c: float = LOGISTIC_C,
     coef = materialize(train.select("symbol").distinct().withColumn("theta", zeros))
     for _ in range(NEWTON_MAX_ITER):
         partial = train.join(coef, "symbol").groupBy("symbol", "chunk").applyInPandas(
-            _logistic_partial(d), "symbol string, theta array<double>, g array<double>, h array<double>")
+            _logistic_partial(d), "symbol string, theta array<double>, g array<double>, h array<double>, n long, ones long")
         coef = materialize(partial.groupBy("symbol").applyInPandas(
             _logistic_step(d, c), "symbol string, theta array<double>, step double"))
         if coef.agg(F.max("step")).first()[0] <= NEWTON_TOL:
             break
     return coef.select("symbol", F.get(F.col("theta"), 0).alias("intercept"),
-                       F.slice(F.col("theta"), 2, d).alias("coef"))
+                       F.slice(F.col("theta"), 2, d).alias("coef"),
+                       (F.col("step") <= NEWTON_TOL).alias("converged"))
 
 
 def predict_logistic(rows: DataFrame, coefs: DataFrame, features) -> DataFrame:
@@ -291,4 +303,4 @@ def predict_logistic(rows: DataFrame, coefs: DataFrame, features) -> DataFrame:
     prob = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("intercept") + dot)))
     out = rows.join(coefs, "symbol").withColumn("prob_up", prob)
     return out.withColumn("p", F.when(F.col("prob_up") > 0.5, F.lit(1.0)).otherwise(F.lit(0.0))).drop(
-        "intercept", "coef")
+        "intercept", "coef", "converged")

@@ -97,19 +97,20 @@ def metrics_long(reg: DataFrame | None = None, cls: DataFrame | None = None) ->
 def best_model(metrics: DataFrame, order: DataFrame) -> DataFrame:
     """Best model per (symbol, target): lowest MSE for regression targets,
     highest accuracy for direction; ties go to the first model in declared
-    order.  ``order`` is the (target, model, model_ordinal) spec table."""
-    m = metrics.where(F.col("metric").isin("mse", "accuracy")).join(order, ["target", "model"])
+    order.  ``order`` is the (target, model, model_ordinal) spec table; a model
+    that it does not list comes after those that it does."""
+    m = metrics.where(F.col("metric").isin("mse", "accuracy")).join(order, ["target", "model"], "left")
     score = F.when(F.col("metric") == "accuracy", -F.col("value")).otherwise(F.col("value"))
-    w = Window.partitionBy("symbol", "target").orderBy(score.asc_nulls_last(), F.col("model_ordinal"))
+    w = Window.partitionBy("symbol", "target").orderBy(score.asc_nulls_last(), F.col("model_ordinal").asc_nulls_last(), F.col("model"))
     return (m.withColumn("_r", F.row_number().over(w)).where("_r = 1")
             .select("symbol", "target", F.col("model").alias("best_model"), "metric", "value"))
 
 
 def rank_models(metrics: DataFrame, order: DataFrame) -> DataFrame:
     """Rank of each model per (symbol, target): ascending MSE / descending accuracy."""
-    m = metrics.where(F.col("metric").isin("mse", "accuracy")).join(order, ["target", "model"])
+    m = metrics.where(F.col("metric").isin("mse", "accuracy")).join(order, ["target", "model"], "left")
     score = F.when(F.col("metric") == "accuracy", -F.col("value")).otherwise(F.col("value"))
-    w = Window.partitionBy("symbol", "target").orderBy(score.asc_nulls_last(), F.col("model_ordinal"))
+    w = Window.partitionBy("symbol", "target").orderBy(score.asc_nulls_last(), F.col("model_ordinal").asc_nulls_last(), F.col("model"))
     return m.select("symbol", "target", "model", "metric", "value",
                     F.row_number().over(w).alias("rank"))
 

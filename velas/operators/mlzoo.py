@@ -24,11 +24,10 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
-                                       MultilayerPerceptronClassifier, RandomForestClassifier)
+from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,15 +58,10 @@ def _regressor(name: str, n_features: int):
         return GBTRegressor(maxIter=100, maxDepth=3, stepSize=0.1, seed=SEED)
     if name == "XGBoost":
         return GBTRegressor(maxIter=100, maxDepth=6, stepSize=0.3, seed=SEED)
-    if name == "SVR":
-        return LinearRegression(regParam=1e-3, elasticNetParam=0.0)
     raise KeyError(name)
 
 
-def _classifier(name: str, n_features: int, n_train: int):
-    if name == "Logistic Regression":
-        return LogisticRegression(regParam=1.0 / max(n_train, 1), standardization=False, tol=1e-12,
-                                  maxIter=1000)
+def _classifier(name: str, n_features: int):
     if name == "Random Forest":
         return RandomForestClassifier(numTrees=100, featureSubsetStrategy="sqrt", maxDepth=30, seed=SEED,
                                       **TREE_EXECUTION)
@@ -77,8 +71,6 @@ def _classifier(name: str, n_features: int, n_train: int):
         return GBTClassifier(maxIter=100, maxDepth=6, stepSize=0.3, seed=SEED)
     if name == "MLP":
         return MultilayerPerceptronClassifier(layers=[n_features, 100, 50, 2], maxIter=500, seed=SEED)
-    if name == "SVC":
-        return LinearSVC(regParam=1.0 / max(n_train, 1), maxIter=200)
     raise KeyError(name)
 
 
@@ -93,7 +85,9 @@ def rff_weights(d: int, dim: int = RFF_DIM, seed: int = SEED):
 
 
 def add_rff(df: DataFrame, features, dim: int = RFF_DIM) -> DataFrame:
-    """Append ``z`` = random Fourier features (Arrow-batched pandas UDF)."""
+    """Append ``z`` = random Fourier features (Arrow-batched pandas UDF).
+
+    gamma counts the features a symbol uses; those left out are 0 on all its rows."""
     w, b = rff_weights(len(features), dim)
     scale = math.sqrt(2.0 / dim)
 
@@ -103,22 +97,22 @@ def add_rff(df: DataFrame, features, dim: int = RFF_DIM) -> DataFrame:
         z = scale * np.cos(m @ w.T + b)
         return pd.Series(list(z))
 
-    return df.withColumn("z", rff(F.array(*[F.col(f) for f in features])))
+    used = df.groupBy("symbol").agg(*[F.max(F.abs(F.col(f)) > 0).cast("int").alias(f"_u_{f}") for f in features])
+    total = sum((F.col(f"_u_{f}") for f in features[1:]), F.col(f"_u_{features[0]}"))
+    stretch = used.select("symbol", F.sqrt(F.lit(float(len(features))) / F.greatest(total, F.lit(1))).alias("_stretch"))
+    return (df.join(stretch, "symbol")
+            .withColumn("z", rff(F.array(*[F.col(f) * F.col("_stretch") for f in features]))).drop("_stretch"))
 
 
-def _vectors(df: DataFrame, features, kernel: bool) -> DataFrame:
-    if kernel:
-        return add_rff(df, features).withColumn("features", array_to_vector("z")).drop("z")
+def _vectors(df: DataFrame, features) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features").transform(df)
 
 
 def _fit_one(prepared: DataFrame, symbol: str, name: str, features, classify: bool):
-    rows = _vectors(prepared.where(F.col("symbol") == symbol), features,
-                    kernel=name in ("SVR", "SVC"))
+    rows = _vectors(prepared.where(F.col("symbol") == symbol), features)
     train = rows.where("is_train")
-    n_train = train.count()
     if classify:
-        est = _classifier(name, len(features), n_train)
+        est = _classifier(name, len(features))
         est = est.setLabelCol("label_d")
         train = train.withColumn("label_d", F.col("label").cast("double"))
     else:
@@ -128,13 +122,7 @@ def _fit_one(prepared: DataFrame, symbol: str, name: str, features, classify: bo
     out = scored.select("symbol", "rn", F.col("label").cast("double").alias("y"),
                         F.col("prediction").alias("p"), *(
                             [(F.element_at(vector_to_array("probability"), 2)).alias("prob_up")]
-                            if classify and name != "SVC" else
-                            [F.lit(None).cast("double").alias("prob_up")] if classify else []))
-    if classify and name == "SVC":
-        margin = F.element_at(vector_to_array(scored["rawPrediction"]), 2)
-        out = scored.select("symbol", "rn", F.col("label").cast("double").alias("y"),
-                            F.col("prediction").alias("p"),
-                            (F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))).alias("prob_up"))
+                            if classify else []))
     return out, model
 
 

@@ -52,6 +52,13 @@ def apply_imputer(df: DataFrame, fills: DataFrame, features=FEATURES) -> DataFra
     return out.drop(*[f"_fill_{f}" for f in features])
 
 
+def usable_features(fills: DataFrame, features=FEATURES) -> DataFrame:
+    """(symbol, usable, n_usable): the features a symbol's models use, in order.
+    A feature without any value has no fill mean and is left out."""
+    names = F.array_compact(F.array(*[F.when(F.col(f"_fill_{f}").isNotNull(), F.lit(f)) for f in features]))
+    return fills.select("symbol", names.alias("usable"), F.size(names).alias("n_usable"))
+
+
 def fit_scaler(imputed: DataFrame, features=FEATURES) -> DataFrame:
     """Mean and population standard deviation over training rows."""
     aggs = []
@@ -65,7 +72,10 @@ def apply_scaler(imputed: DataFrame, scaler: DataFrame, features=FEATURES) -> Da
     scaled = {}
     for f in features:
         sd = F.col(f"_sd_{f}")
-        scaled[f] = (F.col(f) - F.col(f"_mean_{f}")) / F.when(sd == 0, F.lit(1.0)).otherwise(sd)
+        # a feature left out (no value at all) is 0 on every row: it then adds nothing
+        # to a distance, and any least-squares or penalised fit gives it weight 0
+        scaled[f] = F.coalesce((F.col(f) - F.col(f"_mean_{f}")) / F.when(sd == 0, F.lit(1.0)).otherwise(sd),
+                               F.lit(0.0))
     out = out.withColumns(scaled)
     return out.drop(*[f"_{k}_{f}" for f in features for k in ("mean", "sd")])
 
@@ -74,8 +84,8 @@ def prepare(feat: DataFrame, target: str, features=FEATURES, test_size: float =
             impute_scope: str = "all", checkpoint: bool = True) -> DataFrame:
     """Rows of (symbol, date, rn, idx, n, is_train, label, scaled features).
 
-    A feature that is NULL on every row of a symbol has a NULL fill mean and
-    stays NULL after imputation; ``usable_features`` reports which to keep.
+    A feature that is NULL on every row of a symbol is left out of its models
+    (see ``apply_scaler``); ``usable_features`` reports which remain.
     """
     df = split_flags(feat.select("symbol", "date", "rn", *features, F.col(target).alias("label")),
                      test_size)

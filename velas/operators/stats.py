@@ -108,7 +108,11 @@ def return_histogram(feat: DataFrame, bins: int = HIST_BINS) -> DataFrame:
     """Equal-width histogram of daily returns per symbol (right edge in last bin)."""
     r = feat.where(F.col("daily_return").isNotNull()).select("symbol", "daily_return")
     rng = r.groupBy("symbol").agg(F.min("daily_return").alias("lo"), F.max("daily_return").alias("hi"))
-    pos = (F.col("daily_return") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.lit(float(bins))
+    # a flat series has no width: widen its range by half a unit on both sides
+    flat = F.col("hi") == F.col("lo")
+    rng = rng.select("symbol", F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
+                     F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
+    pos = F.try_divide(F.col("daily_return") - F.col("lo"), F.col("hi") - F.col("lo")) * F.lit(float(bins))
     binned = r.join(rng, "symbol").withColumn(
         "bin", F.least(F.floor(pos), F.lit(bins - 1)) + 1)
     counts = binned.groupBy("symbol", "bin").agg(F.count(F.lit(1)).alias("n"))
@@ -141,7 +145,7 @@ def return_density(feat: DataFrame, grid: int = DENSITY_GRID, cut: float = DENSI
         "symbol", "daily_return", "n", "bw", "g0", "step",
         F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point"))
     x = F.col("g0") + F.col("point") * F.col("step")
-    u = (x - F.col("daily_return")) / F.col("bw")
+    u = F.try_divide(x - F.col("daily_return"), F.col("bw"))  # no bandwidth (flat series): NULL density
     dens = pts.groupBy("symbol", "point").agg(
         F.sum(F.exp(F.lit(-0.5) * u * u)).alias("_s"),
         F.first("n").alias("n"), F.first("bw").alias("bw"),
@@ -149,4 +153,4 @@ def return_density(feat: DataFrame, grid: int = DENSITY_GRID, cut: float = DENSI
     norm = F.col("n") * F.col("bw") * F.lit(math.sqrt(2 * math.pi))
     return dens.select("symbol", F.col("point").cast("int").alias("point"),
                        (F.col("g0") + F.col("point") * F.col("step")).alias("x"),
-                       (F.col("_s") / norm).alias("density"))
+                       F.try_divide(F.col("_s"), norm).alias("density"))

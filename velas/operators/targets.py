@@ -28,8 +28,3 @@ def add_targets(df: DataFrame, w: SeriesWindow, variant: str = "canonical") -> D
     if variant == "canonical":
         cols["next_volatility"] = F.lead("volatility", 1).over(w.base)
     return df.withColumns(cols)
-
-
-def target_direction(close: str = "close", next_close: str = "next_close"):
-    """Direction predicate as a column: 1 if the next close is higher, else 0."""
-    return F.coalesce((F.col(next_close) > F.col(close)).cast("int"), F.lit(0))

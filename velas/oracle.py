@@ -42,6 +42,14 @@ SELECT o_orderpriority AS symbol, CAST(o_orderdate AS DATE) AS date,
 FROM orders GROUP BY 1, 2
 """
 
+BARS_MONTHLY = """
+SELECT o_orderpriority AS symbol, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS date,
+       arg_min(o_totalprice, o_orderkey) AS open, max(o_totalprice) AS high,
+       min(o_totalprice) AS low, arg_max(o_totalprice, o_orderkey) AS close,
+       CAST(count(*) AS DOUBLE) AS volume
+FROM orders GROUP BY 1, 2
+"""
+
 BARS_EVENTS = """
 SELECT event_type AS symbol, date_trunc('hour', ts) AS date,
        arg_min(value, event_id) AS open, max(value) AS high,
@@ -199,7 +207,7 @@ def prep_ctes(target: str, features=FEATURES, sfx: str = "", with_split: bool =
     imp = ", ".join(f"coalesce(sp.{f}, fl{sfx}.fill_{f}) AS {f}" for f in features)
     sc = ", ".join(f"avg({f}) AS mean_{f}, stddev_pop({f}) AS sd_{f}" for f in features)
     scaled = ", ".join(
-        f"(im{sfx}.{f} - sc{sfx}.mean_{f}) / (CASE WHEN sc{sfx}.sd_{f} = 0 THEN 1.0 ELSE sc{sfx}.sd_{f} END) AS {f}"
+        f"coalesce((im{sfx}.{f} - sc{sfx}.mean_{f}) / (CASE WHEN sc{sfx}.sd_{f} = 0 THEN 1.0 ELSE sc{sfx}.sd_{f} END), 0.0) AS {f}"
         for f in features)
     head = f"{split_cte()},\n" if with_split else ""
     return f"""{head}fl{sfx} AS (SELECT symbol, {fills} FROM sp GROUP BY symbol),
@@ -229,14 +237,15 @@ SELECT symbol, feature, CAST(ordinal AS INTEGER) AS ordinal, {_sr('fill_mean', s
        {_sr('mean', scales)}, {_sr('sd_pop', scales)}, fill_mean IS NULL AS dropped FROM pp"""
 
 
-def knn_ctes(target: str, classify: bool, k: int = 5, sfx: str = "", with_split: bool = True):
+def knn_ctes(target: str, classify: bool, k: int = 5, sfx: str = "", with_split: bool = True,
+             queries: str = "NOT q.is_train"):
     terms = ", ".join(f"(q.{f} - t.{f}) * (q.{f} - t.{f})" for f in FEATURES)
     # same left-to-right summation as the Spark side
     dist = f"sqrt(list_reduce([0.0::DOUBLE, {terms}], lambda a, b: a + b))"
     return f"""{prep_ctes(target, sfx=sfx, with_split=with_split)},
 pairs{sfx} AS (
   SELECT q.symbol, q.rn, q.label AS y, t.rn AS t_rn, t.label AS t_label, {dist} AS dist
-  FROM pr{sfx} q JOIN pr{sfx} t ON q.symbol = t.symbol AND NOT q.is_train AND t.is_train),
+  FROM pr{sfx} q JOIN pr{sfx} t ON q.symbol = t.symbol AND {queries} AND t.is_train),
 ranked{sfx} AS (SELECT *, row_number() OVER (PARTITION BY symbol, rn ORDER BY dist, t_rn) AS nn_rank
   FROM pairs{sfx}),
 knn{sfx} AS (SELECT symbol, rn, any_value(y) AS y, avg(CAST(t_label AS DOUBLE)) AS share
@@ -435,6 +444,11 @@ SELECT symbol, CAST(point AS INTEGER) AS point, {_sr('x', {'x': 6})}, {_sr('dens
                              + prep_params_sql({}) + ") WHERE NOT dropped")
     q["knn_regress"] = (f"{_w()}, {knn_ctes('next_close', False)} SELECT symbol, rn, "
                         f"{_sr('y', {'y': 2})}, {_sr('p', {'p': 4}, 'share')} FROM knn")
+    monthly = _w(bars_sql=BARS_MONTHLY)
+    q["apply_prep_monthly"] = (f"{monthly}, {prep_ctes('next_close')} "
+                               + _sel(["symbol", "rn", "idx", "n", "is_train", "label"] + list(FEATURES), ps, "pr"))
+    q["knn_monthly"] = (f"{monthly}, {knn_ctes('next_close', False)} SELECT symbol, rn, "
+                        f"{_sr('y', {'y': 2})}, {_sr('p', {'p': 4}, 'share')} FROM knn")
     q["knn_classify"] = (f"{_w()}, {knn_ctes('next_direction', True)} SELECT symbol, rn, "
                          f"CAST(y AS DOUBLE) AS y, CAST(CASE WHEN share > 0.5 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS p, "
                          f"{_sr('prob_up', {'prob_up': 6}, 'share')} FROM knn")
@@ -450,8 +464,8 @@ btp AS (
     f32 = {c: F32 for c in ("price_mse", "price_mae", "price_r2", "direction_accuracy", "direction_precision",
                             "direction_recall", "direction_f1", "volatility_mse", "volatility_mae",
                             "volatility_r2")}
-    q["backtest_summary"] = f"""{bt},
-pred AS (SELECT symbol, target, 'persistence' AS model, y, p FROM btp),
+    def summary(head: str) -> str:
+        return f"""{head},
 reg AS ({regression_metrics_select("pred WHERE target <> 'direction'")}),
 {class_report_select("pred WHERE target = 'direction'")}
 SELECT pz.symbol, {_sr('price_mse', f32, 'pz.mse')}, {_sr('price_mae', f32, 'pz.mae')}, {_sr('price_r2', f32, 'pz.r2')},
@@ -461,6 +475,28 @@ SELECT pz.symbol, {_sr('price_mse', f32, 'pz.mse')}, {_sr('price_mae', f32, 'pz.
 FROM (SELECT * FROM reg WHERE target = 'price') pz
 JOIN rep ON rep.symbol = pz.symbol
 JOIN (SELECT * FROM reg WHERE target = 'volatility') vz ON vz.symbol = pz.symbol"""
+
+    q["backtest_summary"] = summary(
+        f"{bt}, pred AS (SELECT symbol, target, 'persistence' AS model, y, p FROM btp)")
+    knns, picks = [], []
+    for target, col in (("price", "next_close"), ("direction", "next_direction"), ("volatility", "next_volatility")):
+        knns.append(knn_ctes(col, target == "direction", sfx=f"_{target}", with_split=False,
+                             queries="q.idx >= q.n - 60 AND q.idx < q.n - 1"))
+        p = "CASE WHEN share > 0.5 THEN 1.0 ELSE 0.0 END" if target == "direction" else "share"
+        picks.append(f"SELECT symbol, '{target}' AS target, 'KNN' AS model, CAST(y AS DOUBLE) AS y, "
+                     f"CAST({p} AS DOUBLE) AS p FROM knn_{target}")
+    q["backtest_summary_knn"] = summary(
+        f"{_w()}, {split_cte()}, {', '.join(knns)}, pred AS ({' UNION ALL '.join(picks)})")
+    models = [(t, m) for t in ("price", "volatility")
+              for m in ("Linear Regression", "Ridge Regression", "Lasso Regression", "ElasticNet")]
+    models.append(("direction", "Logistic Regression"))
+    values = ", ".join(f"('{t}', '{m}')" for t, m in models)
+    q["score_loaded"] = (f"{_w()}, {split_cte()}, spec(target, model) AS (VALUES {values}) "
+                         "SELECT symbol, target, model, count(*) AS n, count(*) AS n_same "
+                         "FROM sp, spec WHERE NOT is_train GROUP BY symbol, target, model")
+    q["model_roundtrip"] = (f"{_w()}, {split_cte()}, spec(target, model) AS (VALUES {values}) "
+                            "SELECT symbol, model, count(*) AS n, count(*) AS n_same FROM sp, spec "
+                            "WHERE NOT is_train AND target = 'price' GROUP BY symbol, model")
     ms = {"value": F32, "mse": F32, "mae": F32, "r2": F32, "accuracy": 6, "y": 6, "p": 6}
     q["union_targets"] = (holdout_ctes() + " " + _sel(["symbol", "target", "model", "rn", "y", "p"], ms, "pred"))
     q["regression_metrics"] = (holdout_ctes() + ", reg AS ("

@@ -70,7 +70,7 @@ def q_ffill(spark, sf):
 
 def _indicator_query(*cols, extra=()):
     def q(spark, sf):
-        return _cols(_ind(spark, sf, extra=extra), *cols)
+        return _cols(fplan.indicator_columns(_bars(spark, sf), cols, extra=extra), *cols)
     return q
 
 
@@ -209,6 +209,22 @@ def q_apply_prep(spark, sf):
                         dict(PREP_SCALES, label=2))
 
 
+def _monthly(spark, sf):
+    """Monthly bars of all orders: series too short for MA200, which no row has."""
+    return fplan.features(bsrc.bars_from_orders(spark, sf, "month"))
+
+
+def q_apply_prep_monthly(spark, sf):
+    df = prep.prepare(_monthly(spark, sf), "next_close")
+    return round_report(df.select("symbol", "rn", "idx", "n", "is_train", "label", *FEATURES),
+                        dict(PREP_SCALES, label=2))
+
+
+def q_knn_monthly(spark, sf):
+    prepared = prep.prepare(_monthly(spark, sf), "next_close")
+    return round_report(knn.knn_predict(prepared, list(FEATURES)), {"y": 2, "p": 4})
+
+
 def q_feature_manifest(spark, sf):
     return prep.feature_manifest(prep.prep_params(_feat(spark, sf)))
 
@@ -235,10 +251,12 @@ def q_backtest_pairs(spark, sf):
 
 
 def q_backtest_summary(spark, sf):
-    return round_report(backtest.backtest_summary(_backtest_pred(spark, sf)),
-                        {c: F32 for c in ("price_mse", "price_mae", "price_r2", "direction_accuracy",
-                                          "direction_precision", "direction_recall", "direction_f1",
-                                          "volatility_mse", "volatility_mae", "volatility_r2")})
+    return round_report(backtest.backtest_summary(_backtest_pred(spark, sf)), BACKTEST_SCALES)
+
+
+BACKTEST_SCALES = {c: F32 for c in ("price_mse", "price_mae", "price_r2", "direction_accuracy",
+                                    "direction_precision", "direction_recall", "direction_f1",
+                                    "volatility_mse", "volatility_mae", "volatility_r2")}
 
 
 # --- hold-out predictions of the relational models (KNN, persistence) ---
@@ -369,6 +387,8 @@ QUERIES = {
     "impute_mean": q_impute_mean,
     "standard_scale": q_standard_scale,
     "apply_prep": q_apply_prep,
+    "apply_prep_monthly": q_apply_prep_monthly,
+    "knn_monthly": q_knn_monthly,
     "feature_manifest": q_feature_manifest,
     "knn_regress": q_knn_regress,
     "knn_classify": q_knn_classify,

@@ -38,12 +38,14 @@ def output_columns(variant: str) -> list[str]:
 
 
 def _indicator_rows(bars: DataFrame, variant: str, block_rows: int, halo: int,
-                    extra: tuple[str, ...] = ()) -> DataFrame:
+                    extra: tuple[str, ...] = (), hold: bool = True) -> DataFrame:
     """Home rows with raw indicators and targets; OBV still block-local.
     ``extra`` keeps intermediate columns (tp, ma_tp, mad) for inspection."""
     # the bars (far smaller than the tables they come from) are written once:
-    # the numbering reads them twice (per-bucket counts and the rows)
-    seq = layout.sequence(materialize(coerce_numeric(bars)), fill_cols=list(BAR_COLS))
+    # the numbering reads them twice (per-bucket counts and the rows);
+    # ``hold=False`` keeps the plan lazy and reads them twice instead
+    bars = coerce_numeric(bars)
+    seq = layout.sequence(materialize(bars) if hold else bars, fill_cols=list(BAR_COLS))
     blocks = layout.halo_blocks(seq, block_rows=block_rows, back=halo)
     w = SeriesWindow(("symbol", "blk"), "rn")
     df = add_indicators(blocks, w)
@@ -75,6 +77,18 @@ def indicator_table(bars: DataFrame, variant: str = "canonical",
     return df.select(*output_columns(variant), *extra)
 
 
+def indicator_columns(bars: DataFrame, columns, variant: str = "canonical",
+                      block_rows: int = layout.BLOCK_ROWS, halo: int = layout.HALO_ROWS,
+                      extra: tuple[str, ...] = ()) -> DataFrame:
+    """Some raw indicators of every bar as one lazy plan: the windows that the
+    columns do not need are pruned, and nothing runs while it is built.  Only
+    OBV needs the block carry, and with it the written indicator rows."""
+    if "obv" in columns:
+        return indicator_table(bars, variant, block_rows, halo, extra).select("symbol", "date", "rn", *columns)
+    return _indicator_rows(bars, variant, block_rows, halo, extra, hold=False).select(
+        "symbol", "date", "rn", *columns)
+
+
 def features(bars: DataFrame, variant: str = "canonical", label_mode: str = "reference",
              block_rows: int = layout.BLOCK_ROWS, halo: int = layout.HALO_ROWS,
              drop_incomplete: bool = True) -> DataFrame:
@@ -93,13 +107,3 @@ def features(bars: DataFrame, variant: str = "canonical", label_mode: str = "ref
     if drop_incomplete:
         df = df.dropna(subset=list(ESSENTIAL[variant]))
     return df.select(*cols)
-
-
-def features_for(spark, sf_dir: str, variant: str = "canonical", **kw) -> DataFrame:
-    from velas.sources.bars import bars_from_orders
-    return features(bars_from_orders(spark, sf_dir), variant=variant, **kw)
-
-
-def indicators_for(spark, sf_dir: str, variant: str = "canonical", **kw) -> DataFrame:
-    from velas.sources.bars import bars_from_orders
-    return indicator_table(bars_from_orders(spark, sf_dir), variant=variant, **kw)

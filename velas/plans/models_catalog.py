@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from velas.functions.rounding import F32, round_report
-from velas.operators import knn, linear, metrics, mlzoo, predict, prep
+from velas.operators import artifacts, knn, linear, metrics, mlzoo, predict, prep
 from velas.operators.indicators import FEATURES
 from velas.plans import catalog as C
 from velas.session import materialize, scratch_path
@@ -143,7 +143,7 @@ def q_model_roundtrip(spark, sf):
     the reloaded model must give the same predictions."""
     feat = materialize(C._feat(spark, sf))
     prepared = prep.prepare(feat, "next_close")
-    coefs = linear.fit_linear(prepared, FEATS)
+    coefs = materialize(linear.fit_linear(prepared, FEATS))  # fitted once, used and written
     base = scratch_path(spark, f"models-{uuid.uuid4().hex}")
     files.write_table(coefs, f"{base}/coefficients", partition_by=["symbol"])
     files.write_table(prep.prep_params(feat), f"{base}/prep_params", partition_by=["symbol"])
@@ -151,8 +151,35 @@ def q_model_roundtrip(spark, sf):
     test = prepared.where(~F.col("is_train")).select("symbol", "rn", *FEATS)
     a = linear.predict_linear(test, coefs, FEATS).select("symbol", "rn", "model", F.col("p").alias("p_fit"))
     b = linear.predict_linear(test, loaded, FEATS).select("symbol", "rn", "model", F.col("p").alias("p_loaded"))
-    return a.join(b, ["symbol", "rn", "model"]).withColumn(
-        "same", F.abs(F.col("p_fit") - F.col("p_loaded")) <= F.lit(1e-9) * F.abs(F.col("p_fit")))
+    same = F.abs(F.col("p_fit") - F.col("p_loaded")) <= F.lit(1e-9) * F.abs(F.col("p_fit"))
+    return (a.join(b, ["symbol", "rn", "model"], "left").groupBy("symbol", "model")
+            .agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(same.cast("long"), F.lit(0))).alias("n_same")))
+
+
+def q_score_loaded(spark, sf):
+    """Fit and store every symbol's models, score the feature table from the
+    stored tables alone, and count the hold-out rows whose reloaded prediction
+    equals the one made while fitting, per symbol, target and model."""
+    feat = materialize(C._feat(spark, sf))
+    folder = scratch_path(spark, f"model-folder-{uuid.uuid4().hex}")
+    fitted = artifacts.save(feat, folder)
+    loaded = artifacts.score(feat, folder).withColumnRenamed("p", "q")
+    same = F.abs(F.col("p") - F.col("q")) <= F.lit(1e-9) * F.greatest(F.abs(F.col("p")), F.lit(1.0))
+    return (fitted.join(loaded.select("symbol", "rn", "target", "model", "q"), ["symbol", "rn", "target", "model"], "left")
+            .groupBy("symbol", "target", "model")
+            .agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(same.cast("long"), F.lit(0))).alias("n_same")))
+
+
+def q_next_bar_job(spark, sf):
+    """The whole job: bars, features, models fitted or loaded, champions,
+    next-bar record and report (every series' latest row)."""
+    feat = materialize(C._feat(spark, sf))
+    folder = scratch_path(spark, f"model-folder-{uuid.uuid4().hex}")
+    artifacts.save(feat, folder)
+    latest = C.clean.latest_n(feat, 1)
+    scored = artifacts.train_or_load(latest, folder)
+    return predict.prediction_report(predict.next_bar_record(
+        scored, latest.select("symbol", "rn", "date", "close")))
 
 
 def q_parse_event_props(spark, sf):
@@ -181,32 +208,47 @@ def q_union_symbols(spark, sf):
     return round_report(bsrc.union_symbols(frames))
 
 
+def _backtest_window(feat, prepared):
+    """(rows, labels, KNN predictions) of the backtest window."""
+    from velas.operators import backtest
+    window = backtest.backtest_rows(feat).select("symbol", "rn", "in_sample")
+    rows = materialize(prepared.join(window, ["symbol", "rn"]))
+    # the window's rows as queries of the neighbour search, the training rows as neighbours
+    asked = prepared.where("is_train").unionByName(rows.drop("in_sample").withColumn("is_train", F.lit(False)))
+    near = knn.knn_predict_multi(asked, FEATS, {f"y_{t}": t == "direction" for t in TARGETS}).select(
+        "symbol", "rn", F.substring("label", 3, 100).alias("target"), F.lit("KNN").alias("model"), "p", "prob_up")
+    labels = rows.select("symbol", "rn", "in_sample", F.explode(F.array(*[
+        F.struct(F.lit(t).alias("target"), F.col(f"y_{t}").cast("double").alias("y")) for t in TARGETS])).alias("_l")
+    ).select("symbol", "rn", "in_sample", "_l.*")
+    return rows, labels, near
+
+
 def q_backtest_models(spark, sf):
-    """M21 with fitted models: the last 60 bars of every series scored by the
-    linear family (fitted on the chronological training split) and by KNN
-    (training rows as neighbours); actuals from the next bar; ``in_sample``
-    marks bars that were also training rows."""
+    """M21 with fitted models: the last 60 bars of every series scored for
+    price, direction and volatility by the linear family, logistic regression
+    (fitted on the chronological training split) and KNN (training rows as
+    neighbours); actuals from the next bar; ``in_sample`` marks bars that were
+    also training rows."""
+    feat = materialize(C._feat(spark, sf))
+    models, prepared = artifacts.fit_models(feat)
+    rows, labels, near = _backtest_window(feat, prepared)
+    pred = artifacts.apply_models(rows, models).unionByName(near).join(labels, ["symbol", "rn", "target"])
+    return pred.select("symbol", "rn", "in_sample", "model", "target", "y", "p")
+
+
+def q_backtest_summary_knn(spark, sf):
+    """A12 for KNN on all three targets."""
     from velas.operators import backtest
     feat = materialize(C._feat(spark, sf))
-    prepared = prep.prepare_multi(feat, TARGETS)
-    window = backtest.backtest_rows(feat).select("symbol", "rn", "in_sample")
-    rows = prepared.join(window, ["symbol", "rn"])
-    parts = []
-    for target in ("price", "volatility"):
-        coefs = linear.fit_linear(prepared.withColumn("label", F.col(f"y_{target}")), FEATS)
-        scored = linear.predict_linear(rows.select("symbol", "rn", "in_sample", F.col(f"y_{target}").alias("y"),
-                                                   *FEATS), coefs, FEATS)
-        parts.append(scored.select("symbol", "rn", "in_sample", "model", F.lit(target).alias("target"),
-                                   F.col("y").cast("double").alias("y"), "p"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    _, labels, near = _backtest_window(feat, prep.prepare_multi(feat, TARGETS))
+    pred = near.join(labels, ["symbol", "rn", "target"])
+    return round_report(backtest.backtest_summary(pred), C.BACKTEST_SCALES)
 
 
 MODEL_QUERIES = {
     "union_symbols": q_union_symbols,
     "backtest_models": q_backtest_models,
+    "backtest_summary_knn": q_backtest_summary_knn,
     "backtest_persistence": C.q_backtest_pairs,
     "ols_predict": _model_query("Linear Regression", "price"),
     "ridge_predict": _model_query("Ridge Regression", "price"),
@@ -230,6 +272,8 @@ MODEL_QUERIES = {
     "scan_bars": q_scan_bars,
     "sink_metrics": q_sink_metrics,
     "model_roundtrip": q_model_roundtrip,
+    "score_loaded": q_score_loaded,
+    "next_bar_job": q_next_bar_job,
     "parse_event_props": q_parse_event_props,
     "epoch_to_date": q_epoch_to_date,
     "chart_price_history": q_chart_price_history,

@@ -38,10 +38,11 @@ def resample_bars(df: DataFrame, symbol: str, ts: str, price: str, seq: str,
     )
 
 
-def bars_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bars: one series per order priority, prices = order totals."""
+def bars_from_orders(spark: SparkSession, sf_dir: str, unit: str | None = None) -> DataFrame:
+    """Bars of orders, daily unless ``unit`` says otherwise: one series per order
+    priority, prices = order totals."""
     orders = read_table(spark, sf_dir, "orders")
-    return resample_bars(orders, "o_orderpriority", "o_orderdate", "o_totalprice", "o_orderkey")
+    return resample_bars(orders, "o_orderpriority", "o_orderdate", "o_totalprice", "o_orderkey", unit)
 
 
 def bars_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,12 +29,25 @@ def write_bars_csv(bars: DataFrame, path: str) -> None:
      .write.mode("overwrite").partitionBy("symbol").option("header", True).csv(path))
 
 
-def scan_bars(spark: SparkSession, path: str, symbols: list[str] | None = None) -> DataFrame:
-    """Read bar CSVs; unparsable numbers become NULL (try_cast)."""
-    df = (spark.read.schema(BARS_CSV_SCHEMA.add("symbol", T.StringType()))
-          .option("header", True).option("enforceSchema", False).csv(path))
-    if symbols is not None:
-        df = df.where(F.col("symbol").isin(symbols))  # partition pruning
+def scan_bars(spark: SparkSession, path: str, symbols: list[str] | None = None,
+              layout: str = "folders") -> DataFrame:
+    """Read bar CSVs; unparsable numbers become NULL (try_cast).
+
+    layout 'folders': ``symbol=<name>/*.csv``; 'files': one file per symbol,
+    ``<name>_historical.csv`` or ``<name>.csv``, the symbol taken from the
+    file name.  ``symbols`` prunes folders or files before they are read."""
+    if layout == "files":
+        paths = path if symbols is None else [f"{path.rstrip('/')}/{s}{{_historical,}}.csv" for s in symbols]
+        df = spark.read.option("header", True).csv(paths)
+        for c in ("Open", "High", "Low", "Close", "Volume"):
+            if c not in df.columns:
+                df = df.withColumn(c, F.lit(None).cast("string"))
+        df = df.withColumn("symbol", F.regexp_extract(F.col("_metadata.file_name"), r"^(.+?)(?:_historical)?\.csv", 1))
+    else:
+        schema = T.StructType([*BARS_CSV_SCHEMA.fields, T.StructField("symbol", T.StringType())])
+        df = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+        if symbols is not None:
+            df = df.where(F.col("symbol").isin(symbols))  # partition pruning
     num = {c: F.expr(f"try_cast(`{src}` as double)") for c, src in
            (("open", "Open"), ("high", "High"), ("low", "Low"), ("close", "Close"), ("volume", "Volume"))}
     return df.select("symbol", F.to_date("Date").alias("date"), *[v.alias(k) for k, v in num.items()])
