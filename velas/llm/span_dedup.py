@@ -221,11 +221,13 @@ def repeated_pieces(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
     found = store(docs.mapInArrow(_runs(k, m, hot), RUN_SCHEMA)
                   .repartition("part").sortWithinPartitions("part", "doc_id", "at")
                   .mapInArrow(_sources, PIECE_SCHEMA), "span-pieces")
-    # an edge has the rows of at most one document per salt here
-    among = Window.partitionBy("edge").orderBy("doc_id", "start")
-    settled = (found.where("edge is not null")
-               .withColumn("src_doc", F.first("doc_id").over(among))
-               .withColumn("src_start", F.first("start").over(among)).where("src_doc < doc_id"))
+    # the first of an edge's rows, by partial aggregation, joined back to them
+    among = found.where("edge is not null")
+    source = store(among.groupBy(F.col("edge").alias("_edge")).agg(F.min(F.struct("doc_id", "start")).alias("_first")),
+                   "span-sources")
+    settled = (among.join(source, F.col("edge") == F.col("_edge"))
+               .withColumn("src_doc", F.col("_first.doc_id")).withColumn("src_start", F.col("_first.start"))
+               .where("src_doc < doc_id").select(*found.columns))
     return found.where("edge is null").union(settled).drop("edge")
 
 
