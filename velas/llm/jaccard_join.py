@@ -20,10 +20,11 @@ verified.
 **Candidates.**  Shingles held by up to ``SMALL`` prefixes give their pairs, at
 most SMALL * (SMALL - 1) / 2 each, counted per pair against l.  A larger group
 gives a star: every member with one pivot.  Only where members of such a group
-still lie in different components after that, the pairs between components
-follow; no pair within a component is ever made.  Candidates are cut by size
-and by a parity sketch: 512 bits, each the parity of the shingles hashed to
-it, so that differing bits never exceed the symmetric difference.
+still lie in different components after that, sketches are compared across
+components inside a task, block by block, and the pairs they admit follow; no
+pair within a component is ever made.  Candidates are cut by size and by a
+parity sketch: 512 bits, each the parity of the shingles hashed to it, so that
+differing bits never exceed the symmetric difference.
 
 **Verification** compares whole sets.  First each class meets its nearest
 candidate by sketch; components follow; the remaining pairs are verified only
@@ -61,6 +62,7 @@ HOT_RANK = 1 << 20          # count that stands for every hot shingle
 BEYOND_ZONE = 1 << 30       # and for shingles outside the zone
 SMALL = 16
 MAX_MATCHES = 4
+BLOCK_ROWS = 1024
 NO_ID = (1 << 63) - 1
 SIEVE_BITS = 1 << 26
 
@@ -255,6 +257,79 @@ def _near(candidates: DataFrame, classes: DataFrame) -> DataFrame:
             .select("u", "v", "apart"))
 
 
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by (pivot, block, token, side): pairs of a row of side 0
+    and one of side 1 in the same group, in different components, that size and
+    sketch admit.  A pair that several groups of a pivot hold comes once."""
+    key = token = None
+    kept: list[list[np.ndarray]] = []  # side 0 of the group at hand: cls, n, root, bits
+    seen: set[tuple[int, int]] = set()
+    for b in batches:
+        pivot, block, tokens, side, cls, n, root = (
+            b.column(c).to_numpy() for c in ("pivot", "block", "token", "side", "cls", "n", "root"))
+        bits = b.column("bits").flatten().to_numpy().view(np.uint64).reshape(-1, 8)
+        out: list[tuple[int, int]] = []
+        edge = np.flatnonzero((np.diff(pivot) != 0) | (np.diff(block) != 0) | (np.diff(tokens) != 0)
+                              | (np.diff(side) != 0)) + 1
+        for lo, hi in zip(np.append(0, edge), np.append(edge, len(pivot))):
+            if lo == hi:
+                continue
+            if (pivot[lo], block[lo]) != key:
+                key, seen = (pivot[lo], block[lo]), set()
+                token = None
+            if tokens[lo] != token:
+                token, kept = tokens[lo], []
+            rows = [x[lo:hi] for x in (cls, n, root, bits)]
+            if side[lo] == 0:
+                kept.append(rows)
+                continue
+            if not kept:
+                continue
+            if len(kept) > 1:
+                kept = [[np.concatenate(x) for x in zip(*kept)]]
+            a_cls, a_n, a_root, a_bits = kept[0]
+            step = max(1, (1 << 17) // len(a_cls))
+            for at in range(0, hi - lo, step):
+                b_cls, b_n, b_root, b_bits = (x[at:at + step] for x in rows)
+                s = a_n[:, None].astype(np.int64) + b_n[None, :]
+                apart = np.bitwise_count(a_bits[:, None, :] ^ b_bits[None, :, :]).sum(axis=2, dtype=np.int64)
+                room = s - 2 * (-(-PERCENT * s // (100 + PERCENT)))
+                i, j = np.nonzero((apart <= room) & (a_root[:, None] != b_root[None, :])
+                                  & (100 * np.minimum(a_n[:, None], b_n[None, :])
+                                     >= PERCENT * np.maximum(a_n[:, None], b_n[None, :])))
+                for u, v in zip(np.minimum(a_cls[i], b_cls[j]).tolist(), np.maximum(a_cls[i], b_cls[j]).tolist()):
+                    if (u, v) not in seen:
+                        seen.add((u, v))
+                        out.append((u, v))
+        if out:
+            u, v = zip(*out)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+
+def _between_components(placed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (u, v) of large groups whose members lie in several components.
+    ``placed``: token, pivot, cls, n, root.  The members outside a group's main
+    component, in blocks of about BLOCK_ROWS, meet all its members."""
+    roots = placed.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"))
+    main = (roots.groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("main"),
+                                       F.count(F.lit(1)).alias("k"), (F.sum("c") - F.max("c")).alias("outside"))
+            .where("k > 1"))
+    mixed = store(placed.join(main.select("token", "main", "outside"), "token")
+                  .join(classes.select("cls", "bits"), "cls"), "jaccard-mixed")
+    blocks_of = store(mixed.groupBy("pivot").agg(
+        F.ceil(F.max("outside") / BLOCK_ROWS).cast("int").alias("n_blocks")), "jaccard-blocks")
+    rows = mixed.join(blocks_of, "pivot").select(
+        "pivot", "token", "cls", "n", "root", "bits", (F.col("root") != F.col("main")).alias("_out"), "n_blocks")
+    columns = ["pivot", "block", "token", "side", "cls", "n", "root", "bits"]
+    ours = rows.where("_out").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("n_blocks")).cast("int")).withColumn(
+        "side", F.lit(0))
+    theirs = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).withColumn(
+        "side", F.lit(1))
+    return store(ours.select(columns).union(theirs.select(columns)).repartition("pivot", "block")
+                 .sortWithinPartitions("pivot", "block", "token", "side")
+                 .mapInArrow(_across, "u long, v long").distinct(), "jaccard-across")
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
@@ -340,7 +415,7 @@ def jaccard_classes(rows: DataFrame, described: DataFrame) -> DataFrame:
     joined = store(components(links), "jaccard-components")
 
     def between(pairs: DataFrame) -> DataFrame:
-        """Pairs that lie in different components so far."""
+        """Pairs that lie in different components of ``joined``."""
         return (_rooted(_rooted(pairs, joined, "u", "_ru"), joined, "v", "_rv")
                 .where("_ru <> _rv").select("u", "v"))
 
@@ -349,20 +424,18 @@ def jaccard_classes(rows: DataFrame, described: DataFrame) -> DataFrame:
         links = links.union(_verify(rest, sets))
         joined = store(components(links), "jaccard-components")
     # large groups whose members still lie in several components: the pairs between these
-    placed = store(_rooted(many.select("token", "cls", "n"), joined, "cls", "root"), "jaccard-placed")
-    roots = placed.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"))
-    main = (roots.groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("main"),
-                                       F.count(F.lit(1)).alias("k")).where("k > 1"))
-    mixed = store(placed.join(main.select("token", "main"), "token"), "jaccard-mixed")
-    if not mixed.isEmpty():
-        a = mixed.where("root <> main").select("token", F.col("cls").alias("a"), F.col("n").alias("na"),
-                                               F.col("root").alias("ra"))
-        b = mixed.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-        across = (a.join(b, "token").where("ra <> rb").where(_fits("na", "nb"))
-                  .select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
-        more = store(_near(across, classes).select("u", "v"), "jaccard-across")
-        if not more.isEmpty():
-            joined = store(components(links.union(_verify(more, sets))), "jaccard-components")
+    placed = store(_rooted(many.select("token", "pivot", "cls", "n"), joined, "cls", "root"), "jaccard-placed")
+    more = _between_components(placed, classes)
+    if not more.isEmpty():
+        # one pair for each two components first; whatever these do not join follows
+        best = (_rooted(_rooted(more, joined, "u", "_ru"), joined, "v", "_rv")
+                .groupBy(F.least("_ru", "_rv").alias("_a"), F.greatest("_ru", "_rv").alias("_b"))
+                .agg(F.min(F.struct("u", "v")).alias("p")).select("p.u", "p.v"))
+        links = links.union(_verify(best, sets))
+        joined = store(components(links), "jaccard-components")
+        rest = store(between(more), "jaccard-rest")
+        if not rest.isEmpty():
+            joined = store(components(links.union(_verify(rest, sets))), "jaccard-components")
     return joined
 
 
