@@ -20,6 +20,7 @@ Prediction rows: symbol, rn, y, p (+ prob_up for classifiers).
 from __future__ import annotations
 
 import math
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from velas.operators import knn, linear
+from velas.session import scratch_path
 
 SEED = 42
 RFF_DIM = 256
@@ -126,6 +128,16 @@ def _fit_one(prepared: DataFrame, symbol: str, name: str, features, classify: bo
     return out, model
 
 
+def by_symbol(prepared: DataFrame) -> DataFrame:
+    """The prepared rows written once, a folder per symbol: each per-symbol fit
+    then reads its own files.  Rebalancing cuts a large symbol into several
+    files by size and keeps a small one whole."""
+    spark = prepared.sparkSession
+    path = scratch_path(spark, f"by-symbol-{uuid.uuid4().hex}")
+    prepared.hint("rebalance", "symbol").write.partitionBy("symbol").parquet(path)
+    return spark.read.schema(prepared.schema).parquet(path)
+
+
 def symbols_of(prepared: DataFrame) -> list[str]:
     return sorted(r[0] for r in prepared.select("symbol").distinct().collect())
 
@@ -158,6 +170,7 @@ def fit_predict(prepared: DataFrame, name: str, features, classify: bool) -> Dat
     if name == "KNN":
         out = knn.knn_predict(prepared, list(features), classify=classify)
         return out
+    prepared = by_symbol(prepared)
     syms = symbols_of(prepared)
     with ThreadPoolExecutor(max_workers=FIT_THREADS) as pool:
         parts = list(pool.map(lambda s: _fit_one(prepared, s, name, features, classify)[0], syms))

@@ -91,15 +91,12 @@ def q_sink_predictions(spark, sf):
     return spark.read.option("header", True).csv(path)
 
 
-def q_model_bakeoff(spark, sf):
-    """Every model of the family on every target: hold-out metrics, long form.
-    Linear family and KNN come from the shared grouped / relational passes;
-    the pyspark.ml models are fitted per symbol."""
+def _bakeoff(spark, sf, targets):
     pred, feat = fast_predictions(spark, sf)
-    parts = [pred.select("symbol", "rn", "y", "p", "target", "model")]
-    prepared = prep.prepare_multi(feat, TARGETS)
+    parts = [pred.where(F.col("target").isin(*targets)).select("symbol", "rn", "y", "p", "target", "model")]
+    prepared = mlzoo.by_symbol(prep.prepare_multi(feat, TARGETS))
     jobs = []
-    for target in TARGETS:
+    for target in targets:
         classify = target == "direction"
         names = mlzoo.CLASSIFICATION_MODELS if classify else mlzoo.REGRESSION_MODELS
         rows = prepared.withColumn("label", F.col(f"y_{target}"))
@@ -114,7 +111,30 @@ def q_model_bakeoff(spark, sf):
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return round_report(_metrics(materialize(out)), {"value": F32})
+    out = materialize(out)
+    kinds = [metrics.regression_metrics(out.where("target != 'direction'"))
+             if set(targets) - {"direction"} else None,
+             metrics.classification_metrics(out.where("target = 'direction'")) if "direction" in targets else None]
+    return round_report(metrics.metrics_long(*kinds), {"value": F32})
+
+
+def q_model_bakeoff(spark, sf):
+    """Every model of the family on every target: hold-out metrics, long form.
+    Linear family and KNN come from the shared grouped / relational passes;
+    the pyspark.ml models are fitted per symbol."""
+    return _bakeoff(spark, sf, list(TARGETS))
+
+
+def q_bakeoff_price(spark, sf):
+    return _bakeoff(spark, sf, ["price"])
+
+
+def q_bakeoff_direction(spark, sf):
+    return _bakeoff(spark, sf, ["direction"])
+
+
+def q_bakeoff_volatility(spark, sf):
+    return _bakeoff(spark, sf, ["volatility"])
 
 
 def q_sink_features(spark, sf):
@@ -265,6 +285,9 @@ MODEL_QUERIES = {
     "rff_svc": _model_query("SVC", "direction"),
     "mlp_classify": _model_query("MLP", "direction"),
     "model_bakeoff": q_model_bakeoff,
+    "bakeoff_price": q_bakeoff_price,
+    "bakeoff_direction": q_bakeoff_direction,
+    "bakeoff_volatility": q_bakeoff_volatility,
     "predict_next_bar": q_predict_next_bar,
     "prediction_report": q_prediction_report,
     "sink_predictions": q_sink_predictions,
