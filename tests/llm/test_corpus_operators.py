@@ -194,3 +194,15 @@ def test_pipeline_stages(spark):
             assert Counter(ids) == Counter({d: w[3] // w[0] for d, w in want.items() if w[3]})
         else:
             assert len(after) == len(before) and all(r.shard for r in after)
+
+
+def test_stored_tables_are_discarded(spark):
+    import os
+    from velas.llm import common
+    kept, common._stored[:] = list(common._stored), []
+    common.store(spark.range(5), "t")
+    path = common._stored[0].removeprefix("file:")
+    assert os.path.isdir(path)
+    common.discard_stored(spark)
+    assert not os.path.exists(path) and not common._stored
+    common._stored[:] = kept

@@ -23,6 +23,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_stored: list[str] = []
+
+
+def discard_stored(spark: SparkSession) -> None:
+    """Delete the tables that ``store`` has written in this session, at the end
+    of a job: results that have not been written out yet still read them."""
+    while _stored:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_stored.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the cluster's shared checkpoint folder and
     read it back: later uses neither recompute it nor depend on executors that
@@ -30,6 +41,7 @@ def store(df: DataFrame, name: str) -> DataFrame:
     so a chain of stored steps needs the disk of one step."""
     spark = df.sparkSession
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    _stored.append(path)
     before = {k: spark.conf.get(k) for k in WRITE_CONF}
     for k, v in WRITE_CONF.items():
         spark.conf.set(k, v)
