@@ -1,9 +1,10 @@
-"""Connected components of an edge table by alternating large and small stars.
+"""Connected components of an edge table by smallest labels and pointer jumps.
 
-Each round links every node's larger neighbours, then its smaller ones, to the
-smallest neighbour it knows; the edges end as stars around each component's
-smallest node after a number of rounds logarithmic in the nodes.  Minima are
-partial aggregations and the joins are equi-joins on stored tables, which
+Every node starts as its own label.  A round gives each node the smallest
+label among itself and its neighbours, then the label of its label; labels
+thus reach over paths that double in length.  Rounds end when nothing changes:
+then all neighbours agree, on the smallest node of their component.  Minima
+are partial aggregations and the joins are equi-joins of stored tables, which
 adaptive execution splits at a node with very many edges.
 """
 
@@ -14,30 +15,21 @@ from pyspark.sql import DataFrame, functions as F
 from velas.llm.common import store
 
 
-def _minima(edges: DataFrame) -> DataFrame:
-    return store(edges.groupBy(F.col("u").alias("_u")).agg(F.min("v").alias("_m"))
-                 .select("_u", F.least("_u", "_m").alias("_m")), "minima")
-
-
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of an edge table (u, v): root is the smallest
     node of its component.  Loops and repeated edges do no harm."""
-    now = store(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-                .distinct(), "edges")
-    state = _state(now)
-    while True:
-        both = store(now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), "edges")
-        large = store(both.join(_minima(both), F.col("u") == F.col("_u")).where("v > u")
-                      .select(F.col("v").alias("u"), F.col("_m").alias("v")).distinct(), "edges")
-        star = large.join(_minima(large), F.col("u") == F.col("_u"))
-        now = store(star.select(F.col("v").alias("u"), F.col("_m").alias("v"))
-                    .union(star.select("u", F.col("_m").alias("v"))).where("u <> v").distinct(), "edges")
-        was, state = state, _state(now)
-        if state == was:
-            break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
-        now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+    one_way = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    both = store(one_way.union(one_way.select(F.col("v").alias("u"), F.col("u").alias("v"))), "edges")
+    # the first round needs no join: every neighbour is its own label
+    labels = both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("root"))
+    labels = store(labels.withColumn("changed", F.lit(True)), "labels")
+    while not labels.where("changed").isEmpty():
+        jumps = labels.select(F.col("node").alias("_at"), F.col("root").alias("_to"))
+        jumped = store(labels.join(jumps, F.col("root") == F.col("_at")).select(
+            "node", F.col("root").alias("was"), F.col("_to").alias("root")), "labels")
+        near = both.join(jumped.select(F.col("node").alias("v"), F.col("root").alias("_near")), "v").groupBy("u").agg(
+            F.min("_near").alias("_near"))
+        labels = store(jumped.join(near, F.col("node") == F.col("u")).select(
+            "node", F.least("root", "_near").alias("root"),
+            (F.col("was") != F.least("root", "_near")).alias("changed")), "labels")
+    return labels.select("node", "root")

@@ -63,6 +63,7 @@ BEYOND_ZONE = 1 << 30       # and for shingles outside the zone
 SMALL = 16
 MAX_MATCHES = 4
 BLOCK_ROWS = 1024
+TOKEN_PARTS = 8             # the groups of one pivot go to so many tasks
 NO_ID = (1 << 63) - 1
 SIEVE_BITS = 1 << 26
 
@@ -258,24 +259,24 @@ def _near(candidates: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (pivot, block, token, side): pairs of a row of side 0
+    """From rows sorted by (pivot, part, block, token, side): pairs of a row of side 0
     and one of side 1 in the same group, in different components, that size and
-    sketch admit.  A pair that several groups of a pivot hold comes once."""
+    sketch admit.  A pair that several groups of a part hold comes once."""
     key = token = None
     kept: list[list[np.ndarray]] = []  # side 0 of the group at hand: cls, n, root, bits
     seen: set[tuple[int, int]] = set()
     for b in batches:
-        pivot, block, tokens, side, cls, n, root = (
-            b.column(c).to_numpy() for c in ("pivot", "block", "token", "side", "cls", "n", "root"))
+        pivot, part, block, tokens, side, cls, n, root = (
+            b.column(c).to_numpy() for c in ("pivot", "part", "block", "token", "side", "cls", "n", "root"))
         bits = b.column("bits").flatten().to_numpy().view(np.uint64).reshape(-1, 8)
         out: list[tuple[int, int]] = []
-        edge = np.flatnonzero((np.diff(pivot) != 0) | (np.diff(block) != 0) | (np.diff(tokens) != 0)
+        edge = np.flatnonzero((np.diff(pivot) != 0) | (np.diff(part) != 0) | (np.diff(block) != 0) | (np.diff(tokens) != 0)
                               | (np.diff(side) != 0)) + 1
         for lo, hi in zip(np.append(0, edge), np.append(edge, len(pivot))):
             if lo == hi:
                 continue
-            if (pivot[lo], block[lo]) != key:
-                key, seen = (pivot[lo], block[lo]), set()
+            if (pivot[lo], part[lo], block[lo]) != key:
+                key, seen = (pivot[lo], part[lo], block[lo]), set()
                 token = None
             if tokens[lo] != token:
                 token, kept = tokens[lo], []
@@ -320,13 +321,15 @@ def _between_components(placed: DataFrame, classes: DataFrame) -> DataFrame:
         F.ceil(F.max("outside") / BLOCK_ROWS).cast("int").alias("n_blocks")), "jaccard-blocks")
     rows = mixed.join(blocks_of, "pivot").select(
         "pivot", "token", "cls", "n", "root", "bits", (F.col("root") != F.col("main")).alias("_out"), "n_blocks")
-    columns = ["pivot", "block", "token", "side", "cls", "n", "root", "bits"]
+    rows = rows.withColumn("part", F.pmod("token", F.lit(TOKEN_PARTS)).cast("int"))
+    key = ["pivot", "part", "block"]
+    columns = [*key, "token", "side", "cls", "n", "root", "bits"]
     ours = rows.where("_out").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("n_blocks")).cast("int")).withColumn(
         "side", F.lit(0))
     theirs = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).withColumn(
         "side", F.lit(1))
-    return store(ours.select(columns).union(theirs.select(columns)).repartition("pivot", "block")
-                 .sortWithinPartitions("pivot", "block", "token", "side")
+    return store(ours.select(columns).union(theirs.select(columns)).repartition(*key)
+                 .sortWithinPartitions(*key, "token", "side")
                  .mapInArrow(_across, "u long, v long").distinct(), "jaccard-across")
 
 
@@ -384,6 +387,18 @@ def _rooted(table: DataFrame, joined: DataFrame, key: str, name: str) -> DataFra
     return table.join(c, key, "left").withColumn(name, F.coalesce(name, key))
 
 
+def _merge(joined: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after further links: components of the graph of the roots
+    that the links join, put through to the nodes."""
+    between = store(_rooted(_rooted(links, joined, "u", "_ru"), joined, "v", "_rv")
+                    .select(F.col("_ru").alias("u"), F.col("_rv").alias("v")), "jaccard-roots")
+    found = components(between).select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    again = joined.join(found, F.col("root") == F.col("_node"), "left").select(
+        "node", F.coalesce("_root", "root").alias("root"))
+    alone = found.join(joined.select("node"), F.col("_node") == F.col("node"), "left_anti")
+    return store(again.union(alone), "jaccard-components")
+
+
 def jaccard_classes(rows: DataFrame, described: DataFrame) -> DataFrame:
     """(node, root) of all classes that link to another; rows have (_id, text)."""
     classes = store(described.where("cls is not null").groupBy("cls").agg(
@@ -411,8 +426,7 @@ def jaccard_classes(rows: DataFrame, described: DataFrame) -> DataFrame:
     ends = candidates.select("u", "v", "apart", F.explode(F.array("u", "v")).alias("_end"))
     nearest = (ends.groupBy("_end").agg(F.min_by(F.struct("u", "v"), F.struct("apart", "u", "v")).alias("p"))
                .select("p.u", "p.v").distinct())
-    links = _verify(nearest, sets)
-    joined = store(components(links), "jaccard-components")
+    joined = store(components(_verify(nearest, sets)), "jaccard-components")
 
     def between(pairs: DataFrame) -> DataFrame:
         """Pairs that lie in different components of ``joined``."""
@@ -421,8 +435,7 @@ def jaccard_classes(rows: DataFrame, described: DataFrame) -> DataFrame:
 
     rest = store(between(candidates.select("u", "v")), "jaccard-rest")
     if not rest.isEmpty():
-        links = links.union(_verify(rest, sets))
-        joined = store(components(links), "jaccard-components")
+        joined = _merge(joined, _verify(rest, sets))
     # large groups whose members still lie in several components: the pairs between these
     placed = store(_rooted(many.select("token", "pivot", "cls", "n"), joined, "cls", "root"), "jaccard-placed")
     more = _between_components(placed, classes)
@@ -431,11 +444,10 @@ def jaccard_classes(rows: DataFrame, described: DataFrame) -> DataFrame:
         best = (_rooted(_rooted(more, joined, "u", "_ru"), joined, "v", "_rv")
                 .groupBy(F.least("_ru", "_rv").alias("_a"), F.greatest("_ru", "_rv").alias("_b"))
                 .agg(F.min(F.struct("u", "v")).alias("p")).select("p.u", "p.v"))
-        links = links.union(_verify(best, sets))
-        joined = store(components(links), "jaccard-components")
+        joined = _merge(joined, _verify(best, sets))
         rest = store(between(more), "jaccard-rest")
         if not rest.isEmpty():
-            joined = store(components(links.union(_verify(rest, sets))), "jaccard-components")
+            joined = _merge(joined, _verify(rest, sets))
     return joined
 
 
