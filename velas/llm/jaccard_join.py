@@ -258,56 +258,74 @@ def _near(candidates: DataFrame, classes: DataFrame) -> DataFrame:
             .select("u", "v", "apart"))
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (pivot, part, block, token, side): pairs of a row of side 0
-    and one of side 1 in the same group, in different components, that size and
-    sketch admit.  A pair that several groups of a part hold comes once."""
-    key = token = None
-    kept: list[list[np.ndarray]] = []  # side 0 of the group at hand: cls, n, root, bits
-    seen: set[tuple[int, int]] = set()
-    for b in batches:
-        pivot, part, block, tokens, side, cls, n, root = (
-            b.column(c).to_numpy() for c in ("pivot", "part", "block", "token", "side", "cls", "n", "root"))
-        bits = b.column("bits").flatten().to_numpy().view(np.uint64).reshape(-1, 8)
-        out: list[tuple[int, int]] = []
-        edge = np.flatnonzero((np.diff(pivot) != 0) | (np.diff(part) != 0) | (np.diff(block) != 0) | (np.diff(tokens) != 0)
-                              | (np.diff(side) != 0)) + 1
-        for lo, hi in zip(np.append(0, edge), np.append(edge, len(pivot))):
-            if lo == hi:
-                continue
-            if (pivot[lo], part[lo], block[lo]) != key:
-                key, seen = (pivot[lo], part[lo], block[lo]), set()
-                token = None
-            if tokens[lo] != token:
-                token, kept = tokens[lo], []
-            rows = [x[lo:hi] for x in (cls, n, root, bits)]
-            if side[lo] == 0:
-                kept.append(rows)
-                continue
-            if not kept:
-                continue
-            if len(kept) > 1:
-                kept = [[np.concatenate(x) for x in zip(*kept)]]
-            a_cls, a_n, a_root, a_bits = kept[0]
-            step = max(1, (1 << 17) // len(a_cls))
-            for at in range(0, hi - lo, step):
-                b_cls, b_n, b_root, b_bits = (x[at:at + step] for x in rows)
-                s = a_n[:, None].astype(np.int64) + b_n[None, :]
-                apart = np.bitwise_count(a_bits[:, None, :] ^ b_bits[None, :, :]).sum(axis=2, dtype=np.int64)
-                room = s - 2 * (-(-PERCENT * s // (100 + PERCENT)))
-                i, j = np.nonzero((apart <= room) & (a_root[:, None] != b_root[None, :])
-                                  & (100 * np.minimum(a_n[:, None], b_n[None, :])
-                                     >= PERCENT * np.maximum(a_n[:, None], b_n[None, :])))
-                for u, v in zip(np.minimum(a_cls[i], b_cls[j]).tolist(), np.maximum(a_cls[i], b_cls[j]).tolist()):
-                    if (u, v) not in seen:
-                        seen.add((u, v))
-                        out.append((u, v))
-        if out:
-            u, v = zip(*out)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-
-
-def _between_components(placed: DataFrame, classes: DataFrame) -> DataFrame:
+def _first_of(x: np.ndarray) -> np.ndarray:
+    """Positions where a sorted array takes a new value."""
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+
+
+def _across(nearest: bool):
+    """Pairs across components: all, or for each row only its nearest one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """From rows sorted by (pivot, part, block, token, side): pairs of a row of side 0
+        and one of side 1 in the same group, in different components, that size and
+        sketch admit.  A pair that several groups of a part hold comes once."""
+        key = token = done = None
+        kept: list[list[np.ndarray]] = []  # side 0 of the group at hand: cls, n, root, bits
+        seen: set[tuple[int, int]] = set()
+        for b in batches:
+            pivot, part, block, tokens, side, cls, n, root = (
+                b.column(c).to_numpy() for c in ("pivot", "part", "block", "token", "side", "cls", "n", "root"))
+            bits = b.column("bits").flatten().to_numpy().view(np.uint64).reshape(-1, 8)
+            out: list[tuple[int, int]] = []
+            edge = np.flatnonzero((np.diff(pivot) != 0) | (np.diff(part) != 0) | (np.diff(block) != 0) | (np.diff(tokens) != 0)
+                                  | (np.diff(side) != 0)) + 1
+            for lo, hi in zip(np.append(0, edge), np.append(edge, len(pivot))):
+                if lo == hi:
+                    continue
+                if (pivot[lo], part[lo], block[lo]) != key:
+                    key, seen = (pivot[lo], part[lo], block[lo]), set()
+                    token = None
+                if tokens[lo] != token:
+                    token, kept, done = tokens[lo], [], None
+                rows = [x[lo:hi] for x in (cls, n, root, bits)]
+                if side[lo] == 0:
+                    kept.append(rows)
+                    continue
+                if not kept:
+                    continue
+                if len(kept) > 1:
+                    kept = [[np.concatenate(x) for x in zip(*kept)]]
+                a_cls, a_n, a_root, a_bits = kept[0]
+                done = np.zeros(len(a_cls), dtype=bool) if done is None else done
+                step = max(1, (1 << 17) // len(a_cls))
+                for at in range(0, hi - lo, step):
+                    b_cls, b_n, b_root, b_bits = (x[at:at + step] for x in rows)
+                    s = a_n[:, None].astype(np.int64) + b_n[None, :]
+                    apart = np.bitwise_count(a_bits[:, None, :] ^ b_bits[None, :, :]).sum(axis=2, dtype=np.int64)
+                    room = s - 2 * (-(-PERCENT * s // (100 + PERCENT)))
+                    i, j = np.nonzero((apart <= room) & (a_root[:, None] != b_root[None, :])
+                                      & (100 * np.minimum(a_n[:, None], b_n[None, :])
+                                         >= PERCENT * np.maximum(a_n[:, None], b_n[None, :])))
+                    if nearest:  # one pair for each row of side 0 in a group, the nearest found first
+                        i, j = i[~done[i]], j[~done[i]]
+                    if nearest and len(i):
+                        order = np.lexsort((apart[i, j], i))
+                        first = order[_first_of(i[order])]
+                        i, j = i[first], j[first]
+                        done[i] = True
+                    for u, v in zip(np.minimum(a_cls[i], b_cls[j]).tolist(), np.maximum(a_cls[i], b_cls[j]).tolist()):
+                        if (u, v) not in seen:
+                            seen.add((u, v))
+                            out.append((u, v))
+            if out:
+                u, v = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return run
+
+
+def _between_components(placed: DataFrame, classes: DataFrame, nearest: bool) -> DataFrame:
     """Pairs (u, v) of large groups whose members lie in several components.
     ``placed``: token, pivot, cls, n, root.  The members outside a group's main
     component, in blocks of about BLOCK_ROWS, meet all its members."""
@@ -330,7 +348,7 @@ def _between_components(placed: DataFrame, classes: DataFrame) -> DataFrame:
         "side", F.lit(1))
     return store(ours.select(columns).union(theirs.select(columns)).repartition(*key)
                  .sortWithinPartitions(*key, "token", "side")
-                 .mapInArrow(_across, "u long, v long").distinct(), "jaccard-across")
+                 .mapInArrow(_across(nearest), "u long, v long").distinct(), "jaccard-across")
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -436,18 +454,14 @@ def jaccard_classes(rows: DataFrame, described: DataFrame) -> DataFrame:
     rest = store(between(candidates.select("u", "v")), "jaccard-rest")
     if not rest.isEmpty():
         joined = _merge(joined, _verify(rest, sets))
-    # large groups whose members still lie in several components: the pairs between these
-    placed = store(_rooted(many.select("token", "pivot", "cls", "n"), joined, "cls", "root"), "jaccard-placed")
-    more = _between_components(placed, classes)
-    if not more.isEmpty():
-        # one pair for each two components first; whatever these do not join follows
-        best = (_rooted(_rooted(more, joined, "u", "_ru"), joined, "v", "_rv")
-                .groupBy(F.least("_ru", "_rv").alias("_a"), F.greatest("_ru", "_rv").alias("_b"))
-                .agg(F.min(F.struct("u", "v")).alias("p")).select("p.u", "p.v"))
-        joined = _merge(joined, _verify(best, sets))
-        rest = store(between(more), "jaccard-rest")
-        if not rest.isEmpty():
-            joined = _merge(joined, _verify(rest, sets))
+    # large groups whose members still lie in several components: the nearest pair of each
+    # outer member twice, which joins what belongs together, then all pairs that remain between
+    for nearest in (True, True, False):
+        placed = store(_rooted(many.select("token", "pivot", "cls", "n"), joined, "cls", "root"), "jaccard-placed")
+        more = _between_components(placed, classes, nearest)
+        if more.isEmpty():
+            break
+        joined = _merge(joined, _verify(more, sets))
     return joined
 
 
