@@ -106,6 +106,22 @@ def test_spans_point_into_the_original(spark, docs_of):
     assert [text[s.start:s.end] for s in row.spans] == ["SHORT -- Item"]
 
 
+def test_short_items_inside_longer_windows(spark, docs_of):
+    items = [(1, "four five"), (2, "one two three four five six seven eight nine ten"), (3, "eight nine"), (4, "b c"),
+             (5, "a b c d"), (6, "e f")]
+    texts = [(1, "one two three four five six seven eight nine ten"), (2, "x four five six a b c d e f y b c"),
+             (3, "eight nine one two three four five six seven eight nine ten four")]
+    rng = np.random.default_rng(2)
+    texts += [(10 + i, " ".join(rng.choice(list("abcdef"), 40))) for i in range(40)]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.scan_documents(docs_of(texts), table).collect()
+    rows = sorted(((r.doc_id, r.n_words, len(r.hit), ",".join(r["items"])) for r in got), key=repr)
+    assert rows == brute_hits(texts, items)
+    assert all(r.hit == sorted(set(r.hit)) for r in got)
+    first = next(r for r in got if r.doc_id == 1)
+    assert first.hit == list(range(10)) and [(s.start, s.end) for s in first.spans] == [(0, len(texts[0][1]))]
+
+
 def test_targets_stop_and_reshare():
     got = mixing.targets([100, 100, 1000], [5, 2, 1], 1.5, 2)
     assert got == [200.0, 200.0, 1400.0]

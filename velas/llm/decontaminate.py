@@ -69,14 +69,18 @@ class Matcher:
         ids = tuple([get(w, 0) for w in words(text)])
         if self.empty or not ids:
             return len(ids), [], set()
-        hit: list[int] = []
+        runs: list[list[int]] = []  # hit words as [first, last]; apart and in order
         found: set[str] = set()
-        done = 0
         for end, (n, owner) in self.machine.iter(ids):
-            hit.extend(range(max(done, end - n + 1), end + 1))
-            done = max(done, end + 1)
+            start = end - n + 1
+            while runs and runs[-1][0] >= start:  # a shorter item inside this window
+                runs.pop()
+            if runs and runs[-1][1] >= start - 1:
+                runs[-1][1] = end
+            else:
+                runs.append([start, end])
             found |= owner
-        return len(ids), hit, found
+        return len(ids), [p for a, b in runs for p in range(a, b + 1)], found
 
 
 def spans(text: str, hit: list[int]) -> list[tuple[int, int]]:
