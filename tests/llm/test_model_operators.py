@@ -71,6 +71,58 @@ def test_fuzzy_lexicon_equals_edit_distance():
         assert lexicon.match(w) == want, w
 
 
+def test_misspelled_forms_of_stems():
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, was = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(was[j] + 1, row[-1] + 1, was[j - 1] + (x != y)))
+        return row[-1]
+
+    terms = [("idio", True, 1.0), ("idiot", False, 4.0), ("idiotic", False, 2.0), ("achlich", True, 3.0),
+             ("achlichen", False, 5.0), ("reeux", True, 6.0), ("stupid", True, 2.5)]
+    lexicon = toxicity.FuzzyLexicon(terms)
+    assert lexicon.match("ideot") == (lexicon.FUZZY, 4.0)
+    assert lexicon.match("idiot") == (lexicon.EXACT, 4.0)
+    assert lexicon.match("idiocy") == (lexicon.STEM, 1.0)
+    assert lexicon.match("achlochkeitzz") == (lexicon.FUZZY, 3.0)
+    assert lexicon.match("reuxxx") is None
+    rng = random.Random(6)
+    for t, _, _ in terms:
+        for _ in range(300):
+            w = list(t + rng.choice(["", "s", "keiten"]))
+            for _ in range(rng.randint(0, 3)):
+                i = rng.randrange(len(w) + 1)
+                w[i:i + rng.randint(0, 1)] = rng.choice(["", "x", "i", "é"])
+            w = "".join(w)
+            exact = [s for t, stem, s in terms if not stem and w == t]
+            stems = [s for t, stem, s in terms if stem and w.startswith(t)]
+            near = [s for t, stem, s in terms
+                    if min(distance(w[:n], t) for n in (range(len(w) + 1) if stem else [len(w)]))
+                    <= toxicity.edits_allowed(t, stem)]
+            want = ((lexicon.EXACT, max(exact)) if exact else (lexicon.STEM, max(stems)) if stems
+                    else (lexicon.FUZZY, max(near)) if near else None)
+            assert lexicon.match(w) == want, w
+
+
+def test_words_whose_stem_is_learned_are_matched_misspelled(spark):
+    rng = random.Random(3)
+
+    def text(*more):
+        words = ["".join(rng.choices("bcdfghjklmnpqrstvwxz", k=8)) for _ in range(6)]
+        return " ".join(words + list(more))
+
+    forms = ["idiot", "idiots", "idiotic", "idiocy", "idioten"]
+    rows = [(i, text(forms[i % 5]), 1) for i in range(90)] + [(100 + i, text(), 0) for i in range(90)]
+    terms = toxicity.learn_terms(spark.createDataFrame(rows, "_id long, text string, toxic int"))
+    assert ("idio", True) in {t[:2] for t in terms}
+    lexicon = toxicity.FuzzyLexicon(terms)
+    assert {lexicon.match(w)[0] for w in forms} == {lexicon.EXACT}
+    assert {lexicon.match(w)[0] for w in ("ideot", "ideotic", "ydiocy")} == {lexicon.FUZZY}
+    assert lexicon.match("idiotenhaft")[0] == lexicon.STEM and lexicon.match("music") is None
+
+
 def test_context_separates_quotation_from_abuse():
     lexicon = toxicity.FuzzyLexicon([("idiot", False, 3.0)])
     meant = toxicity.features("you are an idiot", lexicon)

@@ -2,8 +2,9 @@
 
 * **Lexicon.** Words, and word beginnings ("stems") for languages that inflect
   an insult, that labelled toxic texts hold far more often than clean ones.
-* **Matching.** The lexicon is a trie; a Levenshtein automaton of up to two
-  edits (by term length) is intersected with it.  The intersection is walked as
+* **Matching.** The lexicon is a trie of words and stems; a Levenshtein automaton
+  of up to two edits (by term length, a stem's one letter less) is intersected
+  with it.  The intersection is walked as
   a deterministic automaton whose states are built when first reached, so a
   word costs one table look-up per letter and an unlike word dies after a few.
 * **Context.** A window of words around a match decides how much it counts: a
@@ -53,17 +54,17 @@ QUOTES = re.compile("[\"“”„«»]")
 
 
 def edits_allowed(term: str, stem: bool) -> int:
-    if stem:
-        return 0
-    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+    n = len(term) - stem  # any ending may follow a stem, so it asks for a letter more
+    return 0 if n < 5 else 1 if n < 9 else 2
 
 
 @dataclass
 class Node:
     children: dict[str, "Node"] = field(default_factory=dict)
     word: int | None = None   # edits allowed if a whole word ends here
-    stem: bool = False        # a stem ends here
-    strength: float = 0.0     # of the term that ends here
+    stem: int | None = None   # edits allowed if a stem ends here
+    strength: float = 0.0     # of the word that ends here
+    stem_strength: float = 0.0
     most: int = 0             # edits allowed anywhere below
 
 
@@ -81,15 +82,16 @@ def trie(terms: list[Term]) -> Node:
             node = node.children.setdefault(c, Node())
             node.most = max(node.most, allowed)
         if stem:
-            node.stem = True
+            node.stem, node.stem_strength = allowed, max(node.stem_strength, strength)
         else:
-            node.word = allowed
-        node.strength = max(node.strength, strength)
+            node.word, node.strength = allowed, max(node.strength, strength)
     return root
 
 
 class FuzzyLexicon:
-    """Levenshtein automata of all terms, intersected with their trie."""
+    """Levenshtein automata of all terms, intersected with their trie.  A whole
+    word as it is goes before a stem, a stem before a misspelling of either: a
+    misspelled stem is a beginning of the word within the stem's edits."""
 
     EXACT, STEM, FUZZY = 0, 1, 2
 
@@ -98,8 +100,8 @@ class FuzzyLexicon:
         self.states: dict[tuple, int] = {}
         self.members: list[list[tuple[Node, int]]] = []
         self.moves: list[dict[str, int]] = []
-        self.ends: list[tuple[int, float] | None] = []
-        self.stop: list[bool] = []
+        self.ends: list[tuple[int, float] | None] = []     # of a word that ends in the state
+        self.begun: list[tuple[int, float] | None] = []    # of a word that passes the state: stems
         self.cache: dict[str, tuple[int, float] | None] = {}
         root = trie(terms)
         self.start = self._state({id(root): (root, 0)})
@@ -118,13 +120,14 @@ class FuzzyLexicon:
         if key not in self.states:
             self.states[key] = len(self.members)
             members = list(found.values())
-            stems = [(self.STEM, n.strength) for n, e in members if e == 0 and n.stem]
-            found_here = ([(self.EXACT, n.strength) for n, e in members if e == 0 and n.word is not None] or stems
-                          or [(self.FUZZY, n.strength) for n, e in members if n.word is not None and 0 < e <= n.word])
+            stems = ([(self.STEM, n.stem_strength) for n, e in members if e == 0 and n.stem is not None]
+                     or [(self.FUZZY, n.stem_strength) for n, e in members if n.stem is not None and 0 < e <= n.stem])
+            words = ([(self.EXACT, n.strength) for n, e in members if e == 0 and n.word is not None]
+                     or [(self.FUZZY, n.strength) for n, e in members if n.word is not None and 0 < e <= n.word])
             self.members.append(members)
             self.moves.append({})
-            self.ends.append(max(found_here, default=None))
-            self.stop.append(bool(stems))
+            self.ends.append(max(words, default=None))
+            self.begun.append(max(stems, default=None))
         return self.states[key]
 
     def _move(self, state: int, c: str) -> int:
@@ -156,18 +159,25 @@ class FuzzyLexicon:
 
     def _walk(self, word: str) -> tuple[int, float] | None:
         state = self.start
+        best = self.begun[state]
         for c in word:
-            if self.stop[state]:
-                return self.ends[state]
             if c not in self.alphabet:
                 c = "\0"                    # all foreign letters move alike
             following = self.moves[state].get(c)
             if following is None:
                 following = self.moves[state][c] = self._move(state, c)
             if following < 0:
-                return None
+                return best
             state = following
-        return self.ends[state]
+            best = self._better(best, self.begun[state])
+        return self._better(best, self.ends[state])
+
+    @staticmethod
+    def _better(a: tuple[int, float] | None, b: tuple[int, float] | None) -> tuple[int, float] | None:
+        """The match of the earlier kind, of one kind the stronger."""
+        if a is None or b is None:
+            return a or b
+        return min(a, b, key=lambda m: (m[0], -m[1]))
 
 
 FEATURES = 7
@@ -238,12 +248,8 @@ def learn_terms(sample: DataFrame, max_terms: int = MAX_TERMS) -> list[Term]:
               .withColumn("g2", g2).where("g2 >= 16").orderBy(F.desc("g2"), "w", "stem").limit(max_terms).collect())
     strength = {(r["w"], r["stem"]): math.log((r["a"] + 0.5) / (na + 1) / ((r["b"] + 0.5) / (nb + 1)))
                 for r in strong}
-    stems: list[str] = []
-    for s in sorted((w for w, stem in strength if stem), key=lambda w: (len(w), w)):
-        if not any(s.startswith(t) for t in stems):  # a shorter stem that qualifies makes a longer one needless
-            stems.append(s)
-    return sorted((w, stem, x) for (w, stem), x in strength.items()
-                  if (w in stems if stem else not any(w.startswith(t) for t in stems)))
+    # whole words stay beside the stems that they begin with: a stem has fewer edits, if any
+    return sorted((w, stem, x) for (w, stem), x in strength.items())
 
 
 def regress(x: np.ndarray, y: np.ndarray, share: float, l2: float = 0.001,
