@@ -123,6 +123,17 @@ def test_words_whose_stem_is_learned_are_matched_misspelled(spark):
     assert lexicon.match("idiotenhaft")[0] == lexicon.STEM and lexicon.match("music") is None
 
 
+def test_rare_terms_are_learned_from_large_samples(spark):
+    rng = random.Random(4)
+
+    def text(*more):
+        return " ".join(["".join(rng.choices("bcdfghjklmnpqrstvwxz", k=8)) for _ in range(4)] + list(more))
+
+    rows = [(i, text(*["grobian"] * (i < 15)), 1) for i in range(2000)] + [(9000 + i, text(), 0) for i in range(2000)]
+    terms = toxicity.learn_terms(spark.createDataFrame(rows, "_id long, text string, toxic int"))
+    assert [t[:2] for t in terms] == [("grobian", False)]
+
+
 def test_context_separates_quotation_from_abuse():
     lexicon = toxicity.FuzzyLexicon([("idiot", False, 3.0)])
     meant = toxicity.features("you are an idiot", lexicon)

@@ -41,6 +41,7 @@ from velas.llm.common import fold, store, text_or_empty
 
 MAX_TRAIN = 6000
 MAX_TERMS = 2000
+MIN_TOXIC = 4               # toxic texts that hold a term, whatever the size of the sample
 STEM_LENGTHS = (4, 5, 6, 7, 8, 9)
 WINDOW = 6
 WORD = re.compile(r"[^\W_]+")
@@ -244,7 +245,7 @@ def learn_terms(sample: DataFrame, max_terms: int = MAX_TERMS) -> list[Term]:
     expected_b = (F.col("a") + F.col("b")) * (nb / (na + nb))
     g2 = 2 * (F.col("a") * F.log(F.col("a") / expected_a)
               + F.when(F.col("b") > 0, F.col("b") * F.log(F.col("b") / expected_b)).otherwise(0.0))
-    strong = (rows.where((F.col("a") >= max(4.0, 0.01 * na)) & (F.col("a") / na > 20 * F.col("b") / nb))
+    strong = (rows.where((F.col("a") >= MIN_TOXIC) & (F.col("a") / na > 20 * F.col("b") / nb))
               .withColumn("g2", g2).where("g2 >= 16").orderBy(F.desc("g2"), "w", "stem").limit(max_terms).collect())
     strength = {(r["w"], r["stem"]): math.log((r["a"] + 0.5) / (na + 1) / ((r["b"] + 0.5) / (nb + 1)))
                 for r in strong}
