@@ -15,6 +15,11 @@ from velas.llm.common import read_table, store
 from velas.llm.queries import SHARDS
 
 
+#: Near copies: word shingles and percent of them that two documents share (not those of operator 10's query).
+NEAR_SHINGLE = 5
+NEAR_PERCENT = 80
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator rejects go; its model is learned
     from the labelled documents outside the held-out fold."""
@@ -24,7 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of the n-gram Jaccard join stays."""
-    return jaccard_join.keep_one(docs)
+    return jaccard_join.keep_one(docs, size=NEAR_SHINGLE, percent=NEAR_PERCENT)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -212,6 +212,33 @@ def test_pipeline_stages(spark):
             assert len(after) == len(before) and all(r.shard for r in after)
 
 
+def test_pipeline_near_copies_share_four_fifths_of_five_word_shingles(spark, docs_of):
+    import random
+
+    import corpus_pipeline as P
+
+    rng = random.Random(8)
+    rows = []
+
+    def changed(words, spots):
+        return [f"new{rng.random()}" if i in spots else w for i, w in enumerate(words)]
+
+    for k, (n, spots) in enumerate([(50, {25}), (98, {30, 60}), (49, {25}), (60, {20, 40}), (40, {0}), (3, set())] * 4):
+        words = [f"w{k}x{i}" for i in range(n)]
+        rows += [(100 * k + j, " ".join(t)) for j, t in enumerate((words, changed(words, spots)))]
+    lists = [t.split() for _, t in rows]
+    sets = [{tuple(w[j:j + 5]) for j in range(len(w) - 4)} or {tuple(w)} for w in lists]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                group = [group[b] if g == group[a] else g for g in group]
+    kept = P.drop_near_copies(spark, docs_of(rows), SF).collect()
+    want = sorted(min(rows[i][0] for i in range(len(rows)) if group[i] == g) for g in set(group))
+    assert sorted(r.doc_id for r in kept) == want
+    assert {0, 100, 300, 301} <= set(want) and not {1, 101, 201} & set(want)  # 201 shares four fifths exactly
+
+
 def test_stored_tables_are_discarded(spark):
     import os
     from velas.llm import common

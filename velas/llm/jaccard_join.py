@@ -1,12 +1,13 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
-Two documents link when 100 * |A and B| >= 85 * |A or B| for their sets of
-distinct word shingles.  Equal sets form one *class* first (by a hash of the
+Two documents link when 100 * |A and B| >= percent * |A or B| for their sets of
+distinct word shingles; shingle size and percent are arguments (4 words and 85
+if not given).  Equal sets form one *class* first (by a hash of the
 set), so copies cost nothing further; everything below works on classes.
 
 **Prefixes.**  In any fixed order of all shingles, two linked sets of sizes n
-and m share a shingle within their first n - ceil(0.85 n) + 1 and
-m - ceil(0.85 m) + 1 ones, and at least l shingles within prefixes that are
+and m share a shingle within their first n - ceil(t n) + 1 and
+m - ceil(t m) + 1 ones (t = percent / 100), and at least l shingles within prefixes that are
 l - 1 longer.  The order used here is: shingles of a fixed *zone* of the hash
 space (a quarter of it, so that the exact number of classes holding each zone
 shingle can be counted), the rarest first, then all others by hash.  A prefix
@@ -35,8 +36,8 @@ Hot shingles (in many documents of a bounded sample) skip the counting and
 take the last place in the zone's order; this fixes the order, not the result.
 
 Defined cases: null and empty texts, and texts without words, have an empty
-set and link with nothing (their component is their own id); fewer than four
-words make one shingle; null ids are larger than any id and a component of
+set and link with nothing (their component is their own id); fewer words
+than a shingle has make one shingle; null ids are larger than any id and a component of
 null ids only has a null id; repeated rows are copies; extra columns are
 ignored; texts are processed whole.
 """
@@ -68,8 +69,8 @@ NO_ID = (1 << 63) - 1
 SIEVE_BITS = 1 << 26
 
 
-def prefix_length(n: int) -> int:
-    return n - (PERCENT * n + 99) // 100 + 1
+def prefix_length(n: int, percent: int = PERCENT) -> int:
+    return n - (percent * n + 99) // 100 + 1
 
 
 def shingle_sets(block: Block, size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -95,28 +96,32 @@ def sketch(s: np.ndarray) -> list[int]:
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _describe(size: int):
     """doc_id, n, class key and sketch of every document."""
-    for b in batches:
-        n, key, bits = [], [], []
-        for block in blocks(b.column("text"), lower=True):
-            for s in shingle_sets(block):
-                n.append(len(s))
-                key.append(class_key(s) if len(s) else None)
-                bits.append(sketch(s) if len(s) else None)
-        yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), b.column("text_hash"), pa.array(n, pa.int64()), pa.array(key, pa.int64()),
-             pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "text_hash", "n", "cls", "bits"])
-
-
-def _hot_shingles(docs: DataFrame) -> np.ndarray:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, key, bits = [], [], []
+            for block in blocks(b.column("text"), lower=True):
+                for s in shingle_sets(block, size):
+                    n.append(len(s))
+                    key.append(class_key(s) if len(s) else None)
+                    bits.append(sketch(s) if len(s) else None)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("text_hash"), pa.array(n, pa.int64()), pa.array(key, pa.int64()),
+                 pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "text_hash", "n", "cls", "bits"])
+
+    return run
+
+
+def _hot_shingles(docs: DataFrame, size: int) -> np.ndarray:
     """Sorted zone shingles that HOT_DOCS or more documents of a sample hold."""
     share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block in blocks(b.column("text"), lower=True):
-                s = np.concatenate([x[:np.searchsorted(x, ZONE)] for x in shingle_sets(block)])
+                s = np.concatenate([x[:np.searchsorted(x, ZONE)] for x in shingle_sets(block, size)])
                 found, n = np.unique(s, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["token", "n"])
 
@@ -130,7 +135,7 @@ def _hot_shingles(docs: DataFrame) -> np.ndarray:
 TOKEN_SCHEMA = "token long, cls long, sizes long, rank int"
 
 
-def _tokens(hot_broadcast):
+def _tokens(hot_broadcast, size: int, percent: int):
     """Zone shingles of each class (and, where the zone is shorter than the
     prefix, the next ones by hash): token, cls, sizes = n << 32 | emitted, and
     rank: 0 if the count is still to be made.  A task emits a class once."""
@@ -141,12 +146,12 @@ def _tokens(hot_broadcast):
         for b in batches:
             for block in blocks(b.column("text"), lower=True):
                 parts, keys, sizes, lengths, zones = [], [], [], [], []
-                for s in shingle_sets(block):
+                for s in shingle_sets(block, size):
                     if not len(s) or (key := class_key(s)) in seen:
                         continue
                     seen.add(key)
                     zone = int(np.searchsorted(s, ZONE))
-                    e = max(zone, prefix_length(len(s)))
+                    e = max(zone, prefix_length(len(s), percent))
                     parts.append(s[:e])
                     keys.append(key)
                     sizes.append(len(s) << 32 | e)
@@ -210,11 +215,11 @@ def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from settle(held, True)
 
 
-def _prefixes(docs: DataFrame) -> DataFrame:
+def _prefixes(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """(token, cls, n, matches): the shared shingles of each class's prefix and
     the number of matches it asks for."""
-    hot = docs.sparkSession.sparkContext.broadcast(_hot_shingles(docs))
-    found = docs.select("text").mapInArrow(_tokens(hot), TOKEN_SCHEMA)
+    hot = docs.sparkSession.sparkContext.broadcast(_hot_shingles(docs, size))
+    found = docs.select("text").mapInArrow(_tokens(hot, size, percent), TOKEN_SCHEMA)
     # hot shingles need no counting, so they go with their classes to all partitions
     spread = F.when(F.col("rank") == HOT_RANK, F.col("cls")).otherwise(F.col("token"))
     counted = store(found.repartition(spread).sortWithinPartitions("token", "cls")
@@ -222,7 +227,7 @@ def _prefixes(docs: DataFrame) -> DataFrame:
     by_class = Window.partitionBy("cls")
     n = F.shiftright("sizes", 32).cast("int")
     emitted = F.col("sizes").bitwiseAND((1 << 32) - 1).cast("int")
-    p = n - F.floor((F.lit(PERCENT) * n + 99) / 100).cast("int") + 1
+    p = n - F.floor((F.lit(percent) * n + 99) / 100).cast("int") + 1
     ranked = (counted.repartition("cls").dropDuplicates(["cls", "token"])
               .withColumn("_shared", F.count(F.lit(1)).over(by_class))
               .withColumn("_at", F.row_number().over(by_class.orderBy("rank", "token")))
@@ -239,22 +244,22 @@ def _prefixes(docs: DataFrame) -> DataFrame:
                  .select("token", "cls", "n", "matches"), "jaccard-prefixes")
 
 
-def _fits(n: str, m: str) -> Column:
+def _fits(n: str, m: str, percent: int) -> Column:
     """Sizes that can reach the threshold."""
-    return F.lit(100) * F.least(n, m) >= F.lit(PERCENT) * F.greatest(n, m)
+    return F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)
 
 
-def _near(candidates: DataFrame, classes: DataFrame) -> DataFrame:
+def _near(candidates: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) that size and sketch admit, with ``apart``: differing bits."""
     side = {c: classes.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
             for c in ("u", "v")}
     apart = F.aggregate(F.zip_with("bits_u", "bits_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0),
                         lambda acc, x: acc + x)
-    # 100 * i >= 85 * (s - i) with s = n + m: at most s - 2 * ceil(85 s / 185) shingles differ
+    # 100 * i >= percent * (s - i) with s = n + m: at most s - 2 * ceil(percent s / (100 + percent)) shingles differ
     s = F.col("n_u") + F.col("n_v")
-    return (candidates.join(side["u"], "u").join(side["v"], "v").where(_fits("n_u", "n_v"))
+    return (candidates.join(side["u"], "u").join(side["v"], "v").where(_fits("n_u", "n_v", percent))
             .withColumn("apart", apart)
-            .where(F.col("apart") <= s - 2 * F.ceil(F.lit(PERCENT) * s / (100 + PERCENT)))
+            .where(F.col("apart") <= s - 2 * F.ceil(F.lit(percent) * s / (100 + percent)))
             .select("u", "v", "apart"))
 
 
@@ -263,7 +268,7 @@ def _first_of(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, x[1:] != x[:-1]))
 
 
-def _across(nearest: bool):
+def _across(nearest: bool, percent: int):
     """Pairs across components: all, or for each row only its nearest one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,10 +308,10 @@ def _across(nearest: bool):
                     b_cls, b_n, b_root, b_bits = (x[at:at + step] for x in rows)
                     s = a_n[:, None].astype(np.int64) + b_n[None, :]
                     apart = np.bitwise_count(a_bits[:, None, :] ^ b_bits[None, :, :]).sum(axis=2, dtype=np.int64)
-                    room = s - 2 * (-(-PERCENT * s // (100 + PERCENT)))
+                    room = s - 2 * (-(-percent * s // (100 + percent)))
                     i, j = np.nonzero((apart <= room) & (a_root[:, None] != b_root[None, :])
                                       & (100 * np.minimum(a_n[:, None], b_n[None, :])
-                                         >= PERCENT * np.maximum(a_n[:, None], b_n[None, :])))
+                                         >= percent * np.maximum(a_n[:, None], b_n[None, :])))
                     if nearest:  # one pair for each row of side 0 in a group, the nearest found first
                         i, j = i[~done[i]], j[~done[i]]
                     if nearest and len(i):
@@ -325,7 +330,7 @@ def _across(nearest: bool):
     return run
 
 
-def _between_components(placed: DataFrame, classes: DataFrame, nearest: bool) -> DataFrame:
+def _between_components(placed: DataFrame, classes: DataFrame, nearest: bool, percent: int) -> DataFrame:
     """Pairs (u, v) of large groups whose members lie in several components.
     ``placed``: token, pivot, cls, n, root.  The members outside a group's main
     component, in blocks of about BLOCK_ROWS, meet all its members."""
@@ -348,30 +353,33 @@ def _between_components(placed: DataFrame, classes: DataFrame, nearest: bool) ->
         "side", F.lit(1))
     return store(ours.select(columns).union(theirs.select(columns)).repartition(*key)
                  .sortWithinPartitions(*key, "token", "side")
-                 .mapInArrow(_across(nearest), "u long, v long").distinct(), "jaccard-across")
+                 .mapInArrow(_across(nearest, percent), "u long, v long").distinct(), "jaccard-across")
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = []
-        for u, v, x, y in zip(*(b.column(c).to_pylist() for c in ("u", "v", "set_u", "set_v"))):
-            x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * both >= PERCENT * (len(x) + len(y) - both):
-                out.append((u, v))
-        u, v = zip(*out) if out else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+def _compare(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for u, v, x, y in zip(*(b.column(c).to_pylist() for c in ("u", "v", "set_u", "set_v"))):
+                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    out.append((u, v))
+            u, v = zip(*out) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return run
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose sets reach the threshold."""
     return store(pairs.select("u", "v")
                  .join(sets.select(F.col("cls").alias("u"), F.col("set").alias("set_u")), "u")
                  .join(sets.select(F.col("cls").alias("v"), F.col("set").alias("set_v")), "v")
-                 .mapInArrow(_compare, "u long, v long"), "jaccard-links")
+                 .mapInArrow(_compare(percent), "u long, v long"), "jaccard-links")
 
 
-def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+def _sets(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(cls, set) of the classes in ``wanted`` (cls, _id: a document that has it).
 
     Only the texts of those documents enter the shuffle: a bit table of a fixed
@@ -386,7 +394,7 @@ def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             keys = b.column("cls").to_pylist()
             out = []
             for block in blocks(b.column("text"), lower=True):
-                for i, s in enumerate(shingle_sets(block), block.first):
+                for i, s in enumerate(shingle_sets(block, size), block.first):
                     if len(s) and class_key(s) == keys[i]:
                         out.append((keys[i], s.tobytes()))
             cls, found = zip(*out) if out else ((), ())
@@ -417,12 +425,12 @@ def _merge(joined: DataFrame, links: DataFrame) -> DataFrame:
     return store(again.union(alone), "jaccard-components")
 
 
-def jaccard_classes(rows: DataFrame, described: DataFrame) -> DataFrame:
+def jaccard_classes(rows: DataFrame, described: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(node, root) of all classes that link to another; rows have (_id, text)."""
     classes = store(described.where("cls is not null").groupBy("cls").agg(
         F.min("doc_id").alias("_id"), F.first("n").cast("int").alias("n"), F.first("bits").alias("bits")),
         "jaccard-classes")
-    prefixes = _prefixes(rows.select(F.col("_id").alias("doc_id"), "text"))
+    prefixes = _prefixes(rows.select(F.col("_id").alias("doc_id"), "text"), size, percent)
     groups = store(prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("cls").alias("pivot"))
                    .where("size > 1"), "jaccard-groups")
 
@@ -431,20 +439,20 @@ def jaccard_classes(rows: DataFrame, described: DataFrame) -> DataFrame:
 
     few = store(members(F.col("size") <= SMALL).select("token", "cls", "n", "matches"), "jaccard-few")
     other = few.select("token", F.col("cls").alias("v"), F.col("n").alias("m"), F.col("matches").alias("asked"))
-    counted = (few.withColumnRenamed("cls", "u").join(other, "token").where((F.col("u") < F.col("v")) & _fits("n", "m"))
+    counted = (few.withColumnRenamed("cls", "u").join(other, "token").where((F.col("u") < F.col("v")) & _fits("n", "m", percent))
                .groupBy("u", "v").agg(F.count(F.lit(1)).alias("_k"), F.first(F.least("matches", "asked")).alias("_l"))
                .where("_k >= _l").select("u", "v"))
     many = store(members(F.col("size") > SMALL), "jaccard-many")
     stars = many.where("cls <> pivot").select(F.col("pivot").alias("u"), F.col("cls").alias("v")).distinct()
-    candidates = store(_near(counted.union(stars).distinct(), classes), "jaccard-candidates")
+    candidates = store(_near(counted.union(stars).distinct(), classes, percent), "jaccard-candidates")
 
     wanted = (candidates.select(F.explode(F.array("u", "v")).alias("cls"))
               .union(many.select("cls")).distinct().join(classes.select("cls", "_id"), "cls"))
-    sets = _sets(rows, store(wanted, "jaccard-wanted"))
+    sets = _sets(rows, store(wanted, "jaccard-wanted"), size)
     ends = candidates.select("u", "v", "apart", F.explode(F.array("u", "v")).alias("_end"))
     nearest = (ends.groupBy("_end").agg(F.min_by(F.struct("u", "v"), F.struct("apart", "u", "v")).alias("p"))
                .select("p.u", "p.v").distinct())
-    joined = store(components(_verify(nearest, sets)), "jaccard-components")
+    joined = store(components(_verify(nearest, sets, percent)), "jaccard-components")
 
     def between(pairs: DataFrame) -> DataFrame:
         """Pairs that lie in different components of ``joined``."""
@@ -453,27 +461,28 @@ def jaccard_classes(rows: DataFrame, described: DataFrame) -> DataFrame:
 
     rest = store(between(candidates.select("u", "v")), "jaccard-rest")
     if not rest.isEmpty():
-        joined = _merge(joined, _verify(rest, sets))
+        joined = _merge(joined, _verify(rest, sets, percent))
     # large groups whose members still lie in several components: the nearest pair of each
     # outer member twice, which joins what belongs together, then all pairs that remain between
     for nearest in (True, True, False):
         placed = store(_rooted(many.select("token", "pivot", "cls", "n"), joined, "cls", "root"), "jaccard-placed")
-        more = _between_components(placed, classes, nearest)
+        more = _between_components(placed, classes, nearest, percent)
         if more.isEmpty():
             break
-        joined = _merge(joined, _verify(more, sets))
+        joined = _merge(joined, _verify(more, sets, percent))
     return joined
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE,
+                 percent: int = PERCENT) -> DataFrame:
     """Per row doc_id, n_shingles, component_id, grp (a number for the component;
     null for empty sets) and text_hash."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     described = store(rows.select(F.col("_id").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-                      .mapInArrow(_describe, "doc_id long, text_hash long, n long, cls long, bits array<long>"),
+                      .mapInArrow(_describe(size), "doc_id long, text_hash long, n long, cls long, bits array<long>"),
                       "jaccard-docs")
-    joined = jaccard_classes(rows, described)
+    joined = jaccard_classes(rows, described, size, percent)
     narrow = described.select("doc_id", "text_hash", "n", "cls")
     placed = store(_rooted(narrow.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("_least")),
                            joined, "cls", "grp"), "jaccard-placed")
@@ -488,11 +497,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         real(F.coalesce("component_id", "doc_id")).alias("component_id"), "grp", "text_hash")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE,
+             percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that stay when one of each component does: the one
     with the smallest id (null ids last, then by text hash), of repeated rows
     one; rows with an empty set all stay.  Columns are as they came."""
-    found = store(jaccard_join(docs, id_col, text_col).where("grp is not null")
+    found = store(jaccard_join(docs, id_col, text_col, size, percent).where("grp is not null")
                   .select("grp", F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("text_hash").alias("_hash")),
                   "jaccard-found")
     rows = found.groupBy("grp", "_id", "_hash").agg(F.count(F.lit(1)).alias("_n"))

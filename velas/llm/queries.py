@@ -72,7 +72,7 @@ def op9_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return jaccard_join.jaccard_join(docs).select("doc_id", "n_shingles", "component_id")
+    return jaccard_join.jaccard_join(docs, size=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
 QUERIES = {f.__name__: f for f in (
