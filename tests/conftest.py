@@ -5,19 +5,9 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-SF001 = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
     from velas.session import get_spark
     s = get_spark("local[4]", shuffle_partitions=4)
     yield s
-
-
-def bars_frame(spark, rows, symbol="S"):
-    """rows: list of (date_str, open, high, low, close, volume)."""
-    import datetime as dt
-    data = [(symbol, dt.date.fromisoformat(d), o, h, lo, c, v) for d, o, h, lo, c, v in rows]
-    return spark.createDataFrame(
-        data, "symbol string, date date, open double, high double, low double, close double, volume double")

@@ -7,7 +7,7 @@ import math
 import numpy as np
 import pytest
 
-from conftest import bars_frame
+from bars_cases import bars_frame
 from numeric_model import features as np_features
 from numeric_model import indicators as np_indicators
 from velas.plans.features import features, indicator_table

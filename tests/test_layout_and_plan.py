@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from conftest import SF001
+from bars_cases import SF001
 from velas.functions.ema import add_ema, carry_terms
 from velas.functions.windows import SeriesWindow
 from velas.plans.features import features

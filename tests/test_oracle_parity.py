@@ -4,7 +4,7 @@ repeats this at sf0.01 for every key; scripts/check_oracle.py runs all)."""
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF001
+from bars_cases import SF001
 from velas.testing import compare, duck_connect
 
 KEYS = ["build_bars", "features", "features_analysis", "ffill_post", "obv", "rolling_mad",

@@ -5,7 +5,7 @@ import json
 
 import pytest
 
-from conftest import SF001
+from bars_cases import SF001
 from velas.session import scratch_path
 from velas.sources import files
 from velas.sources.bars import bars_from_orders
