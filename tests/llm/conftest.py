@@ -18,7 +18,9 @@ def docs_of(spark):
         full = [(*r, None, None)[:4] if len(r) == 2 else tuple(r) for r in rows]
         df = spark.createDataFrame(full, DOCS).repartition(3)
         if extra:
-            for c in ("size", "score", "hit", "slot", "shard", "n", "copies", "cls", "grp", "held_out", "predicted"):
+            for c in ("size", "score", "hit", "slot", "shard", "n", "copies", "cls", "grp", "held_out", "predicted",
+                      "_slot", "_shard", "_row", "_rows", "_source", "_null", "_bucket", "_text", "_id", "_h", "_t",
+                      "_given", "_found", "_whole", "_from", "_one", "word", "key", "set", "item", "token"):
                 df = df.selectExpr("*", f"'x' as {c}")
         return df
     return make

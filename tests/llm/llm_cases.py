@@ -1,7 +1,9 @@
 """Cases and plain-Python references shared by the tests of this folder."""
 
 import hashlib
+import math
 import re
+import zlib
 from collections import defaultdict
 
 
@@ -50,12 +52,12 @@ def brute_spans(rows, k=13):
     return sorted(out, key=repr)
 
 
-def brute_jaccard(rows):
+def brute_jaccard(rows, size=4, percent=85):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = []
     for _, t in rows:
         w = words_of((t or "").translate(lower))
-        sets.append({tuple(w[j:j + 4]) for j in range(len(w) - 3)} or ({tuple(w)} if w else set()))
+        sets.append({tuple(w[j:j + size]) for j in range(len(w) - size + 1)} or ({tuple(w)} if w else set()))
     group = list(range(len(rows)))
 
     def root(x):
@@ -65,7 +67,7 @@ def brute_jaccard(rows):
 
     for a in range(len(rows)):
         for b in range(a):
-            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 group[root(a)] = root(b)
     best = defaultdict(list)
     for i, (d, _) in enumerate(rows):
@@ -75,3 +77,69 @@ def brute_jaccard(rows):
         ids = [x for x in best[root(i)] if x is not None]
         out.append((d, len(sets[i]), min(ids) if ids else None))
     return sorted(out, key=repr)
+
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def brute_spelling(rows, min_length=5, min_count=3):
+    """(word, form, root, n, n_near, form_n) with every pair of words compared."""
+    count = defaultdict(int)
+    for d, t in rows:
+        for run in re.findall("[A-Za-z\u00c0-\u00ff]+", t or ""):
+            run = run.translate(LOWER)
+            h = zlib.crc32(f"{'' if d is None else d}:{run}".encode())
+            if h % 97 == 0:
+                run = run[:h % len(run)] + run[h % len(run) + 1:]
+            count[run] += 1
+    count = {w: n for w, n in count.items() if len(w) >= min_length and n >= min_count}
+
+    def near(a, b):
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) == 1
+        a, b = sorted((a, b), key=len)
+        return len(b) == len(a) + 1 and any(b[:i] + b[i + 1:] == a for i in range(len(b)))
+
+    around = {w: [x for x in count if near(w, x)] for w in count}
+    form = {}
+    for w, n in count.items():
+        best = min(around[w], key=lambda x: (-count[x], x), default=None)
+        if best is not None and count[best] >= 2 * n:
+            form[w] = best
+    out = []
+    for w, n in count.items():
+        root = w
+        while root in form:
+            root = form[root]
+        out.append((w, form.get(w), root, n, len(around[w]), count[form[w]] if w in form else None))
+    return sorted(out, key=repr)
+
+
+def brute_search(rows, items, k=50):
+    """(item, rank, doc_id, score) with every document scored for every item."""
+    def terms(t):
+        return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
+
+    docs = [(d, terms(t)) for d, t in rows]
+    n, length = sum(bool(t) for _, t in docs), sum(len(t) for _, t in docs)
+    df = defaultdict(int)
+    for _, t in docs:
+        for x in set(t):
+            df[x] += 1
+    queries = defaultdict(set)
+    for item, t in items:
+        queries[item] |= set(terms(t))
+    out = []
+    for item, query in queries.items():
+        scored = []
+        for d, t in docs:
+            m = 50 + (50 * len(t) * n) // max(length, 1)
+            s = 0
+            for x in query:
+                if tf := t.count(x):
+                    s += math.floor(1000 * math.log((2 * n + 2) / (2 * df[x] + 1))) * (
+                        (1_000_000_000 * tf) // (1000 * tf + 20 * m))
+            if s > 0:
+                scored.append((-s, d is None, d or 0, d))
+        out += [(item, i + 1, r[3], -r[0]) for i, r in enumerate(sorted(scored)[:k])]
+    return sorted(out, key=repr)

@@ -26,7 +26,6 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -48,6 +47,8 @@ class Matcher:
     """The automaton of some items: ``items`` is a list of (id, text)."""
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
+        import ahocorasick  # an optional extra, needed only where texts are scanned
+
         self.number: dict[bytes, int] = {}
         owners: dict[tuple[int, ...], set[str]] = {}
         for item, text in items:
@@ -139,29 +140,36 @@ def scan_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     size = items.agg(F.sum(F.octet_length("text") + 16).alias("n")).first()["n"] or 0
     n_blocks = max(1, -(-2 * size // max_item_bytes) if size > max_item_bytes else 1)
     names = [c for c in docs.columns if c not in ("n_words", "hit", "items", "spans")]
+    given = docs.select(F.struct(*names).alias("_given"), F.col(text_col).alias("_text"))
 
-    def one(rows: DataFrame, block: int) -> DataFrame:
+    def one(rows: DataFrame, block: int, with_spans: bool) -> DataFrame:
         mine = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == block)
         listed = [(r["item"], r["text"]) for r in mine.collect()]
         key = hashlib.sha256(repr((window, sorted(listed))).encode()).hexdigest()
         udf = F.pandas_udf(_scanner(spark.sparkContext.broadcast(listed), key, window, with_spans), SCAN_SCHEMA)
-        return rows.withColumn("_found", udf(F.col(text_col)))
+        return rows.withColumn("_found", udf(F.col("_text")))
 
     if n_blocks == 1:
-        return one(docs.select(*names), 0).select(*names, "_found.*")
+        return one(given, 0, with_spans).select("_given.*", "_found.*")
     # more items than one automaton should hold: a pass per block of items
-    keyed = store(docs.select(*names, F.monotonically_increasing_id().alias("_row")), "decontaminate")
+    keyed = store(given.select("*", F.monotonically_increasing_id().alias("_row")), "decontaminate")
     parts = None
     for block in range(n_blocks):
-        part = store(one(keyed.select("_row", text_col), block).select("_row", "_found.*")
+        part = store(one(keyed.select("_row", "_text"), block, False).select("_row", "_found.*")
                      .where((F.size("hit") > 0) | F.lit(block == 0)), "decontaminate")
         parts = part if parts is None else parts.union(part)
     gathered = parts.groupBy("_row").agg(
         F.max("n_words").alias("n_words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit")))).alias("hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
-    return keyed.join(gathered, "_row").drop("_row")
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+    @F.pandas_udf("array<struct<start:int,end:int>>")
+    def united(text: pd.Series, hit: pd.Series) -> pd.Series:
+        """Spans of the united hits: those that touch across blocks are one."""
+        return pd.Series([spans(t, [int(p) for p in h]) if with_spans and len(h) else [] for t, h in zip(text, hit)])
+
+    return keyed.join(gathered, "_row").select("_given.*", "n_words", "hit", "items",
+                                               united("_text", "hit").alias("spans"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",

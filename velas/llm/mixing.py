@@ -131,7 +131,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     spark = docs.sparkSession
     names = [c for c in docs.columns if c not in ADDED and (keep_text or c != text_col)]
     rows = docs.select(
-        *names, n_words(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("_t"),
+        F.struct(*names).alias("_given"), n_words(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("_t"),
         F.coalesce(F.col(source_col), F.lit("")).alias("_source"), F.col(source_col).isNull().alias("_null"),
         F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("_h"))
 
@@ -157,7 +157,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         return F.when((F.col("size") > 0) & (middle < F.col("target")), F.struct(
             F.lit(e).alias("copy"), F.size(F.filter("_ends", lambda x: x <= at)).alias("shard")))
 
-    return placed.select(*names, "size", "source_size", "target",
+    return placed.select("_given.*", "size", "source_size", "target",
                          F.filter(F.array(*(copy(e) for e in range(max_repeat))), lambda x: x.isNotNull()).alias("copies"))
 
 

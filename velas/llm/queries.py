@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from velas.llm import (class_lm, decontaminate, exact_dedup, jaccard_join, language_id, mixing, sharding,
-                       span_dedup, toxicity, url_filter)
+from velas.llm import (class_lm, decontaminate, exact_dedup, jaccard_join, language_id, lexical_search, minhash, mixing,
+                       sharding, span_dedup, spelling, toxicity, url_filter)
 from velas.llm.common import fold, read_table, text_or_empty
 
 #: Rules of the URL query (fixed values).
@@ -75,9 +75,24 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(docs, size=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling.spelling_variants(docs, thin=spelling.drop_letter)
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical_search.search(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.near_duplicates(docs, size=4, percent=80)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_language_id, op3_sharding, op4_decontaminate, op5_mixing, op6_url_filter, op7_toxicity,
-    op8_class_lm, op9_span_dedup, op10_jaccard_join)}
+    op8_class_lm, op9_span_dedup, op10_jaccard_join, op11_spelling, op12_lexical_search, op13_minhash)}
 
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -161,4 +176,54 @@ SQL = {
                (size * (CASE WHEN size > 0 AND before + size / 2.0::DOUBLE < target THEN 1 ELSE 0 END
                       + CASE WHEN size > 0 AND before + sz + size / 2.0::DOUBLE < target THEN 1 ELSE 0 END))::BIGINT AS taken
         FROM o""",
+    "op11_spelling": rf"""
+        WITH RECURSIVE b AS (SELECT range(0, 256) AS r),
+        -- the table of crc32, a byte at a time: eight shifts, each folding in the polynomial where a one falls out
+        crc AS (SELECT list_transform(r, lambda x: list_reduce([x] || range(0, 8),
+                    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t FROM b),
+        runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS k, unnest(regexp_extract_all(
+                     translate(coalesce(text, ''), {_LOWER}), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS w FROM documents),
+        kept AS (SELECT k, w, count(*) AS c FROM runs GROUP BY k, w),
+        hashed AS (SELECT w, c, xor(list_reduce([4294967295] || flatten(list_transform(string_split(k || ':' || w, ''),
+                       lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT]
+                                 ELSE [192 + unicode(x)::BIGINT // 64, 128 + unicode(x)::BIGINT % 64] END)),
+                       lambda a, y: xor(crc.t[(xor(a, y) & 255) + 1], a >> 8)), 4294967295) AS h FROM kept, crc),
+        changed AS (SELECT c, CASE WHEN h % 97 = 0 THEN substring(w, 1, h % length(w)) || substring(w, h % length(w) + 2)
+                                   ELSE w END AS word FROM hashed),
+        v AS (SELECT word, sum(c)::BIGINT AS n FROM changed WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+        cut AS (SELECT word, n, i, substring(word, 1, i - 1) || substring(word, i + 1) AS s
+                FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+        near AS (SELECT DISTINCT word, n, other, m FROM (
+                   SELECT a.word, a.n, z.word AS other, z.n AS m FROM cut a JOIN cut z ON a.s = z.s AND a.i = z.i
+                     AND length(a.word) = length(z.word) AND a.word <> z.word
+                   UNION ALL SELECT a.word, a.n, z.word, z.n FROM cut a JOIN v z ON a.s = z.word
+                   UNION ALL SELECT z.word, z.n, a.word, a.n FROM cut a JOIN v z ON a.s = z.word)),
+        best AS (SELECT word, n, count(*) AS n_near, max(m) AS top FROM near GROUP BY word, n),
+        form AS (SELECT b.word, b.n_near, CASE WHEN b.top >= 2 * b.n THEN (SELECT min(x.other) FROM near x
+                     WHERE x.word = b.word AND x.m = b.top) END AS form, CASE WHEN b.top >= 2 * b.n THEN b.top END AS form_n
+                 FROM best b),
+        path AS (SELECT word, form AS at FROM form WHERE form IS NOT NULL
+                 UNION ALL SELECT path.word, form.form FROM path JOIN form ON form.word = path.at WHERE form.form IS NOT NULL),
+        roots AS (SELECT path.word, path.at AS root FROM path LEFT JOIN form ON form.word = path.at WHERE form.form IS NULL)
+        SELECT v.word, form.form, coalesce(roots.root, v.word) AS root, v.n, coalesce(form.n_near, 0) AS n_near, form.form_n
+        FROM v LEFT JOIN form ON form.word = v.word LEFT JOIN roots ON roots.word = v.word""",
+    "op12_lexical_search": rf"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}),
+                       '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+        stat AS (SELECT count(*) FILTER (WHERE len(t) > 0) AS docs, sum(len(t))::BIGINT AS terms FROM d),
+        q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_LOWER}),
+                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d) GROUP BY r, term),
+        w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+              FROM p, stat GROUP BY term, docs),
+        s AS (SELECT q.item_id, p.r, sum(w.w * ((1000000000 * p.tf) // (1000 * p.tf
+                       + 20 * (100 - 50 + (50 * len(d.t) * stat.docs) // stat.terms))))::BIGINT AS score
+              FROM q JOIN p ON q.term = p.term JOIN w ON w.term = p.term JOIN d ON d.r = p.r, stat GROUP BY q.item_id, p.r),
+        o AS (SELECT s.item_id, row_number() OVER (PARTITION BY s.item_id ORDER BY s.score DESC, d.doc_id NULLS LAST) AS rank,
+                     d.doc_id, s.score FROM s JOIN d ON d.r = s.r WHERE s.score > 0)
+        SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM o WHERE rank <= 50""",
 }
+
+SQL["op13_minhash"] = SQL["op10_jaccard_join"].replace("85 *", "80 *").replace(
+    "SELECT d.doc_id, coalesce", "SELECT doc_id, n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept "
+    "FROM (SELECT d.doc_id, coalesce") + ")"

@@ -73,9 +73,9 @@ def place(rows: DataFrame, shards: list[str], key: str = "doc_id", size: int = T
     table = spark.createDataFrame([(i, shards[o]) for i, o in enumerate(owner.tolist())],
                                   "_slot int, _shard string")
     names = [c for c in rows.columns if c not in ("slot", "shard")]
-    keyed = rows.select(slot_of(F.col(key), size).alias("_slot"), *names)
+    keyed = rows.select(slot_of(F.col(key), size).alias("_slot"), F.struct(*names).alias("_row"))
     return keyed.join(F.broadcast(table), "_slot").select(
-        *names, F.col("_slot").alias("slot"), F.col("_shard").alias("shard"))
+        "_row.*", F.col("_slot").alias("slot"), F.col("_shard").alias("shard"))
 
 
 def write_shards(rows: DataFrame, path: str, shards: list[str], key: str = "doc_id",
