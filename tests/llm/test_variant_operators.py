@@ -117,12 +117,13 @@ def near_rows(rows, size, percent):
     return sorted(((d, n, c, d == c) for d, n, c in brute_jaccard(rows, size, percent)), key=repr)
 
 
-@pytest.mark.parametrize("small,block", [(16, 1024), (3, 8)])
-@pytest.mark.parametrize("size,percent", [(4, 80), (5, 80), (2, 60)])
-@pytest.mark.parametrize("rows", [ODD, random_docs(4), []], ids=["odd", "random", "empty"])
+@pytest.mark.parametrize("rows,size,percent,small,block", [
+    (ODD, 4, 80, 16, 1024), ([], 4, 80, 16, 1024), (random_docs(4), 5, 80, 16, 1024), (random_docs(4), 4, 80, 3, 8),
+    (random_docs(5), 2, 60, 3, 8)], ids=["odd", "empty", "random", "large keys", "two words"])
 def test_minhash(docs_of, rows, size, percent, small, block, monkeypatch):
     monkeypatch.setattr(minhash, "SMALL", small)   # 3: stars and the pairs between components
     monkeypatch.setattr(minhash, "BLOCK_ROWS", block)
+    monkeypatch.setattr(minhash, "LINK_ROWS", block)
     got = minhash.near_duplicates(docs_of(rows, extra=True), size=size, percent=percent)
     assert got.columns == ["doc_id", "n_shingles", "component_id", "kept"]
     assert collected(got) == near_rows(rows, size, percent)

@@ -16,8 +16,9 @@ pivot, another one in every key, so a cluster of near copies hangs together
 after a number of pairs in proportion to its size.  Only where the members of
 a large key still lie in different components after the links of the stars
 are known, members outside the key's main component meet the others, block by
-block inside tasks: no pair within a component is made, and none that the
-posterior rejects leaves the task.
+block inside tasks.  A first pass over signatures gives the members that have a
+pair left (rows of members, not pairs); a second, over their whole sets, gives
+each such member's best link, and is repeated for those that had one.
 
 **Sequential Bayesian verification.**  Signatures are compared in batches of
 ``BATCH`` minima.  After m matches of k, with a flat prior, similarity reaches t with
@@ -63,6 +64,7 @@ MISS = 1e-6
 BATCH = 32
 SMALL = 16
 BLOCK_ROWS = 1024
+LINK_ROWS = 256         # rows a block where whole sets are compared
 
 _U = np.uint64
 _seeds = np.random.default_rng(20240301).integers(0, 1 << 31, (2, HASHES), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -181,82 +183,145 @@ def _survivors(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                  .mapInArrow(_sequential(percent), "u long, v long, matches long"), "minhash-survivors")
 
 
-def _across(nearest: bool, percent: int):
-    """From rows sorted by (key, i, j, side): pairs of a row of side 0 and one
-    of side 1 in different components that sizes admit and no batch rejects;
-    ``nearest``: for each row of side 0 the one with most matches."""
-    least = least_matches(percent)
-
-    def compare(a: list[np.ndarray], b: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        a_cls, a_n, a_root, a_sig = a
-        b_cls, b_n, b_root, b_sig = b
-        step = max(1, (1 << 17) // len(b_cls))
-        for lo in range(0, len(a_cls), step):
-            part = slice(lo, lo + step)
-            i, j = np.nonzero((a_root[part, None] != b_root[None, :])
-                              & (100 * np.minimum(a_n[part, None], b_n[None, :])
-                                 >= percent * np.maximum(a_n[part, None], b_n[None, :])))
-            i += lo
-            m = np.zeros(len(i), dtype=np.int64)
-            for k, need in enumerate(least):
-                cut = slice(k * BATCH, (k + 1) * BATCH)
-                m += (a_sig[i, cut] == b_sig[j, cut]).sum(axis=1)
-                stay = m >= need
-                i, j, m = i[stay], j[stay], m[stay]
-            if nearest and len(i):
-                order = np.lexsort((j, -m, i))
-                first = order[np.append(True, i[order][1:] != i[order][:-1])]
-                i, j = i[first], j[first]
-            yield np.minimum(a_cls[i], b_cls[j]), np.maximum(a_cls[i], b_cls[j])
+def _units(answer):
+    """Calls ``answer`` with both sides of each (key, i, j) of rows sorted by
+    (key, i, j, side): per side the arrays cls, n, root and the list of data."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, sides = None, ([], [])
+        unit, sides = None, ([], [])
 
-        def answer() -> Iterator[pa.RecordBatch]:
+        def done() -> Iterator[pa.RecordBatch]:
             if sides[0] and sides[1]:
-                for u, v in compare(*([np.concatenate(x) for x in zip(*s)] for s in sides)):
-                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+                yield from answer(unit[0], *(
+                    [*(np.concatenate(x) for x in list(zip(*s))[:3]), [d for part in s for d in part[3]]] for s in sides))
 
         for b in batches:
             keys, i, j, side, cls, n, root = (
                 b.column(c).to_numpy() for c in ("key", "i", "j", "side", "cls", "n", "root"))
             if not len(keys):
                 continue
-            sig = _matrix(b.column("sig"))
+            data = b.column("data").to_pylist()
             edge = np.flatnonzero((np.diff(keys) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0) | (np.diff(side) != 0)) + 1
             for lo, hi in zip(np.append(0, edge), np.append(edge, len(keys))):
-                if (keys[lo], i[lo], j[lo]) != key:
-                    yield from answer()
-                    key, sides = (keys[lo], i[lo], j[lo]), ([], [])
-                sides[side[lo]].append([x[lo:hi] for x in (cls, n, root, sig)])
-        yield from answer()
+                if (keys[lo], i[lo], j[lo]) != unit:
+                    yield from done()
+                    unit, sides = (keys[lo], i[lo], j[lo]), ([], [])
+                sides[side[lo]].append([cls[lo:hi], n[lo:hi], root[lo:hi], data[lo:hi]])
+        yield from done()
 
     return run
 
 
-def _between_components(placed: DataFrame, classes: DataFrame, nearest: bool, percent: int) -> DataFrame:
-    """Pairs (u, v) of large keys whose members lie in several components;
-    ``placed``: key, cls, n, root.  Both sides come in blocks of about BLOCK_ROWS."""
+def _apart(a: list, b: list, percent: int, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of pairs of a[lo:hi] and b in different components whose sizes fit."""
+    i, j = np.nonzero((a[2][lo:hi, None] != b[2][None, :])
+                      & (100 * np.minimum(a[1][lo:hi, None], b[1][None, :])
+                         >= percent * np.maximum(a[1][lo:hi, None], b[1][None, :])))
+    return i + lo, j
+
+
+def _alive(percent: int):
+    """(key, cls, outer): rows of a unit that are in a pair which no batch rejects."""
+    least = least_matches(percent)
+
+    def answer(key: int, a: list, b: list) -> Iterator[pa.RecordBatch]:
+        a_sig, b_sig = (np.frombuffer(b"".join(x[3]), dtype=np.uint8).reshape(-1, HASHES) for x in (a, b))
+        kept = np.zeros(len(a_sig), dtype=bool), np.zeros(len(b_sig), dtype=bool)
+        step = max(1, (1 << 17) // len(b_sig))
+        for lo in range(0, len(a_sig), step):
+            i, j = _apart(a, b, percent, lo, lo + step)
+            m = np.zeros(len(i), dtype=np.int64)
+            for k, need in enumerate(least):
+                cut = slice(k * BATCH, (k + 1) * BATCH)
+                m += (a_sig[i, cut] == b_sig[j, cut]).sum(axis=1)
+                stay = m >= need
+                i, j, m = i[stay], j[stay], m[stay]
+            kept[0][i] = kept[1][j] = True
+        for side, rows, outer in ((a, kept[0], True), (b, kept[1], False)):
+            n = int(rows.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, key)), pa.array(side[0][rows]), pa.array([outer] * n, pa.bool_())],
+                                             ["key", "cls", "outer"])
+
+    return _units(answer)
+
+
+def _links(percent: int):
+    """For each row of side 0 that links to another component by whole sets, its best link."""
+
+    def answer(key: int, a: list, b: list) -> Iterator[pa.RecordBatch]:
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in b[3]]
+        length = np.array([len(x) for x in sets], dtype=np.int64)
+        start = np.concatenate([[0], np.cumsum(length)])
+        values, at = np.unique(np.concatenate(sets), return_inverse=True)
+        flag = np.zeros(len(values), dtype=np.int32)
+        found = []
+        for x in range(len(a[0])):
+            _, j = _apart(a, b, percent, x, x + 1)
+            if not len(j):
+                continue
+            mine = np.searchsorted(values, own := np.frombuffer(a[3][x], dtype=np.uint64))
+            mine[mine == len(values)] = 0
+            mine = mine[values[mine] == own]
+            flag[mine] = 1
+            before = np.concatenate([[0], np.cumsum(flag[at], dtype=np.int64)])
+            flag[mine] = 0
+            both = before[start[j + 1]] - before[start[j]]
+            either = len(own) + length[j] - both
+            linked = np.flatnonzero(100 * both >= percent * either)
+            if len(linked):
+                y = j[linked[np.lexsort((b[0][j[linked]], -both[linked] / either[linked]))[0]]]
+                found.append((int(a[0][x]), int(b[0][y])))
+        if found:
+            x, y = zip(*found)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), key)), pa.array(x), pa.array(y)], ["key", "u", "v"])
+
+    return _units(answer)
+
+
+def _dealt(outer: DataFrame, members: DataFrame, block_rows: int) -> DataFrame:
+    """Units (key, i, j): about ``block_rows`` rows of ``outer`` and as many of
+    ``members`` (both key, cls, n, root, data) for every pair of blocks of a key."""
+    def blocks_of(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
+
+    counts = store(blocks_of(outer, "n_i").join(blocks_of(members, "n_j"), "key"), "minhash-counts")
+
+    def side(rows: DataFrame, number: int, own: str, other: str) -> DataFrame:
+        rows = rows.join(counts, "key")
+        return (rows.withColumn(own, F.pmod(F.xxhash64("cls"), F.col(f"n_{own}")).cast("int"))
+                .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"n_{other}") - 1)))
+                .select("key", "i", "j", F.lit(number).alias("side"), "cls", "n", "root", "data"))
+
+    return (side(outer, 0, "i", "j").union(side(members, 1, "j", "i")).repartition("key", "i", "j")
+            .sortWithinPartitions("key", "i", "j", "side"))
+
+
+def _join_apart(many: DataFrame, classes: DataFrame, sets: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
+    """``joined`` with all further links between members of one large key.
+
+    First signatures say which members have a pair left, one row each; no pair
+    leaves the task.  Then each of those that are *outer* gives its best link by
+    whole sets, if any, until none does: a member without a link has none later
+    on, and every link has an end that was outer, so nothing is missed."""
+    placed = _rooted(many, joined, "cls", "root").join(classes.select("cls", F.col("sig").alias("data")), "cls")
     roots = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-    mixed = (roots.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("_all"),
-                                      F.count(F.lit(1)).alias("_k"), (F.sum("c") - F.max("c")).alias("_out"))
-             .where("_k > 1").select("key", "main", F.ceil(F.col("_out") / BLOCK_ROWS).cast("int").alias("n_i"),
-                                     F.ceil(F.col("_all") / BLOCK_ROWS).cast("int").alias("n_j")))
-    rows = store(placed.join(store(mixed, "minhash-mixed"), "key").join(classes.select("cls", "sig"), "cls"),
-                 "minhash-blocks")
-    spread = F.xxhash64("cls")
-
-    def every(n: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-
-    columns = ["key", "i", "j", "side", "cls", "n", "root", "sig"]
-    ours = (rows.where("root <> main").withColumn("i", F.pmod(spread, F.col("n_i")).cast("int"))
-            .withColumn("j", every("n_j")).withColumn("side", F.lit(0)))
-    theirs = (rows.withColumn("j", F.pmod(spread, F.col("n_j")).cast("int")).withColumn("i", every("n_i"))
-              .withColumn("side", F.lit(1)))
-    return store(ours.select(columns).union(theirs.select(columns)).repartition("key", "i", "j")
-                 .sortWithinPartitions("key", "i", "j", "side")
-                 .mapInArrow(_across(nearest, percent), "u long, v long").distinct(), "minhash-across")
+    mixed = store(roots.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"),
+                                           F.count(F.lit(1)).alias("_k")).where("_k > 1").select("key", "main"), "minhash-mixed")
+    members = store(placed.join(mixed, "key"), "minhash-placed")
+    alive = store(_dealt(members.where("root <> main"), members, BLOCK_ROWS)
+                  .mapInArrow(_alive(percent), "key long, cls long, outer boolean")
+                  .groupBy("key", "cls").agg(F.max("outer").alias("outer")), "minhash-alive")
+    active = alive.where("outer").select("key", "cls")
+    whole = alive.select("key", "cls").join(sets.select("cls", F.length("set").alias("_b"), F.col("set").alias("data")), "cls")
+    while True:
+        rows = _rooted(whole.withColumn("n", (F.col("_b") / 8).cast("long")).drop("_b"), joined, "cls", "root")
+        wanted = rows.join(active.select("key").distinct(), "key", "left_semi")
+        outer = rows.join(active, ["key", "cls"], "left_semi")
+        found = store(_dealt(outer, wanted, LINK_ROWS).mapInArrow(_links(percent), "key long, u long, v long"), "minhash-across")
+        if found.isEmpty():
+            return joined
+        joined = _merge(joined, found.select("u", "v").distinct())
+        active = found.select("key", F.col("u").alias("cls")).distinct()
 
 
 def linked_classes(rows: DataFrame, described: DataFrame, size: int, percent: int) -> DataFrame:
@@ -287,16 +352,7 @@ def linked_classes(rows: DataFrame, described: DataFrame, size: int, percent: in
                  .where("_ru <> _rv").select("u", "v"), "minhash-rest")
     if not rest.isEmpty():
         joined = _merge(joined, _verify(rest, sets, percent))
-    # large keys whose members still lie apart: the nearest of each outer member
-    # twice, which joins what belongs together, then whatever remains between
-    if not many.isEmpty():
-        for nearest_only in (True, True, False):
-            placed = store(_rooted(many.select("key", "cls", "n"), joined, "cls", "root"), "minhash-placed")
-            more = _between_components(placed, classes, nearest_only, percent)
-            if more.isEmpty():
-                break
-            joined = _merge(joined, _verify(more, sets, percent))
-    return joined
+    return joined if many.isEmpty() else _join_apart(many.select("key", "cls", "n"), classes, sets, joined, percent)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE,
