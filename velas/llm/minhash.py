@@ -63,7 +63,7 @@ HASHES = 128
 MISS = 1e-6
 BATCH = 32
 SMALL = 16
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 512
 LINK_ROWS = 256         # rows a block where whole sets are compared
 
 _U = np.uint64
@@ -221,7 +221,7 @@ def _apart(a: list, b: list, percent: int, lo: int, hi: int) -> tuple[np.ndarray
 
 
 def _alive(percent: int):
-    """(key, cls, outer): rows of a unit that are in a pair which no batch rejects."""
+    """(key, cls, n, root, outer): rows of a unit that are in a pair which no batch rejects."""
     least = least_matches(percent)
 
     def answer(key: int, a: list, b: list) -> Iterator[pa.RecordBatch]:
@@ -239,8 +239,9 @@ def _alive(percent: int):
             kept[0][i] = kept[1][j] = True
         for side, rows, outer in ((a, kept[0], True), (b, kept[1], False)):
             n = int(rows.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, key)), pa.array(side[0][rows]), pa.array([outer] * n, pa.bool_())],
-                                             ["key", "cls", "outer"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, key)), *(pa.array(x[rows]) for x in side[:3]), pa.array(np.full(n, outer))],
+                ["key", "cls", "n", "root", "outer"])
 
     return _units(answer)
 
@@ -303,25 +304,27 @@ def _join_apart(many: DataFrame, classes: DataFrame, sets: DataFrame, joined: Da
     leaves the task.  Then each of those that are *outer* gives its best link by
     whole sets, if any, until none does: a member without a link has none later
     on, and every link has an end that was outer, so nothing is missed."""
-    placed = _rooted(many, joined, "cls", "root").join(classes.select("cls", F.col("sig").alias("data")), "cls")
+    placed = store(_rooted(many, joined, "cls", "root"), "minhash-placed")
     roots = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
     mixed = store(roots.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"),
                                            F.count(F.lit(1)).alias("_k")).where("_k > 1").select("key", "main"), "minhash-mixed")
-    members = store(placed.join(mixed, "key"), "minhash-placed")
+    members = store(placed.join(mixed, "key").join(classes.select("cls", F.col("sig").alias("data")), "cls"), "minhash-members")
     alive = store(_dealt(members.where("root <> main"), members, BLOCK_ROWS)
-                  .mapInArrow(_alive(percent), "key long, cls long, outer boolean")
-                  .groupBy("key", "cls").agg(F.max("outer").alias("outer")), "minhash-alive")
-    active = alive.where("outer").select("key", "cls")
-    whole = alive.select("key", "cls").join(sets.select("cls", F.length("set").alias("_b"), F.col("set").alias("data")), "cls")
+                  .mapInArrow(_alive(percent), "key long, cls long, n long, root long, outer boolean")
+                  .groupBy("key", "cls").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.max("outer").alias("outer")),
+                  "minhash-alive")
+    # with their sets, once; later rounds read the keys that had a link
+    rows = whole = store(alive.join(sets.withColumnRenamed("set", "data"), "cls"), "minhash-whole")
+    outer = rows.where("outer")
     while True:
-        rows = _rooted(whole.withColumn("n", (F.col("_b") / 8).cast("long")).drop("_b"), joined, "cls", "root")
-        wanted = rows.join(active.select("key").distinct(), "key", "left_semi")
-        outer = rows.join(active, ["key", "cls"], "left_semi")
-        found = store(_dealt(outer, wanted, LINK_ROWS).mapInArrow(_links(percent), "key long, u long, v long"), "minhash-across")
+        found = store(_dealt(outer, rows, LINK_ROWS).mapInArrow(_links(percent), "key long, u long, v long"), "minhash-across")
         if found.isEmpty():
             return joined
         joined = _merge(joined, found.select("u", "v").distinct())
-        active = found.select("key", F.col("u").alias("cls")).distinct()
+        active = store(found.select("key", F.col("u").alias("cls")).distinct(), "minhash-active")
+        rows = store(_rooted(whole.drop("root").join(active.select("key").distinct(), "key", "left_semi"), joined, "cls", "root"),
+                     "minhash-whole")
+        outer = rows.join(active, ["key", "cls"], "left_semi")
 
 
 def linked_classes(rows: DataFrame, described: DataFrame, size: int, percent: int) -> DataFrame:
