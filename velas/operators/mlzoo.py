@@ -5,8 +5,9 @@
 * KNN: relational, exact (``velas.operators.knn``).
 * Logistic regression: grouped Newton iterations, all symbols at once
   (``velas.operators.linear.fit_logistic``).
-* Trees, boosting, multilayer perceptron: ``pyspark.ml`` estimators fitted
-  per symbol.  Each fit is a distributed Spark job; the
+* Forests, first- and second-order boosting: grouped histogram trees, all
+  symbols at once (``velas.operators.trees``).
+* Multilayer perceptron: a ``pyspark.ml`` estimator fitted per symbol; the
   symbols are submitted concurrently from a small thread pool.
 * Kernel SVM: re-aimed as random Fourier features (Rahimi & Recht, 2007) of
   the RBF kernel, computed by an Arrow-batched pandas UDF, followed by the
@@ -19,31 +20,27 @@ Prediction rows: symbol, rn, y, p (+ prob_up for classifiers).
 
 from __future__ import annotations
 
+import functools
 import math
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velas.operators import knn, linear
+from velas.operators import knn, linear, trees
 from velas.session import scratch_path
 
 SEED = 42
 RFF_DIM = 256
-# execution-only settings for deep forests (same model): more nodes split per
-# pass over the data, node ids cached between levels
-TREE_EXECUTION = {"maxMemoryInMB": 1024, "cacheNodeIds": True}
 FIT_THREADS = 8
 
-# models fitted by grouped passes over all symbols (no per-symbol loop)
-GROUPED_MODELS = ("KNN", "Logistic Regression", "SVR", "SVC")
+TREE_MODELS = ("Random Forest", "Gradient Boosting", "XGBoost")
 
 # Declared model order per target (ties go to the earlier one).
 REGRESSION_MODELS = ("Linear Regression", "Ridge Regression", "Lasso Regression", "ElasticNet",
@@ -52,30 +49,6 @@ CLASSIFICATION_MODELS = ("Logistic Regression", "Random Forest", "Gradient Boost
                          "MLP", "XGBoost")
 
 
-def _regressor(name: str, n_features: int):
-    if name == "Random Forest":
-        return RandomForestRegressor(numTrees=100, featureSubsetStrategy="all", maxDepth=30, seed=SEED,
-                                     **TREE_EXECUTION)
-    if name == "Gradient Boosting":
-        return GBTRegressor(maxIter=100, maxDepth=3, stepSize=0.1, seed=SEED)
-    if name == "XGBoost":
-        return GBTRegressor(maxIter=100, maxDepth=6, stepSize=0.3, seed=SEED)
-    raise KeyError(name)
-
-
-def _classifier(name: str, n_features: int):
-    if name == "Random Forest":
-        return RandomForestClassifier(numTrees=100, featureSubsetStrategy="sqrt", maxDepth=30, seed=SEED,
-                                      **TREE_EXECUTION)
-    if name == "Gradient Boosting":
-        return GBTClassifier(maxIter=100, maxDepth=3, stepSize=0.1, seed=SEED)
-    if name == "XGBoost":
-        return GBTClassifier(maxIter=100, maxDepth=6, stepSize=0.3, seed=SEED)
-    if name == "MLP":
-        return MultilayerPerceptronClassifier(layers=[n_features, 100, 50, 2], maxIter=500, seed=SEED)
-    raise KeyError(name)
-
-
 def rff_weights(d: int, dim: int = RFF_DIM, seed: int = SEED):
     """Random Fourier features of exp(-gamma ||x - y||^2), gamma = 1/d
     (unit-variance features)."""
@@ -110,22 +83,14 @@ def _vectors(df: DataFrame, features) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features").transform(df)
 
 
-def _fit_one(prepared: DataFrame, symbol: str, name: str, features, classify: bool):
+def _fit_mlp(prepared: DataFrame, symbol: str, features) -> DataFrame:
+    """Hold-out predictions of one symbol's multilayer perceptron."""
     rows = _vectors(prepared.where(F.col("symbol") == symbol), features)
-    train = rows.where("is_train")
-    if classify:
-        est = _classifier(name, len(features))
-        est = est.setLabelCol("label_d")
-        train = train.withColumn("label_d", F.col("label").cast("double"))
-    else:
-        est = _regressor(name, len(features)).setLabelCol("label")
-    model = est.fit(train)
-    scored = model.transform(rows.where(~F.col("is_train")))
-    out = scored.select("symbol", "rn", F.col("label").cast("double").alias("y"),
-                        F.col("prediction").alias("p"), *(
-                            [(F.element_at(vector_to_array("probability"), 2)).alias("prob_up")]
-                            if classify else []))
-    return out, model
+    est = MultilayerPerceptronClassifier(layers=[len(features), 100, 50, 2], maxIter=500, seed=SEED, labelCol="label_d")
+    model = est.fit(rows.where("is_train").withColumn("label_d", F.col("label").cast("double")))
+    return model.transform(rows.where(~F.col("is_train"))).select(
+        "symbol", "rn", F.col("label").cast("double").alias("y"), F.col("prediction").alias("p"),
+        F.element_at(vector_to_array("probability"), 2).alias("prob_up"))
 
 
 def by_symbol(prepared: DataFrame) -> DataFrame:
@@ -170,34 +135,11 @@ def fit_predict(prepared: DataFrame, name: str, features, classify: bool) -> Dat
     if name == "KNN":
         out = knn.knn_predict(prepared, list(features), classify=classify)
         return out
+    if name in TREE_MODELS:
+        return trees.fit_predict_trees(prepared, name, features, classify)
+    if name != "MLP" or not classify:
+        raise KeyError(name)
     prepared = by_symbol(prepared)
-    syms = symbols_of(prepared)
-    with ThreadPoolExecutor(max_workers=FIT_THREADS) as pool:
-        parts = list(pool.map(lambda s: _fit_one(prepared, s, name, features, classify)[0], syms))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def fit_many(jobs) -> DataFrame:
-    """Fit many pyspark.ml models at once.  ``jobs``: iterable of
-    (prepared, name, features, classify, tags) - one hold-out prediction
-    frame per (job, symbol), tagged with the ``tags`` columns; all fits are
-    submitted to one thread pool so small fits overlap."""
-    tasks = []
-    for prepared, name, features, classify, tags in jobs:
-        for sym in symbols_of(prepared):
-            tasks.append((prepared, sym, name, features, classify, tags))
-
-    def run(t):
-        prepared, sym, name, features, classify, tags = t
-        out = _fit_one(prepared, sym, name, features, classify)[0].select("symbol", "rn", "y", "p")
-        return out.withColumns({k: F.lit(v) for k, v in tags.items()})
-
     with ThreadPoolExecutor(max_workers=FIT_THREADS) as pool:
-        parts = list(pool.map(run, tasks))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        parts = list(pool.map(lambda s: _fit_mlp(prepared, s, features), symbols_of(prepared)))
+    return functools.reduce(DataFrame.unionByName, parts)

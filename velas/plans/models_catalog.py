@@ -94,20 +94,15 @@ def q_sink_predictions(spark, sf):
 def _bakeoff(spark, sf, targets):
     pred, feat = fast_predictions(spark, sf)
     parts = [pred.where(F.col("target").isin(*targets)).select("symbol", "rn", "y", "p", "target", "model")]
-    prepared = mlzoo.by_symbol(prep.prepare_multi(feat, TARGETS))
-    jobs = []
+    prepared = materialize(prep.prepare_multi(feat, TARGETS))
     for target in targets:
         classify = target == "direction"
-        names = mlzoo.CLASSIFICATION_MODELS if classify else mlzoo.REGRESSION_MODELS
         rows = prepared.withColumn("label", F.col(f"y_{target}"))
-        jobs += [(rows, name, FEATS, classify, {"target": target, "model": name})
-                 for name in names
-                 if name not in linear.LINEAR_MODELS and name not in mlzoo.GROUPED_MODELS]
-        for name in names:  # grouped fits: all symbols at once
-            if name in mlzoo.GROUPED_MODELS:
-                g = mlzoo.fit_predict(rows, name, FEATS, classify).select("symbol", "rn", "y", "p")
-                parts.append(g.withColumns({"target": F.lit(target), "model": F.lit(name)}))
-    parts.append(mlzoo.fit_many(jobs))
+        for name in mlzoo.CLASSIFICATION_MODELS if classify else mlzoo.REGRESSION_MODELS:
+            if name == "KNN" or name in linear.LINEAR_MODELS and not classify:
+                continue  # among the shared passes
+            fitted = mlzoo.fit_predict(rows, name, FEATS, classify).select("symbol", "rn", "y", "p")
+            parts.append(fitted.withColumns({"target": F.lit(target), "model": F.lit(name)}))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -120,8 +115,7 @@ def _bakeoff(spark, sf, targets):
 
 def q_model_bakeoff(spark, sf):
     """Every model of the family on every target: hold-out metrics, long form.
-    Linear family and KNN come from the shared grouped / relational passes;
-    the pyspark.ml models are fitted per symbol."""
+    All but the multilayer perceptron are fitted for all symbols at once."""
     return _bakeoff(spark, sf, list(TARGETS))
 
 
