@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from velas.functions.rounding import F32, round_report
-from velas.operators import artifacts, knn, linear, metrics, mlzoo, predict, prep
+from velas.operators import artifacts, knn, ledger, linear, metrics, mlzoo, predict, prep
 from velas.operators.indicators import FEATURES
 from velas.plans import catalog as C
 from velas.session import materialize, scratch_path
@@ -36,12 +36,9 @@ def _model_query(name: str, target: str):
     return q
 
 
-def fast_predictions(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """Hold-out predictions of the linear family and KNN for all targets
-    (long: symbol, target, model, rn, y, p, prob_up) and the feature table.
-    One prepared table and one neighbour search serve all three targets."""
-    feat = materialize(C._feat(spark, sf))
-    prepared = prep.prepare_multi(feat, TARGETS)
+def _shared_fit(prepared: DataFrame) -> DataFrame:
+    """Hold-out predictions of the linear family and KNN for all targets (one
+    prepared table and one neighbour search serve all three)."""
     labels = {f"y_{t}": t == "direction" for t in TARGETS}
     k = knn.knn_predict_multi(prepared, FEATS, labels)
     parts = [k.withColumn("target", F.substring(F.col("label"), 3, 100)).drop("label")
@@ -57,12 +54,45 @@ def fast_predictions(spark, sf) -> tuple[DataFrame, DataFrame]:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return materialize(out), feat
+    return out
+
+
+def _single_fit(target: str, name: str):
+    def fit(prepared: DataFrame) -> DataFrame:
+        classify = target == "direction"
+        out = mlzoo.fit_predict(prepared.withColumn("label", F.col(f"y_{target}")), name, FEATS, classify)
+        if not classify:
+            out = out.withColumn("prob_up", F.lit(None).cast("double"))
+        return out.withColumns({"target": F.lit(target), "model": F.lit(name)})
+    return fit
+
+
+def _models_of(target: str):
+    return mlzoo.CLASSIFICATION_MODELS if target == "direction" else mlzoo.REGRESSION_MODELS
+
+
+#: every candidate in declared order (ties for the best model go to the earlier one)
+MODEL_ORDER = [(t, m, i) for t in TARGETS for i, m in enumerate(_models_of(t))]
 
 
-FAST_ORDER = ([("price", m, i) for i, m in enumerate(linear.LINEAR_MODELS + ("KNN",))]
-              + [("volatility", m, i) for i, m in enumerate(linear.LINEAR_MODELS + ("KNN",))]
-              + [("direction", "KNN", 0)])
+def candidate_fits(targets) -> list[ledger.Fit]:
+    """All candidates of the targets; those of one pass together, the longest first."""
+    shared = [(t, m) for t, m, _ in MODEL_ORDER
+              if m == "KNN" or m in linear.LINEAR_MODELS and t != "direction"]
+    singles = [(t, m) for t, m, _ in MODEL_ORDER if (t, m) not in shared and t in targets]
+    singles.sort(key=lambda c: c[1] != "Random Forest")
+    return [([c], _single_fit(*c)) for c in singles[:2]] + [(shared, _shared_fit)] + [([c], _single_fit(*c)) for c in singles[2:]]
+
+
+def ledger_predictions(spark, sf, targets=tuple(TARGETS)) -> tuple[DataFrame, DataFrame]:
+    """Hold-out predictions (long: symbol, rn, target, model, y, p, prob_up) of
+    every candidate, from the ledger in the shared folder, and the feature
+    table.  Candidates that the ledger has for the same rows are not fitted again."""
+    feat = materialize(C._feat(spark, sf))
+    prepared = materialize(prep.prepare_multi(feat, TARGETS))
+    bars = feat.select("symbol", "date", "open", "high", "low", "close", "volume")
+    pred = ledger.fit_absent(prepared, bars, candidate_fits(targets), scratch_path(spark, "bakeoff-ledger"))
+    return pred.where(F.col("target").isin(*targets)), feat
 
 
 def _metrics(pred: DataFrame) -> DataFrame:
@@ -72,8 +102,8 @@ def _metrics(pred: DataFrame) -> DataFrame:
 
 
 def q_predict_next_bar(spark, sf):
-    pred, feat = fast_predictions(spark, sf)
-    order = spark.createDataFrame(FAST_ORDER, "target string, model string, model_ordinal int")
+    pred, feat = ledger_predictions(spark, sf)
+    order = spark.createDataFrame(MODEL_ORDER, "target string, model string, model_ordinal int")
     champs = metrics.best_model(_metrics(pred), order).select(
         "symbol", "target", F.col("best_model").alias("model"))
     latest = C.clean.latest_n(feat, 1).select("symbol", "rn", "date", "close")
@@ -92,21 +122,7 @@ def q_sink_predictions(spark, sf):
 
 
 def _bakeoff(spark, sf, targets):
-    pred, feat = fast_predictions(spark, sf)
-    parts = [pred.where(F.col("target").isin(*targets)).select("symbol", "rn", "y", "p", "target", "model")]
-    prepared = materialize(prep.prepare_multi(feat, TARGETS))
-    for target in targets:
-        classify = target == "direction"
-        rows = prepared.withColumn("label", F.col(f"y_{target}"))
-        for name in mlzoo.CLASSIFICATION_MODELS if classify else mlzoo.REGRESSION_MODELS:
-            if name == "KNN" or name in linear.LINEAR_MODELS and not classify:
-                continue  # among the shared passes
-            fitted = mlzoo.fit_predict(rows, name, FEATS, classify).select("symbol", "rn", "y", "p")
-            parts.append(fitted.withColumns({"target": F.lit(target), "model": F.lit(name)}))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    out = materialize(out)
+    out, _ = ledger_predictions(spark, sf, targets)
     kinds = [metrics.regression_metrics(out.where("target != 'direction'"))
              if set(targets) - {"direction"} else None,
              metrics.classification_metrics(out.where("target = 'direction'")) if "direction" in targets else None]
@@ -146,7 +162,7 @@ def q_scan_bars(spark, sf):
 
 
 def q_sink_metrics(spark, sf):
-    pred, _ = fast_predictions(spark, sf)
+    pred, _ = ledger_predictions(spark, sf)
     path = scratch_path(spark, f"metrics-{uuid.uuid4().hex}")
     files.write_table(_metrics(pred), path, fmt="csv")
     return spark.read.option("header", True).option("inferSchema", True).csv(path)
