@@ -304,3 +304,35 @@ def predict_logistic(rows: DataFrame, coefs: DataFrame, features) -> DataFrame:
     out = rows.join(coefs, "symbol").withColumn("prob_up", prob)
     return out.withColumn("p", F.when(F.col("prob_up") > 0.5, F.lit(1.0)).otherwise(F.lit(0.0))).drop(
         "intercept", "coef", "converged")
+
+
+# --- optimality of the fits (M1-M4, M10) -------------------------------------
+def optimality(prepared: DataFrame, coefs: DataFrame, features, tol: float = 1e-7) -> DataFrame:
+    """Per symbol and model the training rows and the number of coefficients
+    (``n_violated``, the intercept included) whose optimality condition does not hold.
+
+    The conditions are recomputed from all training rows: with g_j the mean of
+    residual * feature j, OLS needs g_j = 0, ridge g_j = alpha w_j / n, lasso and
+    elastic net g_j - l2 w_j = l1 sign(w_j), or |g_j| <= l1 where w_j = 0; logistic
+    regression is ridge with 1 / C and y - P(y = 1) as residual.  ``tol`` is
+    relative to the label's spread, as the features have unit variance."""
+    x, _ = _x(features)
+    dot = F.aggregate(F.zip_with(x, F.col("coef"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    fit = F.col("intercept") + dot
+    logistic = F.col("model") == "Logistic Regression"
+    rows = (prepared.where("is_train").join(coefs, "symbol")
+            .withColumn("_y", F.col("label").cast("double"))
+            .withColumn("_r", F.col("_y") - F.when(logistic, 1 / (1 + F.exp(-fit))).otherwise(fit)))
+    sums = rows.groupBy("symbol", "model").agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.stddev_pop("_y"), F.lit(0.0)).alias("_spread"), F.avg("_r").alias("_g0"),
+        F.array(*[F.avg(F.col("_r") * F.col(f)) for f in features]).alias("_g"))
+    ridge = F.when(logistic, 1 / LOGISTIC_C).when(F.col("model") == "Ridge Regression", RIDGE_ALPHA).otherwise(0.0)
+    l1 = F.when(F.col("model") == "Lasso Regression", LASSO_ALPHA).when(
+        F.col("model") == "ElasticNet", ENET_ALPHA * ENET_L1_RATIO).otherwise(0.0)
+    l2 = F.when(F.col("model") == "ElasticNet", ENET_ALPHA * (1 - ENET_L1_RATIO)).otherwise(ridge / F.col("n"))
+    off = F.zip_with("_g", "coef", lambda g, w: F.when(w == 0, F.greatest(F.abs(g) - l1, F.lit(0.0))).otherwise(
+        F.abs(g - l2 * w - l1 * F.signum(w))))
+    allowed = tol * F.col("_spread") + 1e-9
+    return (sums.join(coefs, ["symbol", "model"])
+            .select("symbol", "model", "n", (F.size(F.filter(off, lambda v: v > allowed))
+                                              + (F.abs("_g0") > allowed).cast("int")).cast("long").alias("n_violated")))

@@ -551,5 +551,18 @@ def oracle_queries_extra() -> dict[str, str]:
                                for p, ss in panels.items() for s in ss)
     q["chart_indicators"] = (f"{_w('analysis')}, ci AS ({parts}) "
                              + _sel(["symbol", "date", "panel", "series", "value"], {"value": F32}, "ci"))
+    fitted = ("Linear Regression", "Ridge Regression", "Lasso Regression", "ElasticNet", "Logistic Regression")
+    models = ", ".join(f"('{m}')" for m in fitted)
+    q["fit_optimality"] = (f"{_w()}, {split_cte()} SELECT symbol, model, CAST(count(*) AS BIGINT) AS n, "
+                           f"CAST(0 AS BIGINT) AS n_violated FROM sp, (VALUES {models}) AS f(model) "
+                           "WHERE is_train GROUP BY symbol, model")
+    regress = ("Linear Regression", "Ridge Regression", "Lasso Regression", "ElasticNet", "Random Forest",
+               "Gradient Boosting", "SVR", "KNN", "XGBoost")
+    classify = ("Logistic Regression", "Random Forest", "Gradient Boosting", "SVC", "KNN", "MLP", "XGBoost")
+    pairs = ", ".join(f"('{t}', '{m}')" for t, ms in (("price", regress), ("volatility", regress), ("direction", classify))
+                      for m in ms)
+    q["bakeoff_coverage"] = (f"{_w()}, {split_cte()} SELECT symbol, target, model, CAST(count(*) AS BIGINT) AS n, "
+                             "CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) AS BIGINT) AS n_finite "
+                             f"FROM sp, (VALUES {pairs}) AS f(target, model) WHERE NOT is_train GROUP BY symbol, target, model")
     q["backtest_persistence"] = oracle_queries()["backtest_pairs"]
     return q

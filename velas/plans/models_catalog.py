@@ -212,6 +212,25 @@ def q_next_bar_job(spark, sf):
         scored, latest.select("symbol", "rn", "date", "close")))
 
 
+def q_fit_optimality(spark, sf):
+    """Optimality conditions of the linear family (price) and logistic
+    regression (direction), recomputed from all training rows."""
+    prepared = materialize(prep.prepare_multi(materialize(C._feat(spark, sf)), TARGETS))
+    price = prepared.withColumn("label", F.col("y_price"))
+    direction = prepared.withColumn("label", F.col("y_direction"))
+    logistic = materialize(linear.fit_logistic(direction, FEATS)).withColumn("model", F.lit("Logistic Regression"))
+    return linear.optimality(price, materialize(linear.fit_linear(price, FEATS)), FEATS).unionByName(
+        linear.optimality(direction, logistic, FEATS))
+
+
+def q_bakeoff_coverage(spark, sf):
+    """Hold-out rows and finite predictions of every candidate in the ledger."""
+    pred, _ = ledger_predictions(spark, sf)
+    finite = F.col("p").isNotNull() & ~F.isnan("p") & (F.abs("p") < float("inf"))
+    return pred.groupBy("symbol", "target", "model").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("rn").alias("n_rows"), F.sum(finite.cast("long")).alias("n_finite"))
+
+
 def q_parse_event_props(spark, sf):
     ev = bsrc.read_table(spark, sf, "events")
     return ev.select("event_id", F.from_json("props", "k long")["k"].alias("k"))
@@ -294,7 +313,9 @@ MODEL_QUERIES = {
     "xgb_like_classify": _model_query("XGBoost", "direction"),
     "rff_svc": _model_query("SVC", "direction"),
     "mlp_classify": _model_query("MLP", "direction"),
+    "fit_optimality": q_fit_optimality,
     "model_bakeoff": q_model_bakeoff,
+    "bakeoff_coverage": q_bakeoff_coverage,
     "bakeoff_price": q_bakeoff_price,
     "bakeoff_direction": q_bakeoff_direction,
     "bakeoff_volatility": q_bakeoff_volatility,
