@@ -5,6 +5,9 @@ absent.
 A fingerprint is a hash over all source rows of a symbol (their order does
 not matter): new or changed bars give another one, and the symbol is fitted anew.
 
+Fitted predictions also depend on the code: the caller names the folder after a
+hash of it.
+
 Layout under a folder: ``entries/run=<id>`` holds the predictions of one fit,
 ``manifest/run=<id>`` one row per (symbol, target, model, fingerprint) that it
 covers.  The manifest rows of a fit are written after its entries

@@ -6,6 +6,8 @@ in tests/); connectors and chart tables do (see ``velas.oracle``).
 
 from __future__ import annotations
 
+import hashlib
+import pkgutil
 import uuid
 
 from pyspark.sql import DataFrame
@@ -84,6 +86,16 @@ def candidate_fits(targets) -> list[ledger.Fit]:
     return [([c], _single_fit(*c)) for c in singles[:2]] + [(shared, _shared_fit)] + [([c], _single_fit(*c)) for c in singles[2:]]
 
 
+def code_version() -> str:
+    """Hash of the modules that the candidates' predictions depend on: another
+    version of one starts another ledger."""
+    parts = [pkgutil.get_data("velas.operators", f"{m}.py") for m in (
+        "indicators", "targets", "prep", "linear", "knn", "trees", "mlzoo")]
+    parts += [pkgutil.get_data("velas.plans", f"{m}.py") for m in ("features", "layout")]
+    parts += [pkgutil.get_data("velas.functions", f"{m}.py") for m in ("ema", "windows")]
+    return hashlib.sha256(b"\0".join(p or b"" for p in parts)).hexdigest()[:16]
+
+
 def ledger_predictions(spark, sf, targets=tuple(TARGETS)) -> tuple[DataFrame, DataFrame]:
     """Hold-out predictions (long: symbol, rn, target, model, y, p, prob_up) of
     every candidate, from the ledger in the shared folder, and the feature
@@ -91,7 +103,7 @@ def ledger_predictions(spark, sf, targets=tuple(TARGETS)) -> tuple[DataFrame, Da
     feat = materialize(C._feat(spark, sf))
     prepared = materialize(prep.prepare_multi(feat, TARGETS))
     bars = feat.select("symbol", "date", "open", "high", "low", "close", "volume")
-    pred = ledger.fit_absent(prepared, bars, candidate_fits(targets), scratch_path(spark, "bakeoff-ledger"))
+    pred = ledger.fit_absent(prepared, bars, candidate_fits(targets), scratch_path(spark, f"bakeoff-ledger-{code_version()}"))
     return pred.where(F.col("target").isin(*targets)), feat
 
 
