@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,6 +183,76 @@ def test_class_model(spark, known, monkeypatch):
     assert total[True][0] > total[True][1] and total[False][0] > total[False][1]
 
 
+@pytest.mark.parametrize("known", [1 << 19, 40])
+def test_class_model_score_equals_plain_python(spark, known, monkeypatch):
+    """With 40 listed words most words to be classed are found by the join."""
+    monkeypatch.setattr(class_lm.commonest, "__defaults__", (known,))
+    docs = (read_table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", text_or_empty().alias("text"))
+            .withColumn("held_out", fold(F.col("doc_id"), 5) == 1))
+    model, rest = class_lm.fit(docs.where("not held_out").select("text"))
+    got = {r.doc_id: r.score for r in class_lm.score(docs, model, rest).collect()}
+    tokens = {(r.doc_id, r.held_out): r.text.encode().lower().split() for r in docs.collect()}
+    train = [ts for (_, held), ts in tokens.items() if not held]
+    count = Counter(t for ts in train for t in ts)
+    words = list(count)
+    hashed = dict(zip(words, np.concatenate([b.hash for b in class_lm.blocks(pa.array([w.decode() for w in words]),
+                                                                              lower=True)]).tolist()))
+    listed = dict(zip(model.hashes.tolist(), model.classes.tolist()))
+    joined = {r.h % (1 << 64): r.cls for r in rest.collect()}
+    assert set(listed).isdisjoint(joined) and len(listed) + len(joined) == len(words)
+    # as the word itself, and as the word before
+    kind = {w: (listed[h] if h in listed else joined[h] or class_lm.OPEN) for w, h in hashed.items()}
+    before = {w: listed.get(h, class_lm.OPEN) for w, h in hashed.items()}
+    assert all((kind[w] != class_lm.OPEN) == (count[w] >= class_lm.MIN_COUNT) for w in words)
+    k = len(model.transition)
+    table, in_class = np.zeros((k, k)), Counter()
+    for ts in train:
+        last = class_lm.END
+        for t in ts:
+            table[last, kind[t]] += 1
+            in_class[kind[t]] += 1
+            last = before[t]
+        table[last, class_lm.END] += 1
+    share = (table.sum(axis=0) + 1) / (table.sum() + k)
+    p = np.log10((table + class_lm.PRIOR * share) / (table.sum(axis=1, keepdims=True) + class_lm.PRIOR))
+    open_words = sum(kind[w] == class_lm.OPEN for w in words)
+    for (d, _), ts in tokens.items():
+        want, last = 0.0, class_lm.END
+        for t in ts:
+            c = kind.get(t, class_lm.OPEN)
+            want += p[last, c] + (math.log10(count[t] / in_class[c]) if c != class_lm.OPEN else
+                                  math.log10((count[t] + 0.5) / (in_class[c] + 0.5 * (open_words + 1))))
+            last = before.get(t, class_lm.OPEN)
+        want += p[last, class_lm.END]
+        assert got[d] == pytest.approx(want, abs=1e-6)
+
+
+def test_best_classes_is_the_largest_gain_in_likelihood(monkeypatch):
+    """Against the likelihood of the changed table, for words whose neighbour is always the end (no crossing)."""
+    rng = np.random.default_rng(2)
+    k, words = 6, 9
+    table = rng.integers(30, 90, (k, k)).astype(float)
+    monkeypatch.setattr(class_lm, "GAIN_CELLS", 30)  # several slices
+    cls, offset, key, n, want = [], [0], [], [], []
+    for _ in range(words):
+        own, near = int(rng.integers(2, k)), class_lm.END
+        ins, outs = int(rng.integers(1, 25)), int(rng.integers(1, 25))
+        gains = {}
+        for b in range(2, k):
+            t = table.copy()
+            for c, sign in ((own, -1), (b, 1)):
+                t[near, c] += sign * ins
+                t[c, near] += sign * outs
+            gains[b] = class_lm.likelihood(t)
+        want.append(max(gains, key=gains.get))
+        cls.append(own)
+        key += [near, k + near]
+        n += [ins, outs]
+        offset.append(len(key))
+    got = class_lm.best_classes(table, np.array(cls), np.array(offset), np.array(key), np.array(n))
+    assert got.tolist() == want
+
+
 def test_class_model_is_a_distribution(spark, docs_of):
     docs = docs_of([(i, "the cat sat on the mat the dog sat") for i in range(5)] + [(9, None)])
     model, rest = class_lm.fit(docs.select(text_or_empty().alias("text")))
