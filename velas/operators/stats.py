@@ -1,16 +1,19 @@
 """Correlations, return distribution and the cross-symbol close matrix
 (A13-A17, J1).
 
-The symbol universe is a small dimension; cross-symbol matrices keep one
-column per symbol (a pivot with an explicit value list) so correlations are
-column aggregates, never row pairs.  Date-ordered steps over the matrix use
-month buckets plus a small carry table, so no single task holds all dates.
+The list of symbols is a small dimension, but no plan has a column or an
+expression per symbol: the close matrix stays in long rows, and correlations
+across symbols come from tiles of symbols x symbols over chunks of dates.
+Date-ordered steps use month buckets plus a small carry table, so no single
+task holds all dates.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +24,8 @@ CORR_COLUMNS = ("close", "volume", "rsi", "macd", "atr", "volatility", "obv", "r
 HIST_BINS = 100
 DENSITY_GRID = 200
 DENSITY_CUT = 3.0
+CORR_TILE = 128  # symbols in a tile of a correlation matrix
+CORR_DAYS = 128  # days in a chunk of dates
 
 
 def _long_pairs(wide: DataFrame, keys: list[str], names: list[str], prefix: str) -> DataFrame:
@@ -45,63 +50,111 @@ def symbol_list(bars: DataFrame) -> list[str]:
     return sorted(r[0] for r in bars.select("symbol").distinct().collect())
 
 
-def close_matrix_wide(bars: DataFrame, symbols: list[str]) -> DataFrame:
-    """One row per date of the first symbol, one close column per symbol
-    (``s0..sk``, NULL where that symbol has no bar): a left join on the
-    first symbol's dates, as the reference's column assignment does."""
-    first = symbols[0]
-    dates = bars.where(F.col("symbol") == first).select("date")
-    piv = (bars.where(F.col("symbol").isin(symbols))
-           .groupBy("date").pivot("symbol", symbols).agg(F.first("close")))
-    piv = piv.select("date", *[F.col(f"`{s}`").alias(f"s{i}") for i, s in enumerate(symbols)])
-    return dates.join(piv, "date", "left")
-
-
 def close_matrix(bars: DataFrame, symbols: list[str]) -> DataFrame:
-    """Long form (date, symbol, close) of ``close_matrix_wide``."""
-    wide = close_matrix_wide(bars, symbols)
-    entries = [F.struct(F.lit(s).alias("symbol"), F.col(f"s{i}").alias("close"))
-               for i, s in enumerate(symbols)]
-    return wide.select("date", F.explode(F.array(*entries)).alias("_e")).select("date", "_e.*")
+    """(date, symbol, close) for every date of the first symbol and every
+    symbol, NULL where that symbol has no bar: a left join on the first
+    symbol's dates, as the reference's column assignment does.  Rows stay
+    long, so the plan has the same size for any number of symbols."""
+    dates = bars.where(F.col("symbol") == symbols[0]).select("date")
+    cells = dates.select("date", F.explode(F.lit(symbols)).alias("symbol"))
+    closes = bars.groupBy("date", "symbol").agg(F.first("close").alias("close"))
+    return cells.join(closes, ["date", "symbol"], "left")
+
+
+def _pair_sums(values: DataFrame, size: int, tile: int) -> DataFrame:
+    """(i, j, n, sx, sy, sxx, syy, sxy) over the dates on which both series
+    i <= j have a value, from long rows (date, i, v).
+
+    Series are cut into tiles and dates into chunks of ``CORR_DAYS`` days; each row goes to
+    all tile pairs of its tile, and a task holds two tiles of one chunk."""
+    n_tiles = -(-size // tile)
+    own = F.floor(F.col("i") / tile).cast("int")
+    rows = values.where("v is not null").select(
+        F.floor(F.unix_date(F.to_date("date")) / CORR_DAYS).alias("chunk"), "date", "i", "v",
+        own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(n_tiles - 1))).alias("other"))
+    rows = rows.select("chunk", F.least("own", "other").alias("ti"), F.greatest("own", "other").alias("tj"),
+                       "date", "i", "v")
+
+    def sums(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        _, ti, tj = key
+        day = np.unique(pdf["date"].to_numpy(), return_inverse=True)[1]
+        i, v = pdf["i"].to_numpy(), pdf["v"].to_numpy()
+
+        def block(t: int) -> tuple[np.ndarray, np.ndarray]:
+            width = min(tile, size - t * tile)
+            x, m = np.zeros((day.max() + 1, width)), np.zeros((day.max() + 1, width))
+            mine = i // tile == t
+            x[day[mine], i[mine] - t * tile] = v[mine]
+            m[day[mine], i[mine] - t * tile] = 1.0
+            return x, m
+
+        (x, mx), (y, my) = block(ti), block(tj)
+        out = {"n": mx.T @ my, "sx": x.T @ my, "sy": mx.T @ y, "sxx": (x * x).T @ my, "syy": mx.T @ (y * y),
+               "sxy": x.T @ y}
+        a, b = np.nonzero(out["n"])
+        keep = a + ti * tile <= b + tj * tile
+        a, b = a[keep], b[keep]
+        return pd.DataFrame({"i": a + ti * tile, "j": b + tj * tile, **{k: m[a, b] for k, m in out.items()}})
+
+    names = ("n", "sx", "sy", "sxx", "syy", "sxy")
+    parts = rows.groupBy("chunk", "ti", "tj").applyInPandas(
+        sums, "i int, j int, " + ", ".join(f"{c} double" for c in names))
+    return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in names])
+
+
+def pairwise_corr(values: DataFrame, symbols: list[str], tile: int = CORR_TILE) -> DataFrame:
+    """(a, b, corr) for all ordered pairs of symbols from long rows (date,
+    symbol, v), one per date and symbol: Pearson over the dates that both have,
+    NULL with fewer than two or without variance.
+
+    Sums are taken of each series' distance from its smallest value, which
+    leaves the correlation as it is and a flat series exactly zero."""
+    spark, size = values.sparkSession, len(symbols)
+    index = F.broadcast(spark.createDataFrame([(i, s) for i, s in enumerate(symbols)], "i int, symbol string"))
+    low = values.groupBy("symbol").agg(F.min("v").alias("low"))
+    moved = values.join(low, "symbol").join(index, "symbol").select("date", "i", (F.col("v") - F.col("low")).alias("v"))
+    sums = _pair_sums(moved, size, tile)
+    vx = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
+    vy = F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")
+    cov = F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")
+    root = F.sqrt(F.greatest(vx, F.lit(0.0))) * F.sqrt(F.greatest(vy, F.lit(0.0)))
+    corr = sums.select("i", "j", F.when(F.col("n") >= 2, F.try_divide(cov, root)).alias("corr"))
+    grid = spark.range(size * size).select((F.col("id") / size).cast("int").alias("p"),
+                                           (F.col("id") % size).cast("int").alias("q"))
+    grid = grid.select("p", "q", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"))
+    named = F.lit(symbols)
+    return grid.join(corr, ["i", "j"], "left").select(
+        F.get(named, F.col("p")).alias("a"), F.get(named, F.col("q")).alias("b"), "corr")
 
 
 def price_corr(bars: DataFrame, symbols: list[str]) -> DataFrame:
-    wide = close_matrix_wide(bars, symbols)
-    n = len(symbols)
-    aggs = [F.corr(f"s{i}", f"s{j}").alias(f"c{i}_{j}") for i in range(n) for j in range(n) if i <= j]
-    return _long_pairs(wide.agg(*aggs), [], symbols, "c")
-
-
-def padded_returns(wide: DataFrame, cols: list[str]) -> DataFrame:
-    """Percent change of each column after forward fill, along date order.
-
-    Two levels: fill and lag inside month buckets, and a small per-bucket
-    table carrying each column's last value into the next bucket."""
-    df = wide.withColumn("_tb", F.date_trunc("month", F.col("date")))
-    w = Window.partitionBy("_tb").orderBy("date")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumns({f"_f{c}": F.last(c, ignorenulls=True).over(run) for c in cols})
-    df = df.withColumns({f"_p{c}": F.lag(f"_f{c}").over(w) for c in cols})
-    summary = df.groupBy("_tb").agg(*[F.max_by(f"_f{c}", "date").alias(f"_l{c}") for c in cols])
-    wprev = Window.orderBy("_tb").rowsBetween(Window.unboundedPreceding, -1)
-    carry = summary.select("_tb", *[F.last(f"_l{c}", ignorenulls=True).over(wprev).alias(f"_c{c}")
-                                    for c in cols])
-    df = df.join(carry, "_tb")
-    out = {}
-    for c in cols:
-        cur = F.coalesce(F.col(f"_f{c}"), F.col(f"_c{c}"))
-        prev = F.coalesce(F.col(f"_p{c}"), F.col(f"_c{c}"))
-        out[c] = F.try_divide(cur, prev) - F.lit(1.0)
-    return df.select("date", *[v.alias(k) for k, v in out.items()])
+    """Pairwise-complete correlation of closes on the first symbol's dates."""
+    return pairwise_corr(close_matrix(bars, symbols).withColumnRenamed("close", "v"), symbols)
+
+
+def padded_returns(matrix: DataFrame) -> DataFrame:
+    """(date, symbol, v): percent change after forward fill along each symbol's
+    dates, from the long close matrix.
+
+    Two levels: fill and lag inside (symbol, month) buckets, and a per-bucket
+    table carrying each symbol's last value into its next bucket."""
+    df = matrix.withColumn("_tb", F.date_trunc("month", F.col("date")))
+    w = Window.partitionBy("symbol", "_tb").orderBy("date")
+    df = df.withColumn("_f", F.last("close", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    df = df.withColumn("_p", F.lag("_f").over(w))
+    last = df.groupBy("symbol", "_tb").agg(F.max_by("_f", "date").alias("_l"))
+    earlier = Window.partitionBy("symbol").orderBy("_tb").rowsBetween(Window.unboundedPreceding, -1)
+    carry = last.select("symbol", "_tb", F.last("_l", ignorenulls=True).over(earlier).alias("_c"))
+    df = df.join(carry, ["symbol", "_tb"])
+    return df.select("date", "symbol",
+                     (F.try_divide(F.coalesce("_f", "_c"), F.coalesce("_p", "_c")) - F.lit(1.0)).alias("v"))
 
 
 def return_corr(bars: DataFrame, symbols: list[str]) -> DataFrame:
     """Correlation of padded percent changes after dropping any incomplete date."""
-    cols = [f"s{i}" for i in range(len(symbols))]
-    rets = padded_returns(close_matrix_wide(bars, symbols), cols).dropna(subset=cols)
-    n = len(cols)
-    aggs = [F.corr(f"s{i}", f"s{j}").alias(f"c{i}_{j}") for i in range(n) for j in range(n) if i <= j]
-    return _long_pairs(rets.agg(*aggs), [], symbols, "c")
+    rets = padded_returns(close_matrix(bars, symbols))
+    whole = rets.groupBy("date").agg(F.count("v").alias("n")).where(F.col("n") == len(symbols)).select("date")
+    return pairwise_corr(rets.join(whole, "date", "left_semi"), symbols)
 
 
 def return_histogram(feat: DataFrame, bins: int = HIST_BINS) -> DataFrame:
