@@ -184,8 +184,7 @@ def return_density(feat: DataFrame, grid: int = DENSITY_GRID, cut: float = DENSI
 
     Bandwidth by Scott's rule (n^(-1/5) times the sample standard
     deviation); the grid spans [min - cut*bw, max + cut*bw].  Every return
-    adds its kernel to all grid points: the expansion is grid-sized per row
-    and pre-aggregated per task before the shuffle on (symbol, point)."""
+    adds its kernel to the sums of all grid points."""
     r = feat.where(F.col("daily_return").isNotNull()).select("symbol", "daily_return")
     st = r.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("n"), F.stddev_samp("daily_return").alias("sd"),
@@ -194,15 +193,22 @@ def return_density(feat: DataFrame, grid: int = DENSITY_GRID, cut: float = DENSI
     st = st.withColumns({"g0": F.col("lo") - F.lit(cut) * F.col("bw"),
                          "step": (F.col("hi") - F.col("lo") + F.lit(2 * cut) * F.col("bw"))
                          / F.lit(float(grid - 1))})
-    pts = r.join(st, "symbol").select(
-        "symbol", "daily_return", "n", "bw", "g0", "step",
-        F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point"))
-    x = F.col("g0") + F.col("point") * F.col("step")
-    u = F.try_divide(x - F.col("daily_return"), F.col("bw"))  # no bandwidth (flat series): NULL density
-    dens = pts.groupBy("symbol", "point").agg(
-        F.sum(F.exp(F.lit(-0.5) * u * u)).alias("_s"),
-        F.first("n").alias("n"), F.first("bw").alias("bw"),
-        F.first("g0").alias("g0"), F.first("step").alias("step"))
+    near = r.join(st, "symbol").select("symbol", "daily_return", "g0", "step", "bw")
+
+    def kernel_sums(batches):
+        """One row of grid sums per symbol and batch, so no return is copied per grid point."""
+        for pdf in batches:
+            for symbol, one in pdf.groupby("symbol", sort=False):
+                g0, step, bw = (float(one[c].iloc[0]) for c in ("g0", "step", "bw"))
+                if bw > 0:  # no bandwidth (flat series): NULL density
+                    u = (g0 + step * np.arange(grid)[None, :] - one["daily_return"].to_numpy()[:, None]) / bw
+                    yield pd.DataFrame({"symbol": [symbol], "sums": [np.exp(-0.5 * u * u).sum(axis=0)]})
+
+    sums = (near.mapInPandas(kernel_sums, "symbol string, sums array<double>")
+            .select("symbol", F.posexplode("sums").alias("point", "_v"))
+            .groupBy("symbol", "point").agg(F.sum("_v").alias("_s")))
+    points = st.select("symbol", "n", "bw", "g0", "step", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point"))
+    dens = points.join(sums, ["symbol", "point"], "left")
     norm = F.col("n") * F.col("bw") * F.lit(math.sqrt(2 * math.pi))
     return dens.select("symbol", F.col("point").cast("int").alias("point"),
                        (F.col("g0") + F.col("point") * F.col("step")).alias("x"),

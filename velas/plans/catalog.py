@@ -58,9 +58,8 @@ def q_build_bars_events(spark, sf):
 
 def q_coerce_numeric(spark, sf):
     ev = bsrc.read_table(spark, sf, "events")
-    return ev.select("event_id",
-                     F.expr("try_cast(cast(value as string) as double)").alias("value"),
-                     F.expr("try_cast(props as double)").alias("props_value"))
+    text = ev.select("event_id", F.col("value").cast("string").alias("value"), F.col("props").alias("props_value"))
+    return fplan.coerce_numeric(text, ("value", "props_value"))
 
 
 def q_ffill(spark, sf):

@@ -21,13 +21,13 @@ from velas.sources.bars import BAR_COLS
 OUTPUT = ("symbol", "date", "rn") + FEATURES + ("daily_return",) + TARGETS
 
 
-def coerce_numeric(bars: DataFrame) -> DataFrame:
-    """The five bar columns as double; unparsable text becomes NULL, NaN too."""
+def coerce_numeric(rows: DataFrame, columns: tuple[str, ...] = BAR_COLS) -> DataFrame:
+    """The columns (the five of a bar) as double; unparsable text becomes NULL, NaN too."""
     out = {}
-    for c in BAR_COLS:
+    for c in columns:
         v = F.expr(f"try_cast(`{c}` as double)")
         out[c] = F.when(~F.isnan(v), v)
-    return bars.withColumns(out)
+    return rows.withColumns(out)
 
 
 def output_columns(variant: str) -> list[str]:

@@ -263,10 +263,8 @@ def q_chart_indicators(spark, sf):
 
 
 def q_union_symbols(spark, sf):
-    """Per-symbol sources combined into one bar table."""
-    bars = C._bars_once(spark, sf)
-    frames = [bars.where(F.col("symbol") == s) for s in C.stats.symbol_list(bars)]
-    return round_report(bsrc.union_symbols(frames))
+    """The series of all symbols as one bar table, from one scan."""
+    return round_report(bsrc.union_symbols([C._bars(spark, sf)]))
 
 
 def _backtest_window(feat, prepared):
