@@ -81,3 +81,45 @@ def test_best_model_ties_go_to_declared_order(spark):
                                    ("price", "B", 1)], "target string, model string, model_ordinal int")
     best = {r.target: r.best_model for r in metrics.best_model(m, order).collect()}
     assert best == {"direction": "B", "price": "B"}
+
+
+def test_neighbours_reject_most_rows_and_keep_ties(spark):
+    """Rows near a plane in eight dimensions: the distances taken for a test row
+    grow far slower than the training rows; equal rows go to the earlier one."""
+    rng = np.random.default_rng(5)
+    plane = rng.normal(0, 1, (2, 8))
+    taken = {}
+    for n in (1500, 6000):
+        xs = rng.normal(0, 1, (n + 100, 2)) @ plane + rng.normal(0, 0.01, (n + 100, 8))
+        xs[n // 2: n // 2 + 10] = xs[0]  # ties
+        xs[n] = xs[0]
+        rows = [("A", i, i < n, float(i), *map(float, x)) for i, x in enumerate(xs)]
+        df = spark.createDataFrame(rows, "symbol string, rn long, is_train boolean, label double, "
+                                   + ", ".join(f"f{j} double" for j in range(8)))
+        found = knn.neighbours(df, [f"f{j}" for j in range(8)]).collect()
+        assert len(found) == 500
+        got = {}
+        for r in found:
+            got.setdefault(r.rn, []).append((r.nn_rank, r.t_rn))
+        for q, near in got.items():
+            dist = np.sqrt(((xs[:n] - xs[q]) ** 2).sum(axis=1))
+            assert [t for _, t in sorted(near)] == np.lexsort((np.arange(n), dist))[:5].tolist()
+        taken[n] = np.mean([r.n_compared for r in found])
+    assert taken[1500] < 1500 / 5 and taken[6000] < 2 * taken[1500]
+
+
+def test_few_training_rows_give_all_of_them(spark):
+    df = spark.createDataFrame([("A", i, i < 3, float(i), float(i), 1.0) for i in range(5)],
+                               "symbol string, rn long, is_train boolean, label double, a double, b double")
+    found = knn.neighbours(df, ["a", "b"]).collect()
+    assert sorted((r.rn, r.t_rn) for r in found) == [(q, t) for q in (3, 4) for t in range(3)]
+
+
+def test_cells_out_of_reach_give_no_rows():
+    import pandas as pd
+    pair = {"symbol": "A", "slab": 1, "part": 0, "rn": [7], "x": [0.0, 0.0], "g": [0.0] * 10, "labels": [1.0], "radius": [0.5],
+            "low": [9.0] * 10, "high": [9.0] * 10, "t_rn": [1], "t_x": [9.0, 9.0], "t_g": [9.0] * 10, "t_label": [2.0]}
+    measure = knn._measure_pairs(1, 2, 1, knn._Block.found)
+    assert list(measure(iter([pd.DataFrame([pair])]))) == []
+    near = [f for f in measure(iter([pd.DataFrame([{**pair, "radius": [99.0]}])]))]
+    assert len(near) == 1 and near[0]["dist"].tolist() == [np.sqrt(162.0)]
