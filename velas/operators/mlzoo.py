@@ -11,8 +11,9 @@
   symbols are submitted concurrently from a small thread pool.
 * Kernel SVM: re-aimed as random Fourier features (Rahimi & Recht, 2007) of
   the RBF kernel, computed by an Arrow-batched pandas UDF, followed by the
-  grouped ridge (SVR) or L2 logistic regression (SVC, with probabilities) -
-  an approximation by design, fitted for all symbols at once.
+  grouped ridge (SVR) or the margin classifier with calibrated probabilities
+  (SVC, ``velas.operators.margins``) - an approximation by design, fitted for
+  all symbols at once.
 
 Prepared rows: symbol, rn, idx, is_train, label, scaled feature columns.
 Prediction rows: symbol, rn, y, p (+ prob_up for classifiers).
@@ -33,7 +34,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velas.operators import knn, linear, trees
+from velas.operators import knn, linear, margins, trees
 from velas.session import scratch_path
 
 SEED = 42
@@ -116,14 +117,12 @@ def fit_predict(prepared: DataFrame, name: str, features, classify: bool) -> Dat
             "symbol", "rn", F.col("label").cast("double").alias("y"), "p")
     if name in ("SVR", "SVC"):
         # kernel machines re-aimed: random Fourier features of the RBF kernel,
-        # then ridge regression / L2 logistic regression, grouped by symbol
+        # then ridge regression / the squared-hinge margin classifier, grouped by symbol
         z = add_rff(prepared.select("symbol", "rn", "idx", "is_train", "label", *features), features)
         zf = ("z", RFF_DIM)
         test = z.where(~F.col("is_train")).select("symbol", "rn", "label", "z")
         if classify:
-            coefs = linear.fit_logistic(z, zf)
-            return linear.predict_logistic(test, coefs, zf).select(
-                "symbol", "rn", F.col("label").cast("double").alias("y"), "p", "prob_up")
+            return margins.predict(z, zf).drop("margin")
         coefs = linear.fit_linear(z, zf, models=("Ridge Regression",))
         return linear.predict_linear(test, coefs, zf).select(
             "symbol", "rn", F.col("label").cast("double").alias("y"), "p")

@@ -556,6 +556,8 @@ def oracle_queries_extra() -> dict[str, str]:
     q["fit_optimality"] = (f"{_w()}, {split_cte()} SELECT symbol, model, CAST(count(*) AS BIGINT) AS n, "
                            f"CAST(0 AS BIGINT) AS n_violated FROM sp, (VALUES {models}) AS f(model) "
                            "WHERE is_train GROUP BY symbol, model")
+    q["margin_optimality"] = (f"{_w()}, {split_cte()} SELECT symbol, CAST(count(*) AS BIGINT) AS n, "
+                              "CAST(0 AS BIGINT) AS n_violated FROM sp WHERE is_train GROUP BY symbol")
     regress = ("Linear Regression", "Ridge Regression", "Lasso Regression", "ElasticNet", "Random Forest",
                "Gradient Boosting", "SVR", "KNN", "XGBoost")
     classify = ("Logistic Regression", "Random Forest", "Gradient Boosting", "SVC", "KNN", "MLP", "XGBoost")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from velas.functions.rounding import F32, round_report
-from velas.operators import artifacts, knn, ledger, linear, metrics, mlzoo, predict, prep
+from velas.operators import artifacts, knn, ledger, linear, margins, metrics, mlzoo, predict, prep
 from velas.operators.indicators import FEATURES
 from velas.plans import catalog as C
 from velas.session import materialize, scratch_path
@@ -90,7 +90,7 @@ def code_version() -> str:
     """Hash of the modules that the candidates' predictions depend on: another
     version of one starts another ledger."""
     parts = [pkgutil.get_data("velas.operators", f"{m}.py") for m in (
-        "indicators", "targets", "prep", "linear", "knn", "trees", "mlzoo")]
+        "indicators", "targets", "prep", "linear", "knn", "margins", "trees", "mlzoo")]
     parts += [pkgutil.get_data("velas.plans", f"{m}.py") for m in ("features", "layout")]
     parts += [pkgutil.get_data("velas.functions", f"{m}.py") for m in ("ema", "windows")]
     return hashlib.sha256(b"\0".join(p or b"" for p in parts)).hexdigest()[:16]
@@ -235,6 +235,13 @@ def q_fit_optimality(spark, sf):
         linear.optimality(direction, logistic, FEATS))
 
 
+def q_margin_optimality(spark, sf):
+    """Optimality conditions of the margin classifier (direction) on the scaled
+    features, recomputed from all training rows."""
+    prepared = materialize(prep.prepare(materialize(C._feat(spark, sf)), "next_direction"))
+    return margins.optimality(prepared, materialize(margins.fit_whole(prepared, FEATS)), FEATS)
+
+
 def q_bakeoff_coverage(spark, sf):
     """Hold-out rows and finite predictions of every candidate in the ledger."""
     pred, _ = ledger_predictions(spark, sf)
@@ -324,6 +331,7 @@ MODEL_QUERIES = {
     "rff_svc": _model_query("SVC", "direction"),
     "mlp_classify": _model_query("MLP", "direction"),
     "fit_optimality": q_fit_optimality,
+    "margin_optimality": q_margin_optimality,
     "model_bakeoff": q_model_bakeoff,
     "bakeoff_coverage": q_bakeoff_coverage,
     "bakeoff_price": q_bakeoff_price,
