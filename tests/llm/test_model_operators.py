@@ -227,6 +227,27 @@ def test_class_model_score_equals_plain_python(spark, known, monkeypatch):
         assert got[d] == pytest.approx(want, abs=1e-6)
 
 
+def test_class_model_does_not_depend_on_the_list(spark, monkeypatch):
+    """All words in the list, some, and none: the same scores."""
+    docs = (read_table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", text_or_empty().alias("text"))
+            .withColumn("held_out", fold(F.col("doc_id"), 5) == 1))
+    got = []
+    for known in (1 << 19, 60, 0):
+        monkeypatch.setattr(class_lm.commonest, "__defaults__", (known,))
+        monkeypatch.setattr(class_lm, "MERGE_ROWS", 1 << 14 if known else 50)  # words whose rows come in several batches
+        monkeypatch.setattr(class_lm, "FLUSH", 3_000_000 if known else 3000)
+        monkeypatch.setattr(class_lm, "TOKENS", 1 << 18 if known else 500)
+        model, rest = class_lm.fit(docs.where("not held_out").select("text"))
+        assert (model.beyond.count() > 0) == (known < 100)
+        got.append({r.doc_id: r for r in class_lm.score(docs, model, rest).collect()})
+    for other in got[1:]:
+        assert other.keys() == got[0].keys()
+        for d, r in got[0].items():
+            assert other[d].n_known == r.n_known
+            assert other[d].base_score == pytest.approx(r.base_score, abs=1e-6)
+            assert other[d].score == pytest.approx(r.score, abs=1e-6)
+
+
 def test_best_classes_is_the_largest_gain_in_likelihood(monkeypatch):
     """Against the likelihood of the changed table, for words whose neighbour is always the end (no crossing)."""
     rng = np.random.default_rng(2)

@@ -25,13 +25,17 @@ sweep that lowers it is undone, and sweeps end when they raise it by less than
 What is gathered from the corpus covers all training rows and grows with
 them: counts of all words, and the classes around every word to be classed.
 
-Scale: the model that tasks receive is bounded: the words with the highest
-counts, at most ``KNOWN_WORDS``, and the class table.  A word outside that
-list counts as open where it is the word before, for fitting and scoring
-alike; as the word to be predicted it has its class and count: scoring leaves
-its hash in the row, and a join with the table of all words, which never leaves
-the cluster, gives both.  Words are told apart by 64-bit hashes.  Each pass
-over the texts is map-only.
+Scale: the arrays that tasks receive are bounded: the words with the highest
+counts, at most ``KNOWN_WORDS``, and the class table.  What lies beyond that
+list reaches the same classes by joins, so the list decides where a word is
+looked up and never what comes out.  In fitting, the neighbours of the classed
+words beyond it are gathered once as a table; every sweep joins it with the
+classes and corrects the counts of the pass over the texts, which takes these
+words for open.  In scoring, the hashes beyond it stay in the row, and a join
+with the table of all words, which never leaves the cluster, gives their counts
+and classes, as the word itself and as the word before.  Words are told apart
+by 64-bit hashes.  Texts are cut into words once for fitting; sweeps read the
+words' numbers in the list (three bytes a word).
 
 Defined cases: null and empty texts consist of the end token; null ids belong
 to the training rows (crc32 of '' is 0); without training rows every token is
@@ -43,6 +47,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +65,8 @@ PRIOR = 8.0
 OPEN, END = 0, 1               # the two fixed classes
 END_HASH, OPEN_HASH = -1, -2   # keys of the end token and of all open words together
 FLUSH = 3_000_000
+TOKENS = 1 << 18               # words of coded texts that a task takes at a time
+MERGE_ROWS = 1 << 13           # context rows that a task merges at a time
 GAIN_CELLS = 1 << 21           # cells of a gain matrix that a task holds at a time
 
 
@@ -124,7 +131,7 @@ def bigrams(texts: DataFrame, class_words: np.ndarray) -> np.ndarray:
         total = np.zeros(size * size, dtype=np.int64)
         for b in batches:
             for block in blocks(b.column("text"), lower=True):
-                before, after, _ = _neighbours(block, _lookup(known, block.hash, OPEN, 2))
+                before, after, _ = _neighbours(block.offset, _lookup(known, block.hash, OPEN, 2))
                 total += np.bincount(before * size + after, minlength=size * size)
         key = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(total[key])], ["k", "n"])
@@ -143,12 +150,14 @@ def _lookup(sorted_hashes: np.ndarray, h: np.ndarray, missing: int, first: int)
     return np.where(sorted_hashes[at] == h, at + first, missing)
 
 
-def _neighbours(block, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(id before, id, document) of every token of a block, ends included."""
-    n_words = np.diff(block.offset)
-    doc = np.repeat(np.arange(block.n_docs), n_words + 1)
-    after = np.full(len(ids) + block.n_docs, END, dtype=np.int64)
-    word_at = np.arange(len(ids)) + np.repeat(np.arange(block.n_docs), n_words)
+def _neighbours(offset: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id before, id, document) of every token, ends included; document k has
+    the words offset[k] .. offset[k + 1] - 1."""
+    n_words = np.diff(offset)
+    n_docs = len(n_words)
+    doc = np.repeat(np.arange(n_docs), n_words + 1)
+    after = np.full(len(ids) + n_docs, END, dtype=ids.dtype)
+    word_at = np.arange(len(ids)) + np.repeat(np.arange(n_docs), n_words)
     after[word_at] = ids
     before = np.empty_like(after)
     before[0:1] = END
@@ -156,6 +165,93 @@ def _neighbours(block, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     return before, after, doc
 
 
+CODES = "low binary, high binary, far binary"
+
+
+def encode(texts: DataFrame, listed: Listed) -> DataFrame:
+    """(low, high, far): per text the words' numbers, 0 beyond the list and
+    rank + 2 in it, as 16 low and 8 high bits, and the hashes of those beyond."""
+    shared = texts.sparkSession.sparkContext.broadcast(listed)
+
+    def column(data: np.ndarray, offset: np.ndarray) -> pa.Array:
+        at = (offset * data.itemsize).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(offset) - 1, [None, pa.py_buffer(at.tobytes()),
+                                                                    pa.py_buffer(data.tobytes())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for b in batches:
+            for block in blocks(b.column("text"), lower=True):
+                ids = known.ids(block.hash)
+                far = ids == 0
+                yield pa.RecordBatch.from_arrays(
+                    [column(ids.astype(np.uint16), block.offset), column((ids >> 16).astype(np.uint8), block.offset),
+                     column(block.hash[far], np.concatenate([[0], np.cumsum(far)])[block.offset])],
+                    ["low", "high", "far"])
+
+    return texts.mapInArrow(run, CODES)
+
+
+def _binary(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """(values, offset) of a binary column that holds arrays of ``kind``."""
+    size = np.dtype(kind).itemsize
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, dtype=np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    raw = np.frombuffer(data, dtype=np.uint8)[at[0]:at[-1]] if data is not None else np.zeros(0, dtype=np.uint8)
+    return np.frombuffer(raw.tobytes(), dtype=kind), (at - at[0]) // size
+
+
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(numbers, offset, hashes beyond the list) of texts from ``encode``, of about
+    ``TOKENS`` words at a time; one longer text comes alone."""
+    for b in batches:
+        low, offset = _binary(b.column("low"), np.uint16)
+        high, _ = _binary(b.column("high"), np.uint8)
+        far, far_offset = _binary(b.column("far"), np.int64)
+        lo = 0
+        while lo < b.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(offset, offset[lo] + TOKENS, side="right")) - 1)
+            part = slice(offset[lo], offset[hi])
+            yield (low[part].astype(np.int32) | (high[part].astype(np.int32) << 16), offset[lo:hi + 1] - offset[lo],
+                   far[far_offset[lo]:far_offset[hi]])
+            lo = hi
+
+
+def beyond_neighbours(codes: DataFrame, words: DataFrame, listed: Listed) -> DataFrame:
+    """(h, first, other, far, n): how often the word ``h`` of ``words``, beyond the
+    list, stands before (``first``) or after the word ``other``, itself beyond
+    the list if ``far``; END_HASH is the end of a text."""
+    shared = codes.sparkSession.sparkContext.broadcast(listed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = np.concatenate([[0, 0], shared.value.by_rank.view(np.int64)])
+        hashes[END] = END_HASH
+        for ids, offset, far in _decoded(batches):
+            before, after, _ = _neighbours(offset, ids)
+            word = hashes[after]
+            word[after == 0] = far
+            prev = np.concatenate([[END_HASH], word[:-1]])
+            own, first = np.flatnonzero(after == 0), np.flatnonzero(before == 0)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([word[own], prev[first]])),
+                 pa.array(np.repeat([False, True], [len(own), len(first)])),
+                 pa.array(np.concatenate([prev[own], word[first]])),
+                 pa.array(np.concatenate([before[own] == 0, after[first] == 0]))], ["h", "first", "other", "far"])
+
+    rows = codes.where(F.length("far") > 0).mapInArrow(run, "h long, first boolean, other long, far boolean")
+    return (rows.join(words.select("h"), "h", "left_semi")
+            .groupBy("h", "first", "other", "far").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _with_classes(near: DataFrame, classes: DataFrame) -> DataFrame:
+    """``beyond_neighbours`` with the classes of both words, and whether the
+    other is one to be classed (in no class as yet it counts as open)."""
+    own, other = classes.select("h", "cls"), classes.select(F.col("h").alias("other"), F.col("cls").alias("_o"))
+    kind = F.when(F.col("other") == END_HASH, END).otherwise(F.coalesce("_o", F.lit(OPEN)))
+    return near.join(own, "h").join(other, "other", "left").select(
+        "*", kind.alias("to"), F.col("_o").isNotNull().alias("classed")).drop("_o")
+
+
 def _g(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0.5, x * np.log(np.maximum(x, 1.0)), 0.0)
 
@@ -214,67 +310,91 @@ def exchange(pairs: np.ndarray, n_classes: int, sweeps: int = 12) -> np.ndarray:
     return of[2:]
 
 
-def contexts(texts: DataFrame, hashes: np.ndarray, classes: np.ndarray, k: int, beyond: bool) -> DataFrame:
-    """(h, key, n): how often a word to be classed follows class ``key`` (key < k)
-    or precedes class ``key - k``.  ``hashes``/``classes``: the listed words, -1
-    for those that stay open.  All open words count as OPEN_HASH, the end as
-    END_HASH, both with the class before only; words beyond the list likewise
-    under their own hash if ``beyond``, else as open."""
-    shared = texts.sparkSession.sparkContext.broadcast((hashes, classes))
+def contexts(codes: DataFrame, listed: Listed, classes: np.ndarray, k: int) -> DataFrame:
+    """(h, key, n), arrays: how often a listed word to be classed follows class
+    ``key`` (key < k) or precedes class ``key - k``, in several rows per word.
+    ``classes``: of the listed words by rank, -1 for those that stay open.
+    Words beyond the list count as open."""
+    shared = codes.sparkSession.sparkContext.broadcast((listed.by_rank, classes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, of = shared.value
-        n_known = len(known)
-        # index 0: unused, 1: end, i + 2: listed word i, last: a word beyond the list
-        kind = np.concatenate([[OPEN, END], np.maximum(of, OPEN), [OPEN]]).astype(np.int64)
-        classed = np.concatenate([[False, False], of >= 0, [False]])
-        fixed = np.zeros((2, k), dtype=np.int64)  # open and end by class before
+        hashes, of = shared.value
+        kind = np.concatenate([[OPEN, END], np.maximum(of, OPEN)]).astype(np.int32)
+        classed = np.concatenate([[False, False], of >= 0])
+        number = np.int32 if len(kind) * 2 * k < 1 << 31 else np.int64
         waiting: list[np.ndarray] = []
         n = 0
 
-        def batch(h: np.ndarray, key: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(key.astype(np.int32)), pa.array(c)],
-                                              ["h", "key", "n"])
-
         def flush() -> pa.RecordBatch:
             event, c = np.unique(np.concatenate(waiting), return_counts=True)
-            return batch(known[event // (2 * k) - 2].view(np.int64), event % (2 * k), c)
-
-        for b in batches:
-            for block in blocks(b.column("text"), lower=True):
-                before, after, _ = _neighbours(block, _lookup(known, block.hash, n_known, 0) + 2)
-                into, to = kind[before], kind[after]
-                own, first = classed[after], classed[before]
-                waiting += [after[own] * (2 * k) + into[own], before[first] * (2 * k) + k + to[first]]
-                n += len(waiting[-1]) + len(waiting[-2])
-                rest = ~own
-                if beyond:
-                    far = np.flatnonzero(after == n_known + 2)
-                    rest[far] = False
-                    word = np.full(len(after), END_HASH, dtype=np.int64)
-                    word[after != END] = block.hash.view(np.int64)
-                    yield batch(word[far], into[far], np.ones(len(far), dtype=np.int64))
-                fixed += np.bincount(to[rest] * k + into[rest], minlength=2 * k).reshape(2, k)
-                if n >= FLUSH:
-                    yield flush()
-                    waiting, n = [], 0
+            word = event // (2 * k)
+            at = np.flatnonzero(np.diff(word, prepend=-1))
+            offsets = pa.array(np.append(at, len(word)).astype(np.int32))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(hashes[word[at] - 2].view(np.int64)),
+                 pa.ListArray.from_arrays(offsets, pa.array((event - word * (2 * k)).astype(np.int16))),
+                 pa.ListArray.from_arrays(offsets, pa.array(c.astype(np.int32)))], ["h", "key", "n"])
+
+        for ids, offset, _ in _decoded(batches):
+            before, after, _ = _neighbours(offset, ids)
+            own, first = np.flatnonzero(classed[after]), np.flatnonzero(classed[before])
+            waiting += [after[own].astype(number) * (2 * k) + kind[before[own]],
+                        before[first].astype(number) * (2 * k) + k + kind[after[first]]]
+            n += len(own) + len(first)
+            if n >= FLUSH:
+                yield flush()
+                waiting, n = [], 0
         if n:
             yield flush()
-        for h, row in ((OPEN_HASH, fixed[OPEN]), (END_HASH, fixed[END])):
-            key = np.flatnonzero(row)
-            yield batch(np.full(len(key), h, dtype=np.int64), key, row[key])
 
-    return texts.mapInArrow(run, "h long, key int, n long").groupBy("h", "key").agg(F.sum("n").alias("n"))
+    return codes.mapInArrow(run, "h long, key array<short>, n array<int>")
+
+
+def beyond_contexts(near: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """Rows to add to ``contexts``: those of the classed words beyond the list, and
+    for their listed neighbours what was counted as next to an open word."""
+    at, own, to = F.when(F.col("first"), k).otherwise(0), F.col("cls"), F.col("to")
+    back = k - at  # the neighbour sees the word on its other side
 
+    def row(h: str, key: Column, n: Column) -> Column:
+        return F.struct(F.col(h).alias("h"), key.cast("short").alias("key"), n.cast("int").alias("n"))
 
-def class_table(around: DataFrame, classes: DataFrame, k: int) -> np.ndarray:
+    rows = F.when(~F.col("far") & F.col("classed"), F.array(row("h", at + to, F.col("n")), row("other", back + own, F.col("n")),
+                                                      row("other", back + OPEN, -F.col("n")))
+                  ).otherwise(F.array(row("h", at + to, F.col("n"))))
+    return _with_classes(near, classes).select(F.explode(rows).alias("_r")).select(
+        "_r.h", F.array("_r.key").alias("key"), F.array("_r.n").alias("n"))
+
+
+def class_table(codes: DataFrame, classes_by_rank: np.ndarray, near: DataFrame | None, classes: DataFrame, k: int) -> np.ndarray:
     """Class bigram counts: rows the class before, columns the class."""
-    kind = F.when(F.col("h") == END_HASH, END).otherwise(F.coalesce("cls", F.lit(OPEN)))
-    cells = (around.where(F.col("key") < k).join(classes.select("h", "cls"), "h", "left")
-             .groupBy(F.col("key").alias("a"), kind.alias("b")).agg(F.sum("n").alias("n")).toArrow())
-    out = np.zeros((k, k))
-    out[cells["a"].to_numpy(), cells["b"].to_numpy()] = cells["n"].to_numpy()
-    return out
+    shared = codes.sparkSession.sparkContext.broadcast(classes_by_rank)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = np.concatenate([[OPEN, END], np.maximum(shared.value, OPEN)]).astype(np.int32)
+        total = np.zeros(k * k, dtype=np.int64)
+        for ids, offset, _ in _decoded(batches):
+            # ``kind`` keeps the end apart, so classes may be paired in place of words
+            before, after, _ = _neighbours(offset, kind[ids])
+            total += np.bincount(before * k + after, minlength=k * k)
+        cell = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell])], ["cell", "n"])
+
+    cells = codes.mapInArrow(run, "cell long, n long")
+    if near is not None:
+        def cell(a: Column, b: Column, n: Column) -> Column:
+            return F.struct((a * k + b).cast("long").alias("cell"), n.alias("n"))
+
+        own, to, n = F.col("cls").cast("long"), F.col("to").cast("long"), F.col("n")
+        counted = F.when(F.col("far"), F.lit(OPEN)).otherwise(to)  # as the pass took the neighbour
+        moved = F.when(~F.col("first"), F.array(cell(to, own, n), cell(counted, F.lit(OPEN), -n))
+                       # two words beyond the list: corrected where the second is ``h``
+                       ).when(~F.col("far") | ~F.col("classed"), F.array(cell(own, to, n), cell(F.lit(OPEN), counted, -n)))
+        cells = cells.unionByName(_with_classes(near, classes).select(F.explode(moved).alias("_c")).select("_c.*"))
+    got = cells.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most k squared rows
+    out = np.zeros(k * k)
+    out[got["cell"].to_numpy()] = got["n"].to_numpy()
+    return out.reshape(k, k)
 
 
 def likelihood(table: np.ndarray) -> float:
@@ -314,31 +434,79 @@ def best_classes(table: np.ndarray, cls: np.ndarray, offset: np.ndarray, key: np
 
 
 def move(around: DataFrame, classes: DataFrame, table: np.ndarray) -> DataFrame:
-    """(h, c, cls, new): the class that each word moves to.  A word has at most
-    two context rows per class."""
-    shared = around.sparkSession.sparkContext.broadcast(table)
+    """(h, c, cls, new): the class that each word moves to.  A word's rows come
+    together in order of the hashes; merged they have at most two counts per class."""
+    spark = around.sparkSession
+    shared = spark.sparkContext.broadcast(table)
+    k = len(table)
+
+    def merged(rows: pa.Table) -> pa.RecordBatch:
+        h = rows["h"].to_numpy()
+        cls = rows["cls"].to_numpy(zero_copy_only=False)
+        word = np.cumsum(np.diff(h, prepend=h[:1]) != 0)
+        stated = np.flatnonzero(~np.isnan(cls.astype(float)))  # one row of ``classes`` for every word
+        key, n = (rows[c].combine_chunks() for c in ("key", "n"))
+        owner = np.repeat(word, rows["size"].to_numpy())
+        code = owner * (2 * k) + key.flatten().to_numpy(zero_copy_only=False)
+        order = np.argsort(code, kind="stable")
+        code = code[order]
+        at = np.flatnonzero(np.diff(code, prepend=-1))
+        total = np.add.reduceat(n.flatten().to_numpy(zero_copy_only=False)[order].astype(np.int64), at)
+        code, total = code[at][total != 0], total[total != 0]
+        offset = np.searchsorted(code, np.arange(word[-1] + 2) * (2 * k))
+        own = cls[stated].astype(np.int64)
+        new = best_classes(shared.value, own, offset, code % (2 * k), total)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(h[stated]), pa.array(rows["c"].to_numpy(zero_copy_only=False)[stated].astype(np.int64)),
+             pa.array(own.astype(np.int32)), pa.array(new.astype(np.int32))], ["h", "c", "cls", "new"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        n = 0
         for b in batches:
-            if b.num_rows:
-                near = b.column("around")
-                first = near.offsets.to_numpy()
-                pair = near.values
-                new = best_classes(shared.value, b.column("cls").to_numpy(), first.astype(np.int64),
-                                   pair.field("key").to_numpy(), pair.field("n").to_numpy())
-                yield pa.RecordBatch.from_arrays([b.column("h"), b.column("c"), b.column("cls"),
-                                                  pa.array(new.astype(np.int32))], ["h", "c", "cls", "new"])
-
-    rows = (around.groupBy("h").agg(F.collect_list(F.struct("key", "n")).alias("around"))
-            .join(classes, "h").select("h", "c", "cls", "around"))
+            waiting.append(b)
+            n += b.num_rows
+            if n >= MERGE_ROWS:
+                rows = pa.Table.from_batches(waiting)
+                h = rows["h"].to_numpy()
+                whole = int(np.searchsorted(h, h[-1]))  # the last word may go on
+                if whole:
+                    yield merged(rows.slice(0, whole))
+                waiting = rows.slice(whole).combine_chunks().to_batches()
+                n = 0
+        if waiting:
+            yield merged(pa.Table.from_batches(waiting))
+
+    counted = around.select("h", F.lit(None).cast("long").alias("c"), F.lit(None).cast("int").alias("cls"), "key", "n")
+    stated = classes.select("h", F.col("c").cast("long").alias("c"), F.col("cls").cast("int").alias("cls"),
+                            F.array().cast("array<short>").alias("key"), F.array().cast("array<int>").alias("n"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = (counted.unionByName(stated).withColumn("size", F.size("key"))
+            .repartition(parts, "h").sortWithinPartitions("h"))
     return rows.mapInArrow(run, "h long, c long, cls int, new int")
 
 
+class Listed:
+    """The words that tasks receive, at most KNOWN_WORDS, by rank: falling
+    counts, equal ones by hash."""
+
+    def __init__(self, h: np.ndarray, c: np.ndarray):
+        rank = np.lexsort((h, -c))
+        self.by_rank, self.counts = h[rank], c[rank]
+        order = np.argsort(self.by_rank)
+        self.hashes, self.number = self.by_rank[order], (order + 2).astype(np.int32)
+
+    def ids(self, h: np.ndarray) -> np.ndarray:
+        """rank + 2 of every hash, 0 for those not listed."""
+        at = _lookup(self.hashes, h, len(self.hashes), 0)
+        return np.append(self.number, np.int32(0))[at]
+
+
 @dataclass
 class Model:
-    hashes: np.ndarray     # sorted hashes of the listed words
-    counts: np.ndarray
-    classes: np.ndarray
+    listed: Listed
+    listed_classes: np.ndarray  # by rank, open: 0
+    beyond: DataFrame           # (h, c, cls) of the classed words beyond the list
     transition: np.ndarray  # log10 P(class | class before)
     class_size: np.ndarray  # tokens per class
     tokens: int             # N
@@ -353,29 +521,55 @@ class Model:
     def base_denominator(self) -> float:
         return self.tokens + 0.5 * (self.words + 1)
 
+    @cached_property
+    def _gathered(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        far = self.beyond.toArrow()
+        columns = (np.concatenate([self.listed.by_rank, far["h"].to_numpy().view(np.uint64)]),
+                   np.concatenate([self.listed.counts, far["c"].to_numpy()]),
+                   np.concatenate([self.listed_classes, far["cls"].to_numpy()]))
+        order = np.argsort(columns[0])
+        return tuple(x[order] for x in columns)
+
+    # For inspection only, gathered from the cluster: the listed words and all
+    # classed ones, sorted by hash.  Neither fitting nor scoring asks for them.
+    @property
+    def hashes(self) -> np.ndarray:
+        return self._gathered[0]
+
+    @property
+    def counts(self) -> np.ndarray:
+        return self._gathered[1]
+
+    @property
+    def classes(self) -> np.ndarray:
+        return self._gathered[2]
 
-def cluster(texts: DataFrame, counts: DataFrame, h: np.ndarray, c: np.ndarray,
-            within: Column) -> tuple[DataFrame, np.ndarray, bool]:
+
+def cluster(texts: DataFrame, counts: DataFrame, listed: Listed, within: Column) -> tuple[DataFrame, np.ndarray, bool]:
     """((h, c, cls) of all words to be classed, their class table, settled);
-    ``h``/``c``: the listed words in hash order, ``within``: who is listed."""
+    ``within``: who is listed."""
     spark = texts.sparkSession
     words = counts.where((F.col("h") != END_HASH) & (F.col("c") >= MIN_COUNT))
     n_words = words.count()
-    beyond = n_words > int((c >= MIN_COUNT).sum())
-    n_classes = min(classes_for(n_words), max(1, int((c >= MIN_COUNT).sum())))
+    n_classes = min(classes_for(n_words), max(1, n_words))
     k = n_classes + 2
-    seeds = np.lexsort((h, -c))[:min(SEEDS, 16 * n_classes)]
-    seeds = np.sort(seeds[c[seeds] >= MIN_COUNT])  # positions, in hash order
-    of = exchange(bigrams(texts, h[seeds]), n_classes)
-    seeded = spark.createDataFrame(pa.table({"h": pa.array(h[seeds].view(np.int64)),
+    # falling counts, equal ones by unsigned hash
+    top = words.orderBy(F.desc("c"), F.col("h") < 0, "h").limit(min(SEEDS, 16 * n_classes)).select("h").toArrow()
+    seeds = np.sort(top["h"].to_numpy().view(np.uint64))
+    of = exchange(bigrams(texts, seeds), n_classes)
+    seeded = spark.createDataFrame(pa.table({"h": pa.array(seeds.view(np.int64)),
                                              "cls": pa.array(of.astype(np.int32))}))
     classes = store(words.join(F.broadcast(seeded), "h", "left")  # at most SEEDS rows
                     .select("h", "c", F.coalesce("cls", F.lit(OPEN)).alias("cls")), "class-lm-classes")
+    codes = store(encode(texts, listed), "class-lm-codes")
+    near = None
+    if n_words > int((listed.counts >= MIN_COUNT).sum()):
+        near = store(beyond_neighbours(codes, words.where(~within), listed), "class-lm-beyond")
     tokens = max(1, int(counts.agg(F.sum("c")).first()[0] or 0))
     kept, settled = None, False
     for sweep in range(SWEEPS + 1):
-        around = store(contexts(texts, h, listed_classes(classes, h, c, within), k, beyond), "class-lm-contexts")
-        table = class_table(around, classes, k)
+        by_rank = listed_classes(classes, listed, within)
+        table = class_table(codes, by_rank, near, classes, k)
         value = likelihood(table) / tokens
         if kept and value < kept[2]:
             return kept[0], kept[1], True
@@ -383,6 +577,9 @@ def cluster(texts: DataFrame, counts: DataFrame, h: np.ndarray, c: np.ndarray,
         kept = (classes, table, value)
         if settled or sweep == SWEEPS or not n_words:
             break
+        around = contexts(codes, listed, by_rank, k)
+        if near is not None:
+            around = around.unionByName(beyond_contexts(near, classes, k))
         moved = store(move(around, classes, table), "class-lm-classes")
         if not moved.where("cls != new").count():
             return classes, table, True
@@ -390,28 +587,25 @@ def cluster(texts: DataFrame, counts: DataFrame, h: np.ndarray, c: np.ndarray,
     return kept[0], kept[1], settled or not n_words
 
 
-def listed_classes(classes: DataFrame, h: np.ndarray, c: np.ndarray, within: Column) -> np.ndarray:
-    """Classes of the listed words, -1 for those too rare to be classed."""
+def listed_classes(classes: DataFrame, listed: Listed, within: Column) -> np.ndarray:
+    """Classes of the listed words by rank, -1 for those too rare to be classed."""
     got = classes.where(within).select("h", "cls").toArrow()  # at most KNOWN_WORDS rows
-    of = np.full(len(h), -1, dtype=np.int16)
+    of = np.full(len(listed.by_rank), -1, dtype=np.int16)
     if got.num_rows:
-        of[np.searchsorted(h, got["h"].to_numpy().view(np.uint64))] = got["cls"].to_numpy()
+        of[listed.ids(got["h"].to_numpy().view(np.uint64)) - 2] = got["cls"].to_numpy()
     return of
 
 
 def fit(texts: DataFrame) -> tuple[Model, DataFrame]:
     """Model of a table with the column ``text`` (training rows only), and the
-    words that the model does not list, (h, c, cls), cls null where open."""
+    open words beyond its list, (h, c, cls), cls null."""
     counts = store(count_words(texts), "class-lm-counts")
     total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"),
                        F.sum(F.when(F.col("h") == END_HASH, F.col("c"))).alias("e")).first()
     tokens, words, ends = total["n"] or 0, total["v"], total["e"] or 0
-    listed, within = commonest(counts)
-    h = listed["h"].to_numpy().view(np.uint64)
-    c = listed["c"].to_numpy()
-    order = np.argsort(h)
-    h, c = h[order], c[order]
-    classes, table, settled = cluster(texts, counts, h, c, within)
+    got, within = commonest(counts)
+    listed = Listed(got["h"].to_numpy().view(np.uint64), got["c"].to_numpy())
+    classes, table, settled = cluster(texts, counts, listed, within)
     k = len(table)
     share = (table.sum(axis=0) + 1) / (table.sum() + k)
     transition = np.log10((table + PRIOR * share[None, :]) / (table.sum(axis=1, keepdims=True) + PRIOR))
@@ -424,22 +618,10 @@ def fit(texts: DataFrame) -> tuple[Model, DataFrame]:
     open_tokens = tokens - ends - classed_tokens
     open_words = words - (1 if ends else 0) - n_classed
     in_class[OPEN] = open_tokens
-    model = Model(h, c, np.maximum(listed_classes(classes, h, c, within), OPEN), transition, in_class, tokens, words,
-                  ends, open_tokens + 0.5 * (open_words + 1), n_classed, classed_tokens, settled)
-    rest = counts.where(~within & (F.col("h") != END_HASH))
-    return model, rest.join(classes.where(~within).select("h", "cls"), "h", "left")
-
-
-def _corrections(spark, model: Model) -> DataFrame:
-    """(ctx, cls, d): what to add, besides log10 of its count, for an unlisted
-    word of class ``cls`` that was scored as an open one; classes squared rows."""
-    k = len(model.transition)
-    size = np.log10(np.maximum(model.class_size, 1.0))
-    d = (model.transition - model.transition[:, [OPEN]] - size[None, :] + np.log10(model.open_denominator))[:, 2:]
-    ctx, cls = np.indices(d.shape)
-    return spark.createDataFrame(pa.table({"ctx": pa.array(ctx.ravel().astype(np.int16)),
-                                           "cls": pa.array((cls.ravel() + 2).astype(np.int32)),
-                                           "d": pa.array(d.ravel())}))
+    model = Model(listed, np.maximum(listed_classes(classes, listed, within), OPEN), classes.where(~within), transition,
+                  in_class, tokens, words, ends, open_tokens + 0.5 * (open_words + 1), n_classed, classed_tokens, settled)
+    rest = counts.where(~within & (F.col("h") != END_HASH) & (F.col("c") < MIN_COUNT))
+    return model, rest.select("h", "c", F.lit(None).cast("int").alias("cls"))
 
 
 def score(docs: DataFrame, model: Model, unlisted: DataFrame, text_col: str = "text") -> DataFrame:
@@ -448,53 +630,86 @@ def score(docs: DataFrame, model: Model, unlisted: DataFrame, text_col: str = "t
     added = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     names = [c for c in docs.columns if c not in added and c != text_col]
     rows = docs.select(F.struct(*names).alias("_given"), F.col(text_col).alias("_text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    arrays = (model.listed, model.listed_classes, model.transition, model.class_size, model.open_denominator,
+              model.base_denominator, model.end_count)
+    shared = docs.sparkSession.sparkContext.broadcast(arrays)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        base = np.log10(m.counts + 0.5) - np.log10(m.base_denominator)
-        emit = np.where(m.classes == OPEN, np.log10(m.counts + 0.5) - np.log10(m.open_denominator),
-                        np.log10(m.counts) - np.log10(np.maximum(m.class_size[m.classes], 1)))
-        # an unlisted word: its count is added by the join, here only the denominators
-        base = np.append(base, -np.log10(m.base_denominator))
-        emit = np.append(emit, -np.log10(m.open_denominator))
-        classes = np.append(m.classes, OPEN).astype(np.int64)
-        end_base = np.log10((m.end_count + 0.5) / m.base_denominator)
+        listed, of_listed, transition, class_size, open_denominator, base_denominator, end_count = shared.value
+        c = listed.counts
+        base = np.log10(c + 0.5) - np.log10(base_denominator)
+        emit = np.where(of_listed == OPEN, np.log10(c + 0.5) - np.log10(open_denominator),
+                        np.log10(c) - np.log10(np.maximum(class_size[of_listed], 1)))
+        # a word beyond the list: its count, class and transitions are added by the join, here only the denominators
+        base = np.concatenate([[-np.log10(base_denominator), 0.0], base])
+        emit = np.concatenate([[-np.log10(open_denominator), 0.0], emit])
+        classes = np.concatenate([[-1, END], of_listed]).astype(np.int64)
+        end_base = np.log10((end_count + 0.5) / base_denominator)
         for b in batches:
             parts = []
             for block in blocks(b.column("_text"), lower=True):
-                at = _lookup(m.hashes, block.hash, len(m.hashes), 0)
+                ids = listed.ids(block.hash)
                 n_words = np.diff(block.offset)
                 doc = np.repeat(np.arange(block.n_docs), n_words)
-                before, after, of = _neighbours(block, classes[at])
+                before, after, of = _neighbours(block.offset, classes[ids])
                 n = block.n_docs
-                missing = np.flatnonzero(at == len(m.hashes))
+                both = (before >= 0) & (after >= 0)
+                missing = np.flatnonzero(ids == 0)
+                at = missing + doc[missing]  # ends stand between the texts
                 parts.append((
                     n_words + 1,
-                    np.bincount(doc, at < len(m.hashes), n).astype(np.int64) + (m.end_count > 0),
-                    np.bincount(doc, base[at], n) + end_base,
-                    np.bincount(doc, emit[at], n) + np.bincount(of, m.transition[before, after], n),
+                    np.bincount(doc, ids > 0, n).astype(np.int64) + (end_count > 0),
+                    np.bincount(doc, base[ids], n) + end_base,
+                    np.bincount(doc, emit[ids], n)
+                    + np.bincount(of[both], transition[before[both], after[both]], n),
                     np.bincount(doc[missing], minlength=n), block.hash[missing].view(np.int64),
-                    before[missing + doc[missing]].astype(np.int16)))  # ends stand between the texts
+                    (missing - block.offset[doc[missing]]).astype(np.int32),
+                    before[at].astype(np.int16), after[at + 1].astype(np.int16)))
             if parts:
-                n_tokens, known, base_sum, score_sum, n_rest, rest, ctx = (np.concatenate(x) for x in zip(*parts))
+                n_tokens, known, base_sum, score_sum, n_rest, *rest = (np.concatenate(x) for x in zip(*parts))
                 offsets = np.concatenate([[0], np.cumsum(n_rest)]).astype(np.int32)
-                rest = pa.StructArray.from_arrays([pa.array(rest), pa.array(ctx)], ["h", "ctx"])
+                rest = pa.StructArray.from_arrays([pa.array(x) for x in rest], ["h", "pos", "before", "after"])
                 yield pa.RecordBatch.from_arrays(
                     [b.column("_given"), pa.array(n_tokens), pa.array(known), pa.array(base_sum),
                      pa.array(score_sum), pa.ListArray.from_arrays(pa.array(offsets), rest)],
                     ["_given", "n_tokens", "_known", "_base", "_score", "_rest"])
 
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per row what its words beyond the list add; -1: a neighbour that is one of them."""
+        _, _, transition, class_size, open_denominator, _, _ = shared.value
+        emit = np.log10(open_denominator) - np.log10(np.maximum(class_size, 1.0))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            found = b.column("found")
+            size = np.diff(found.offsets.to_numpy())
+            row = np.repeat(np.arange(b.num_rows), size)
+            word = found.flatten()
+            pos, before, after, cls, c = (word.field(x).to_numpy(zero_copy_only=False).astype(np.int64)
+                                          for x in ("pos", "before", "after", "cls", "c"))
+            order = np.lexsort((pos, row))
+            row, before, after, cls, c = row[order], before[order], after[order], cls[order], c[order]
+            last = np.concatenate([[OPEN], cls[:-1]])  # of a neighbour beyond the list: the word before in its row
+            half = np.log10(c + 0.5)
+            fit = np.where(cls != OPEN, np.log10(np.maximum(c, 1)) + emit[cls], half)
+            fit += transition[np.where(before < 0, last, before), cls]
+            fit += np.where(after < 0, 0.0, transition[cls, np.maximum(after, 0)])
+            n = b.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [b.column("_row"), pa.array(np.bincount(row, c > 0, n).astype(np.int64)),
+                 pa.array(np.bincount(row, half, n)), pa.array(np.bincount(row, fit, n))], ["_row", "_more", "_log", "_fit"])
+
     kind = rows.schema["_given"].dataType.simpleString()
     scanned = store(rows.mapInArrow(run, f"_given {kind}, n_tokens long, _known long, _base double, _score double, "
-                                                 "_rest array<struct<h:long,ctx:short>>")
+                                                 "_rest array<struct<h:long,pos:int,before:short,after:short>>")
                     .withColumn("_row", F.monotonically_increasing_id()), "class-lm-rows")
-    count = F.coalesce("c", F.lit(0))
+    words = unlisted.select("h", "c", "cls").unionByName(model.beyond.select("h", "c", "cls"))
     found = (scanned.select("_row", F.explode("_rest").alias("_at")).select("_row", "_at.*")
-             .join(unlisted, "h", "left")
-             .join(F.broadcast(_corrections(docs.sparkSession, model)), ["ctx", "cls"], "left")
-             .groupBy("_row").agg(F.count("c").alias("_more"), F.sum(F.log10(count + 0.5)).alias("_log"),
-                                  F.sum(F.coalesce(F.log10("c") + F.col("d"), F.log10(count + 0.5))).alias("_fit")))
+             .join(words, "h", "left")
+             .groupBy("_row").agg(F.collect_list(F.struct(
+                 "pos", "before", "after", F.coalesce("cls", F.lit(OPEN)).alias("cls"),
+                 F.coalesce("c", F.lit(0)).cast("long").alias("c"))).alias("found"))
+             .mapInArrow(add, "_row long, _more long, _log double, _fit double"))
     return scanned.join(found, "_row", "left").select(
         "_given.*", "n_tokens", (F.col("_known") + F.coalesce("_more", F.lit(0))).alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
