@@ -40,6 +40,8 @@ from velas.session import scratch_path
 SEED = 42
 RFF_DIM = 256
 FIT_THREADS = 8
+SLICE_ROWS = 50_000  # training rows of a perceptron that one task takes
+SLICES = 8           # more rows are dealt to so many tasks
 
 TREE_MODELS = ("Random Forest", "Gradient Boosting", "XGBoost")
 
@@ -84,11 +86,22 @@ def _vectors(df: DataFrame, features) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features").transform(df)
 
 
+def _sliced(train: DataFrame) -> DataFrame:
+    """The rows in one partition, or evenly in ``SLICES`` where there are more
+    than ``SLICE_ROWS``.  Every step of the fit sends the driver a whole gradient
+    per partition, empty ones included, until six or more are first added up
+    among the executors: eight end as two, so what the driver gets per step does
+    not grow with the rows or the files they lie in."""
+    if train.count() <= SLICE_ROWS:
+        return train.coalesce(1)
+    return train.repartition(SLICES, "rn").sortWithinPartitions("rn")
+
+
 def _fit_mlp(prepared: DataFrame, symbol: str, features) -> DataFrame:
     """Hold-out predictions of one symbol's multilayer perceptron."""
     rows = _vectors(prepared.where(F.col("symbol") == symbol), features)
     est = MultilayerPerceptronClassifier(layers=[len(features), 100, 50, 2], maxIter=500, seed=SEED, labelCol="label_d")
-    model = est.fit(rows.where("is_train").withColumn("label_d", F.col("label").cast("double")))
+    model = est.fit(_sliced(rows.where("is_train")).withColumn("label_d", F.col("label").cast("double")))
     return model.transform(rows.where(~F.col("is_train"))).select(
         "symbol", "rn", F.col("label").cast("double").alias("y"), F.col("prediction").alias("p"),
         F.element_at(vector_to_array("probability"), 2).alias("prob_up"))
