@@ -234,9 +234,9 @@ def test_class_model_does_not_depend_on_the_list(spark, monkeypatch):
     got = []
     for known in (1 << 19, 60, 0):
         monkeypatch.setattr(class_lm.commonest, "__defaults__", (known,))
-        monkeypatch.setattr(class_lm, "MERGE_ROWS", 1 << 14 if known else 50)  # words whose rows come in several batches
+        monkeypatch.setattr(class_lm, "BUCKET_WORDS", 4096 if known else 200)
         monkeypatch.setattr(class_lm, "FLUSH", 3_000_000 if known else 3000)
-        monkeypatch.setattr(class_lm, "TOKENS", 1 << 18 if known else 500)
+        monkeypatch.setattr(class_lm, "TOKENS", 1 << 18 if known else 5000)
         model, rest = class_lm.fit(docs.where("not held_out").select("text"))
         assert (model.beyond.count() > 0) == (known < 100)
         got.append({r.doc_id: r for r in class_lm.score(docs, model, rest).collect()})

@@ -66,7 +66,7 @@ OPEN, END = 0, 1               # the two fixed classes
 END_HASH, OPEN_HASH = -1, -2   # keys of the end token and of all open words together
 FLUSH = 3_000_000
 TOKENS = 1 << 18               # words of coded texts that a task takes at a time
-MERGE_ROWS = 1 << 13           # context rows that a task merges at a time
+BUCKET_WORDS = 4096            # classed words that a task moves at a time, about
 GAIN_CELLS = 1 << 21           # cells of a gain matrix that a task holds at a time
 
 
@@ -310,48 +310,73 @@ def exchange(pairs: np.ndarray, n_classes: int, sweeps: int = 12) -> np.ndarray:
     return of[2:]
 
 
-def contexts(codes: DataFrame, listed: Listed, classes: np.ndarray, k: int) -> DataFrame:
-    """(h, key, n), arrays: how often a listed word to be classed follows class
-    ``key`` (key < k) or precedes class ``key - k``, in several rows per word.
-    ``classes``: of the listed words by rank, -1 for those that stay open.
-    Words beyond the list count as open."""
+def contexts(codes: DataFrame, listed: Listed, classes: np.ndarray, k: int, buckets: int) -> DataFrame:
+    """(bucket, words, events): how often listed words to be classed follow
+    class ``key`` (key < k) or precede class ``key - k``, by bucket of the words'
+    hashes, in several rows: hashes as bytes, and per context the word's place
+    among them, the key and the number.  ``classes``: of the listed words by
+    rank, -1 for those that stay open.  Words beyond the list count as open."""
     shared = codes.sparkSession.sparkContext.broadcast((listed.by_rank, classes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, of = shared.value
         kind = np.concatenate([[OPEN, END], np.maximum(of, OPEN)]).astype(np.int32)
-        classed = np.concatenate([[False, False], of >= 0])
+        # words to be classed in order of their buckets; the others have no place
+        bucket = hashes.view(np.int64) % buckets
+        order = np.argsort(bucket, kind="stable")
+        order = order[of[order] >= 0]
+        bucket, hashes = bucket[order], hashes[order]
+        place = np.full(len(kind), -1, dtype=np.int32)
+        place[order + 2] = np.arange(len(order))
         number = np.int32 if len(kind) * 2 * k < 1 << 31 else np.int64
         waiting: list[np.ndarray] = []
+        sums: tuple[np.ndarray, np.ndarray] | None = None
         n = 0
 
-        def flush() -> pa.RecordBatch:
+        def added() -> tuple[np.ndarray, np.ndarray]:
             event, c = np.unique(np.concatenate(waiting), return_counts=True)
+            if sums is None:
+                return event, c
+            both, c = np.concatenate([sums[0], event]), np.concatenate([sums[1], c])
+            at = np.argsort(both, kind="stable")
+            both = both[at]
+            first = np.flatnonzero(np.diff(both, prepend=-1))
+            return both[first], np.add.reduceat(c[at], first)
+
+        def packed() -> pa.RecordBatch:
+            event, c = sums
             word = event // (2 * k)
-            at = np.flatnonzero(np.diff(word, prepend=-1))
-            offsets = pa.array(np.append(at, len(word)).astype(np.int32))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(hashes[word[at] - 2].view(np.int64)),
-                 pa.ListArray.from_arrays(offsets, pa.array((event - word * (2 * k)).astype(np.int16))),
-                 pa.ListArray.from_arrays(offsets, pa.array(c.astype(np.int32)))], ["h", "key", "n"])
+            key = event - word * (2 * k)
+            edge = np.flatnonzero(np.diff(bucket[word], prepend=-1))
+            out = []
+            for lo, hi in zip(edge, np.append(edge[1:], len(word))):
+                here, at = np.unique(word[lo:hi], return_inverse=True)
+                out.append((int(bucket[here[0]]), hashes[here].tobytes(), at.astype(np.int32).tobytes(),
+                            key[lo:hi].astype(np.int16).tobytes(), c[lo:hi].astype(np.int32).tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["bucket", "words", "place", "key", "n"])
 
         for ids, offset, _ in _decoded(batches):
             before, after, _ = _neighbours(offset, ids)
-            own, first = np.flatnonzero(classed[after]), np.flatnonzero(classed[before])
-            waiting += [after[own].astype(number) * (2 * k) + kind[before[own]],
-                        before[first].astype(number) * (2 * k) + k + kind[after[first]]]
-            n += len(own) + len(first)
+            own, first = place[after], place[before]
+            in_own, in_first = np.flatnonzero(own >= 0), np.flatnonzero(first >= 0)
+            waiting += [own[in_own].astype(number) * (2 * k) + kind[before[in_own]],
+                        first[in_first].astype(number) * (2 * k) + k + kind[after[in_first]]]
+            n += len(in_own) + len(in_first)
             if n >= FLUSH:
-                yield flush()
-                waiting, n = [], 0
+                sums, waiting, n = added(), [], 0
+                if len(sums[0]) >= FLUSH:
+                    yield packed()
+                    sums = None
         if n:
-            yield flush()
+            sums = added()
+        if sums is not None and len(sums[0]):
+            yield packed()
 
-    return codes.mapInArrow(run, "h long, key array<short>, n array<int>")
+    return codes.mapInArrow(run, "bucket long, words binary, place binary, key binary, n binary")
 
 
 def beyond_contexts(near: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """Rows to add to ``contexts``: those of the classed words beyond the list, and
+    """(h, key, n) to add to ``contexts``: those of the classed words beyond the list, and
     for their listed neighbours what was counted as next to an open word."""
     at, own, to = F.when(F.col("first"), k).otherwise(0), F.col("cls"), F.col("to")
     back = k - at  # the neighbour sees the word on its other side
@@ -362,8 +387,7 @@ def beyond_contexts(near: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     rows = F.when(~F.col("far") & F.col("classed"), F.array(row("h", at + to, F.col("n")), row("other", back + own, F.col("n")),
                                                       row("other", back + OPEN, -F.col("n")))
                   ).otherwise(F.array(row("h", at + to, F.col("n"))))
-    return _with_classes(near, classes).select(F.explode(rows).alias("_r")).select(
-        "_r.h", F.array("_r.key").alias("key"), F.array("_r.n").alias("n"))
+    return _with_classes(near, classes).select(F.explode(rows).alias("_r")).select("_r.*")
 
 
 def class_table(codes: DataFrame, classes_by_rank: np.ndarray, near: DataFrame | None, classes: DataFrame, k: int) -> np.ndarray:
@@ -433,57 +457,66 @@ def best_classes(table: np.ndarray, cls: np.ndarray, offset: np.ndarray, key: np
     return out
 
 
-def move(around: DataFrame, classes: DataFrame, table: np.ndarray) -> DataFrame:
-    """(h, c, cls, new): the class that each word moves to.  A word's rows come
-    together in order of the hashes; merged they have at most two counts per class."""
+def move(around: DataFrame, beyond: DataFrame | None, classes: DataFrame, table: np.ndarray, buckets: int) -> DataFrame:
+    """(h, c, cls, new): the class that each word moves to.  What ``contexts``
+    and ``beyond_contexts`` have of a bucket's words comes together in one task;
+    merged, a word has at most two counts per class."""
     spark = around.sparkSession
     shared = spark.sparkContext.broadcast(table)
     k = len(table)
 
-    def merged(rows: pa.Table) -> pa.RecordBatch:
-        h = rows["h"].to_numpy()
-        cls = rows["cls"].to_numpy(zero_copy_only=False)
-        word = np.cumsum(np.diff(h, prepend=h[:1]) != 0)
-        stated = np.flatnonzero(~np.isnan(cls.astype(float)))  # one row of ``classes`` for every word
-        key, n = (rows[c].combine_chunks() for c in ("key", "n"))
-        owner = np.repeat(word, rows["size"].to_numpy())
-        code = owner * (2 * k) + key.flatten().to_numpy(zero_copy_only=False)
+    def moved(rows: pa.Table) -> pa.RecordBatch:
+        """One bucket: a row of ``classes`` for every word, the rest in no order."""
+        def column(name: str, at: np.ndarray, kind) -> np.ndarray:
+            return rows[name].take(pa.array(at)).to_numpy(zero_copy_only=False).astype(kind)
+
+        stated, single = (np.flatnonzero(rows[c].is_valid().to_numpy(zero_copy_only=False)) for c in ("cls", "one"))
+        h = column("h", stated, np.int64)
+        order = np.argsort(h)
+        stated, h = stated[order], h[order]
+        word = [np.searchsorted(h, column("h", single, np.int64))]
+        key, n = [column("key1", single, np.int64)], [column("one", single, np.int64)]
+        for words, place, keys, ns in zip(*(rows[c].drop_null().to_pylist() for c in ("words", "place", "key", "n"))):
+            word.append(np.searchsorted(h, np.frombuffer(words, dtype=np.int64))[np.frombuffer(place, dtype=np.int32)])
+            key.append(np.frombuffer(keys, dtype=np.int16).astype(np.int64))
+            n.append(np.frombuffer(ns, dtype=np.int32).astype(np.int64))
+        code = np.concatenate(word) * (2 * k) + np.concatenate(key)
         order = np.argsort(code, kind="stable")
         code = code[order]
         at = np.flatnonzero(np.diff(code, prepend=-1))
-        total = np.add.reduceat(n.flatten().to_numpy(zero_copy_only=False)[order].astype(np.int64), at)
+        total = np.add.reduceat(np.concatenate(n)[order], at)
         code, total = code[at][total != 0], total[total != 0]
-        offset = np.searchsorted(code, np.arange(word[-1] + 2) * (2 * k))
-        own = cls[stated].astype(np.int64)
+        offset = np.searchsorted(code, np.arange(len(h) + 1) * (2 * k))
+        own = column("cls", stated, np.int64)
         new = best_classes(shared.value, own, offset, code % (2 * k), total)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(h[stated]), pa.array(rows["c"].to_numpy(zero_copy_only=False)[stated].astype(np.int64)),
-             pa.array(own.astype(np.int32)), pa.array(new.astype(np.int32))], ["h", "c", "cls", "new"])
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(column("c", stated, np.int64)),
+                                           pa.array(own.astype(np.int32)), pa.array(new.astype(np.int32))],
+                                          ["h", "c", "cls", "new"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
-        n = 0
+        last = None
         for b in batches:
-            waiting.append(b)
-            n += b.num_rows
-            if n >= MERGE_ROWS:
-                rows = pa.Table.from_batches(waiting)
-                h = rows["h"].to_numpy()
-                whole = int(np.searchsorted(h, h[-1]))  # the last word may go on
-                if whole:
-                    yield merged(rows.slice(0, whole))
-                waiting = rows.slice(whole).combine_chunks().to_batches()
-                n = 0
+            bucket = b.column("bucket").to_numpy()
+            edge = np.flatnonzero(np.diff(bucket, prepend=-1))
+            for lo, hi in zip(edge.tolist(), [*edge[1:].tolist(), len(bucket)]):
+                if waiting and bucket[lo] != last:
+                    yield moved(pa.Table.from_batches(waiting))
+                    waiting = []
+                last = bucket[lo]
+                waiting.append(b.slice(lo, hi - lo))
         if waiting:
-            yield merged(pa.Table.from_batches(waiting))
-
-    counted = around.select("h", F.lit(None).cast("long").alias("c"), F.lit(None).cast("int").alias("cls"), "key", "n")
-    stated = classes.select("h", F.col("c").cast("long").alias("c"), F.col("cls").cast("int").alias("cls"),
-                            F.array().cast("array<short>").alias("key"), F.array().cast("array<int>").alias("n"))
+            yield moved(pa.Table.from_batches(waiting))
+
+    bucket = F.pmod("h", F.lit(buckets)).alias("bucket")
+    rows = around.unionByName(classes.select(bucket, "h", F.col("c").cast("long").alias("c"), F.col("cls").cast("int").alias("cls")),
+                              allowMissingColumns=True)
+    singles = classes.select("h", F.lit(0).cast("short").alias("key1"), F.lit(0).alias("one")).limit(0) if beyond is None else \
+        beyond.select("h", F.col("key").alias("key1"), F.col("n").alias("one"))
+    rows = rows.unionByName(singles.select(bucket, "h", "key1", "one"), allowMissingColumns=True)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = (counted.unionByName(stated).withColumn("size", F.size("key"))
-            .repartition(parts, "h").sortWithinPartitions("h"))
-    return rows.mapInArrow(run, "h long, c long, cls int, new int")
+    return (rows.repartition(parts, "bucket").sortWithinPartitions("bucket")
+            .mapInArrow(run, "h long, c long, cls int, new int"))
 
 
 class Listed:
@@ -566,6 +599,7 @@ def cluster(texts: DataFrame, counts: DataFrame, listed: Listed, within: Column)
     if n_words > int((listed.counts >= MIN_COUNT).sum()):
         near = store(beyond_neighbours(codes, words.where(~within), listed), "class-lm-beyond")
     tokens = max(1, int(counts.agg(F.sum("c")).first()[0] or 0))
+    buckets = n_words // BUCKET_WORDS + 1
     kept, settled = None, False
     for sweep in range(SWEEPS + 1):
         by_rank = listed_classes(classes, listed, within)
@@ -577,10 +611,8 @@ def cluster(texts: DataFrame, counts: DataFrame, listed: Listed, within: Column)
         kept = (classes, table, value)
         if settled or sweep == SWEEPS or not n_words:
             break
-        around = contexts(codes, listed, by_rank, k)
-        if near is not None:
-            around = around.unionByName(beyond_contexts(near, classes, k))
-        moved = store(move(around, classes, table), "class-lm-classes")
+        moved = store(move(contexts(codes, listed, by_rank, k, buckets), None if near is None else beyond_contexts(near, classes, k),
+                           classes, table, buckets), "class-lm-classes")
         if not moved.where("cls != new").count():
             return classes, table, True
         classes = moved.select("h", "c", F.col("new").alias("cls"))
