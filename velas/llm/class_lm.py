@@ -51,6 +51,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from velas.llm.common import store
@@ -310,6 +311,22 @@ def exchange(pairs: np.ndarray, n_classes: int, sweeps: int = 12) -> np.ndarray:
     return of[2:]
 
 
+PACKED = "bucket long, words binary, place binary, key binary, n binary"
+
+
+def _packed(bucket: np.ndarray, hashes: np.ndarray, event: np.ndarray, n: np.ndarray, k: int) -> pa.RecordBatch:
+    """PACKED rows of sorted events, word * 2k + key, for words in order of their buckets."""
+    word = event // (2 * k)
+    key = event - word * (2 * k)
+    edge = np.flatnonzero(np.diff(bucket[word], prepend=-1))
+    out = []
+    for lo, hi in zip(edge, np.append(edge[1:], len(word))):
+        here, at = np.unique(word[lo:hi], return_inverse=True)
+        out.append((int(bucket[here[0]]), hashes[here].tobytes(), at.astype(np.int32).tobytes(),
+                    key[lo:hi].astype(np.int16).tobytes(), n[lo:hi].astype(np.int32).tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["bucket", "words", "place", "key", "n"])
+
+
 def contexts(codes: DataFrame, listed: Listed, classes: np.ndarray, k: int, buckets: int) -> DataFrame:
     """(bucket, words, events): how often listed words to be classed follow
     class ``key`` (key < k) or precede class ``key - k``, by bucket of the words'
@@ -343,18 +360,6 @@ def contexts(codes: DataFrame, listed: Listed, classes: np.ndarray, k: int, buck
             first = np.flatnonzero(np.diff(both, prepend=-1))
             return both[first], np.add.reduceat(c[at], first)
 
-        def packed() -> pa.RecordBatch:
-            event, c = sums
-            word = event // (2 * k)
-            key = event - word * (2 * k)
-            edge = np.flatnonzero(np.diff(bucket[word], prepend=-1))
-            out = []
-            for lo, hi in zip(edge, np.append(edge[1:], len(word))):
-                here, at = np.unique(word[lo:hi], return_inverse=True)
-                out.append((int(bucket[here[0]]), hashes[here].tobytes(), at.astype(np.int32).tobytes(),
-                            key[lo:hi].astype(np.int16).tobytes(), c[lo:hi].astype(np.int32).tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["bucket", "words", "place", "key", "n"])
-
         for ids, offset, _ in _decoded(batches):
             before, after, _ = _neighbours(offset, ids)
             own, first = place[after], place[before]
@@ -365,19 +370,20 @@ def contexts(codes: DataFrame, listed: Listed, classes: np.ndarray, k: int, buck
             if n >= FLUSH:
                 sums, waiting, n = added(), [], 0
                 if len(sums[0]) >= FLUSH:
-                    yield packed()
+                    yield _packed(bucket, hashes, *sums, k)
                     sums = None
         if n:
             sums = added()
         if sums is not None and len(sums[0]):
-            yield packed()
+            yield _packed(bucket, hashes, *sums, k)
 
-    return codes.mapInArrow(run, "bucket long, words binary, place binary, key binary, n binary")
+    return codes.mapInArrow(run, PACKED)
 
 
-def beyond_contexts(near: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """(h, key, n) to add to ``contexts``: those of the classed words beyond the list, and
-    for their listed neighbours what was counted as next to an open word."""
+def beyond_contexts(placed: DataFrame, k: int, buckets: int) -> DataFrame:
+    """PACKED rows to add to ``contexts``, from ``_with_classes``: those of the
+    classed words beyond the list, and for their listed neighbours what was
+    counted as next to an open word."""
     at, own, to = F.when(F.col("first"), k).otherwise(0), F.col("cls"), F.col("to")
     back = k - at  # the neighbour sees the word on its other side
 
@@ -387,10 +393,36 @@ def beyond_contexts(near: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     rows = F.when(~F.col("far") & F.col("classed"), F.array(row("h", at + to, F.col("n")), row("other", back + own, F.col("n")),
                                                       row("other", back + OPEN, -F.col("n")))
                   ).otherwise(F.array(row("h", at + to, F.col("n"))))
-    return _with_classes(near, classes).select(F.explode(rows).alias("_r")).select("_r.*")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        size = 0
 
+        def flush() -> pa.RecordBatch:
+            h, key, n = (pa.Table.from_batches(waiting)[c].to_numpy().astype(np.int64) for c in ("h", "key", "n"))
+            hashes, word = np.unique(h, return_inverse=True)
+            order = np.argsort(hashes % buckets, kind="stable")
+            place = np.empty(len(order), dtype=np.int64)
+            place[order] = np.arange(len(order))
+            code = place[word] * (2 * k) + key
+            at = np.argsort(code, kind="stable")
+            code, n = code[at], n[at]
+            first = np.flatnonzero(np.diff(code, prepend=-1))
+            return _packed(hashes[order] % buckets, hashes[order], code[first], np.add.reduceat(n, first), k)
 
-def class_table(codes: DataFrame, classes_by_rank: np.ndarray, near: DataFrame | None, classes: DataFrame, k: int) -> np.ndarray:
+        for b in batches:
+            if b.num_rows:
+                waiting.append(b)
+                size += b.num_rows
+                if size >= FLUSH:
+                    yield flush()
+                    waiting, size = [], 0
+        if size:
+            yield flush()
+
+    return placed.select(F.explode(rows).alias("_r")).select("_r.*").mapInArrow(run, PACKED)
+
+
+def class_table(codes: DataFrame, classes_by_rank: np.ndarray, placed: DataFrame | None, k: int) -> np.ndarray:
     """Class bigram counts: rows the class before, columns the class."""
     shared = codes.sparkSession.sparkContext.broadcast(classes_by_rank)
 
@@ -405,7 +437,7 @@ def class_table(codes: DataFrame, classes_by_rank: np.ndarray, near: DataFrame |
         yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell])], ["cell", "n"])
 
     cells = codes.mapInArrow(run, "cell long, n long")
-    if near is not None:
+    if placed is not None:
         def cell(a: Column, b: Column, n: Column) -> Column:
             return F.struct((a * k + b).cast("long").alias("cell"), n.alias("n"))
 
@@ -414,7 +446,7 @@ def class_table(codes: DataFrame, classes_by_rank: np.ndarray, near: DataFrame |
         moved = F.when(~F.col("first"), F.array(cell(to, own, n), cell(counted, F.lit(OPEN), -n))
                        # two words beyond the list: corrected where the second is ``h``
                        ).when(~F.col("far") | ~F.col("classed"), F.array(cell(own, to, n), cell(F.lit(OPEN), counted, -n)))
-        cells = cells.unionByName(_with_classes(near, classes).select(F.explode(moved).alias("_c")).select("_c.*"))
+        cells = cells.unionByName(placed.select(F.explode(moved).alias("_c")).select("_c.*"))
     got = cells.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most k squared rows
     out = np.zeros(k * k)
     out[got["cell"].to_numpy()] = got["n"].to_numpy()
@@ -457,10 +489,10 @@ def best_classes(table: np.ndarray, cls: np.ndarray, offset: np.ndarray, key: np
     return out
 
 
-def move(around: DataFrame, beyond: DataFrame | None, classes: DataFrame, table: np.ndarray, buckets: int) -> DataFrame:
-    """(h, c, cls, new): the class that each word moves to.  What ``contexts``
-    and ``beyond_contexts`` have of a bucket's words comes together in one task;
-    merged, a word has at most two counts per class."""
+def move(around: DataFrame, classes: DataFrame, table: np.ndarray, buckets: int) -> DataFrame:
+    """(h, c, cls, new): the class that each word moves to.  The contexts
+    (PACKED) of a bucket's words come together in one task; merged, a word has at
+    most two counts per class."""
     spark = around.sparkSession
     shared = spark.sparkContext.broadcast(table)
     k = len(table)
@@ -470,12 +502,11 @@ def move(around: DataFrame, beyond: DataFrame | None, classes: DataFrame, table:
         def column(name: str, at: np.ndarray, kind) -> np.ndarray:
             return rows[name].take(pa.array(at)).to_numpy(zero_copy_only=False).astype(kind)
 
-        stated, single = (np.flatnonzero(rows[c].is_valid().to_numpy(zero_copy_only=False)) for c in ("cls", "one"))
+        stated = np.flatnonzero(rows["cls"].is_valid().to_numpy(zero_copy_only=False))
         h = column("h", stated, np.int64)
         order = np.argsort(h)
         stated, h = stated[order], h[order]
-        word = [np.searchsorted(h, column("h", single, np.int64))]
-        key, n = [column("key1", single, np.int64)], [column("one", single, np.int64)]
+        word, key, n = [], [], []
         for words, place, keys, ns in zip(*(rows[c].drop_null().to_pylist() for c in ("words", "place", "key", "n"))):
             word.append(np.searchsorted(h, np.frombuffer(words, dtype=np.int64))[np.frombuffer(place, dtype=np.int32)])
             key.append(np.frombuffer(keys, dtype=np.int16).astype(np.int64))
@@ -511,9 +542,6 @@ def move(around: DataFrame, beyond: DataFrame | None, classes: DataFrame, table:
     bucket = F.pmod("h", F.lit(buckets)).alias("bucket")
     rows = around.unionByName(classes.select(bucket, "h", F.col("c").cast("long").alias("c"), F.col("cls").cast("int").alias("cls")),
                               allowMissingColumns=True)
-    singles = classes.select("h", F.lit(0).cast("short").alias("key1"), F.lit(0).alias("one")).limit(0) if beyond is None else \
-        beyond.select("h", F.col("key").alias("key1"), F.col("n").alias("one"))
-    rows = rows.unionByName(singles.select(bucket, "h", "key1", "one"), allowMissingColumns=True)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return (rows.repartition(parts, "bucket").sortWithinPartitions("bucket")
             .mapInArrow(run, "h long, c long, cls int, new int"))
@@ -595,28 +623,38 @@ def cluster(texts: DataFrame, counts: DataFrame, listed: Listed, within: Column)
     classes = store(words.join(F.broadcast(seeded), "h", "left")  # at most SEEDS rows
                     .select("h", "c", F.coalesce("cls", F.lit(OPEN)).alias("cls")), "class-lm-classes")
     codes = store(encode(texts, listed), "class-lm-codes")
-    near = None
+    near = placed = None
     if n_words > int((listed.counts >= MIN_COUNT).sum()):
         near = store(beyond_neighbours(codes, words.where(~within), listed), "class-lm-beyond")
     tokens = max(1, int(counts.agg(F.sum("c")).first()[0] or 0))
     buckets = n_words // BUCKET_WORDS + 1
     kept, settled = None, False
-    for sweep in range(SWEEPS + 1):
-        by_rank = listed_classes(classes, listed, within)
-        table = class_table(codes, by_rank, near, classes, k)
-        value = likelihood(table) / tokens
-        if kept and value < kept[2]:
-            return kept[0], kept[1], True
-        settled = bool(kept) and value - kept[2] < LEAST_RISE
-        kept = (classes, table, value)
-        if settled or sweep == SWEEPS or not n_words:
-            break
-        moved = store(move(contexts(codes, listed, by_rank, k, buckets), None if near is None else beyond_contexts(near, classes, k),
-                           classes, table, buckets), "class-lm-classes")
-        if not moved.where("cls != new").count():
-            return classes, table, True
-        classes = moved.select("h", "c", F.col("new").alias("cls"))
-    return kept[0], kept[1], settled or not n_words
+    try:
+        for sweep in range(SWEEPS + 1):
+            by_rank = listed_classes(classes, listed, within)
+            if near is not None:
+                if placed is not None:
+                    placed.unpersist()
+                placed = _with_classes(near, classes).persist(StorageLevel.DISK_ONLY)
+            table = class_table(codes, by_rank, placed, k)
+            value = likelihood(table) / tokens
+            if kept and value < kept[2]:
+                return kept[0], kept[1], True
+            settled = bool(kept) and value - kept[2] < LEAST_RISE
+            kept = (classes, table, value)
+            if settled or sweep == SWEEPS or not n_words:
+                break
+            around = contexts(codes, listed, by_rank, k, buckets)
+            if placed is not None:
+                around = around.unionByName(beyond_contexts(placed, k, buckets))
+            moved = store(move(around, classes, table, buckets), "class-lm-classes")
+            if not moved.where("cls != new").count():
+                return classes, table, True
+            classes = moved.select("h", "c", F.col("new").alias("cls"))
+        return kept[0], kept[1], settled or not n_words
+    finally:
+        if placed is not None:
+            placed.unpersist()
 
 
 def listed_classes(classes: DataFrame, listed: Listed, within: Column) -> np.ndarray:
