@@ -248,6 +248,47 @@ def test_class_model_does_not_depend_on_the_list(spark, monkeypatch):
             assert other[d].score == pytest.approx(r.score, abs=1e-6)
 
 
+def test_class_model_gathers_a_row_per_word_beyond_the_list(spark, docs_of, monkeypatch):
+    """Around the words beyond the list: a row per word, pairs only where two of them meet; gone after the fit."""
+    from velas.llm import common
+    monkeypatch.setattr(class_lm.commonest, "__defaults__", (2,))
+    texts = ["the a x y the", "x y a", "x", "rare x rare2 the", ""] * 5
+    docs = docs_of([*enumerate(texts)])
+    counts = class_lm.count_words(docs.select("text"))
+    got, within = class_lm.commonest(counts)
+    listed = class_lm.Listed(got["h"].to_numpy().view(np.uint64), got["c"].to_numpy())
+    seen = {}
+    codes = class_lm.encode(docs.select("text"), listed)
+    words = counts.where((F.col("h") != class_lm.END_HASH) & (F.col("c") >= 10) & ~within)
+    near, pairs = class_lm.beyond_neighbours(codes, words, listed)
+    hashes = {w: int(np.concatenate([b.hash for b in class_lm.blocks(pa.array([w]), lower=True)])[0])
+              for w in ("the", "a", "x", "y", "rare", "rare2")}
+    number = {w: int(listed.ids(np.array([h], dtype=np.uint64))[0]) for w, h in hashes.items()}
+    beyond = {w for t in texts for w in t.split() if not number[w] and not w.startswith("rare")}
+    assert 0 < len(beyond) < 4
+    for t in texts:
+        line = [*t.split()]
+        for i, w in enumerate(line):
+            if w in beyond:
+                at = seen.setdefault(w, ([], [], Counter()))
+                at[0].append(number[line[i - 1]] if i else class_lm.END)
+                at[1].append(number[line[i + 1]] if i + 1 < len(line) else class_lm.END)
+                if i + 1 < len(line) and line[i + 1] in beyond:
+                    at[2][hashes[line[i + 1]]] += 1
+    rows = near.collect()
+    assert len(rows) == len(beyond)
+    assert {r.h % (1 << 64): (sorted(r.before), sorted(r.after)) for r in rows} == {
+        hashes[w]: (sorted(b), sorted(a)) for w, (b, a, _) in seen.items()}
+    assert {(r.h % (1 << 64), r.next % (1 << 64)): r.n for r in pairs.collect()} == {
+        (hashes[w], o): n for w, (_, _, follow) in seen.items() for o, n in follow.items()}
+
+    before = set(common._stored)
+    model, _ = class_lm.fit(docs.select("text"))
+    assert model.beyond.count() > 0
+    left = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in set(common._stored) - before}
+    assert left == {"class-lm-counts", "class-lm-classes"}
+
+
 def test_best_classes_is_the_largest_gain_in_likelihood(monkeypatch):
     """Against the likelihood of the changed table, for words whose neighbour is always the end (no crossing)."""
     rng = np.random.default_rng(2)

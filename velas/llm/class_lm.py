@@ -28,10 +28,10 @@ them: counts of all words, and the classes around every word to be classed.
 Scale: the arrays that tasks receive are bounded: the words with the highest
 counts, at most ``KNOWN_WORDS``, and the class table.  What lies beyond that
 list reaches the same classes by joins, so the list decides where a word is
-looked up and never what comes out.  In fitting, the neighbours of the classed
-words beyond it are gathered once as a table; every sweep joins it with the
-classes and corrects the counts of the pass over the texts, which takes these
-words for open.  In scoring, the hashes beyond it stay in the row, and a join
+looked up and never what comes out.  In fitting, the words around the classed
+words beyond it are gathered once, a row per word; every sweep joins it with the
+words' classes and corrects the counts of the pass over the texts, which takes
+these words for open.  Where two of them meet, a table of such pairs does the same.  In scoring, the hashes beyond it stay in the row, and a join
 with the table of all words, which never leaves the cluster, gives their counts
 and classes, as the word itself and as the word before.  Words are told apart
 by 64-bit hashes.  Texts are cut into words once for fitting; sweeps read the
@@ -51,10 +51,10 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
-from velas.llm.common import store
+from velas.llm.common import discard, store
+from velas.llm.spelling import bit_table
 from velas.llm.text_tokens import blocks
 
 MIN_COUNT = 5
@@ -67,6 +67,7 @@ OPEN, END = 0, 1               # the two fixed classes
 END_HASH, OPEN_HASH = -1, -2   # keys of the end token and of all open words together
 FLUSH = 3_000_000
 TOKENS = 1 << 18               # words of coded texts that a task takes at a time
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26  # of the bit table of words beyond the list, at most 8 MB
 BUCKET_WORDS = 4096            # classed words that a task moves at a time, about
 GAIN_CELLS = 1 << 21           # cells of a gain matrix that a task holds at a time
 
@@ -218,39 +219,68 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np
             lo = hi
 
 
-def beyond_neighbours(codes: DataFrame, words: DataFrame, listed: Listed) -> DataFrame:
-    """(h, first, other, far, n): how often the word ``h`` of ``words``, beyond the
-    list, stands before (``first``) or after the word ``other``, itself beyond
-    the list if ``far``; END_HASH is the end of a text."""
-    shared = codes.sparkSession.sparkContext.broadcast(listed)
+def beyond_neighbours(codes: DataFrame, words: DataFrame, listed: Listed) -> tuple[DataFrame, DataFrame]:
+    """Where the words ``words``, all beyond the list, stand: (h, before, after),
+    the numbers of the words around every occurrence, beyond the list counting as
+    open, and (h, next, n): how often ``h`` is followed by another of ``words``.
+    A bit table of bounded size keeps the rest out of the shuffle; what it lets
+    through wrongly goes in the joins."""
+    size = words.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (32 * size).bit_length()))
+    shared = codes.sparkSession.sparkContext.broadcast(bit_table(words.select(F.col("h").alias("key")), bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = np.concatenate([[0, 0], shared.value.by_rank.view(np.int64)])
-        hashes[END] = END_HASH
+        table = shared.value
         for ids, offset, far in _decoded(batches):
             before, after, _ = _neighbours(offset, ids)
-            word = hashes[after]
-            word[after == 0] = far
-            prev = np.concatenate([[END_HASH], word[:-1]])
-            own, first = np.flatnonzero(after == 0), np.flatnonzero(before == 0)
+            h = far.view(np.uint64)
+            place = (h >> np.uint64(3)) & np.uint64(bits - 1)
+            held = (table[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+            at = np.flatnonzero(after == 0)[held]
+            word = far[held]
+            # an end stands between two texts, so what follows at once is of the same text
+            follows = np.append(np.diff(at) == 1, False)[:len(at)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([word[own], prev[first]])),
-                 pa.array(np.repeat([False, True], [len(own), len(first)])),
-                 pa.array(np.concatenate([prev[own], word[first]])),
-                 pa.array(np.concatenate([before[own] == 0, after[first] == 0]))], ["h", "first", "other", "far"])
+                [pa.array(word), pa.array(before[at]), pa.array(after[at + 1]),
+                 pa.array(np.append(word[1:], 0)[:len(at)], mask=~follows)], ["h", "before", "after", "next"])
+
+    rows = store(codes.where(F.length("far") > 0).mapInArrow(run, "h long, before int, after int, next long"),
+                 "class-lm-beyond")
+    own = words.select("h")
+    near = store(rows.select("h", "before", "after").join(own, "h", "left_semi")
+                 .groupBy("h").agg(F.collect_list("before").alias("before"), F.collect_list("after").alias("after")),
+                 "class-lm-beyond")
+    pairs = store(rows.where("next is not null").groupBy("h", "next").agg(F.count(F.lit(1)).alias("n"))
+                  .join(own, "h", "left_semi").join(own.withColumnRenamed("h", "next"), "next", "left_semi")
+                  .select("h", "next", "n"), "class-lm-beyond")
+    discard(rows)
+    return near, pairs
 
-    rows = codes.where(F.length("far") > 0).mapInArrow(run, "h long, first boolean, other long, far boolean")
-    return (rows.join(words.select("h"), "h", "left_semi")
-            .groupBy("h", "first", "other", "far").agg(F.count(F.lit(1)).alias("n")))
 
+@dataclass
+class Placed:
+    """What ``beyond_neighbours`` gives, with the classes of a sweep."""
+
+    near: DataFrame   # (h, before, after, cls)
+    pairs: DataFrame  # (h, next, n, cls, to): the classes of h and next
+
+    @classmethod
+    def of(cls, near: DataFrame, pairs: DataFrame, classes: DataFrame) -> Placed:
+        own = classes.select("h", "cls")
+        return cls(store(near.join(own, "h"), "class-lm-placed"),
+                   store(pairs.join(own, "h").join(own.toDF("next", "to"), "next"), "class-lm-placed"))
 
-def _with_classes(near: DataFrame, classes: DataFrame) -> DataFrame:
-    """``beyond_neighbours`` with the classes of both words, and whether the
-    other is one to be classed (in no class as yet it counts as open)."""
-    own, other = classes.select("h", "cls"), classes.select(F.col("h").alias("other"), F.col("cls").alias("_o"))
-    kind = F.when(F.col("other") == END_HASH, END).otherwise(F.coalesce("_o", F.lit(OPEN)))
-    return near.join(own, "h").join(other, "other", "left").select(
-        "*", kind.alias("to"), F.col("_o").isNotNull().alias("classed")).drop("_o")
+    def discard(self) -> None:
+        discard(self.near)
+        discard(self.pairs)
+
+
+def _around(b: pa.RecordBatch) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
+    """(whether after, row, number) of the words before and after those of ``Placed.near``."""
+    for side in ("before", "after"):
+        column = b.column(side)
+        size = np.diff(column.offsets.to_numpy())
+        yield side == "after", np.repeat(np.arange(b.num_rows), size), column.flatten().to_numpy()
 
 
 def _g(x: np.ndarray) -> np.ndarray:
@@ -311,7 +341,19 @@ def exchange(pairs: np.ndarray, n_classes: int, sweeps: int = 12) -> np.ndarray:
     return of[2:]
 
 
-PACKED = "bucket long, words binary, place binary, key binary, n binary"
+PACKED = "bucket long, words binary, size binary, key binary, n binary"
+
+
+def _planes(x: np.ndarray, kind) -> bytes:
+    """The numbers' lowest bytes, then their next ones: the high ones, mostly
+    zero, are then compressed to nothing."""
+    x = np.ascontiguousarray(x, dtype=kind)
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def _from_planes(raw: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
 def _packed(bucket: np.ndarray, hashes: np.ndarray, event: np.ndarray, n: np.ndarray, k: int) -> pa.RecordBatch:
@@ -321,17 +363,17 @@ def _packed(bucket: np.ndarray, hashes: np.ndarray, event: np.ndarray, n: np.nda
     edge = np.flatnonzero(np.diff(bucket[word], prepend=-1))
     out = []
     for lo, hi in zip(edge, np.append(edge[1:], len(word))):
-        here, at = np.unique(word[lo:hi], return_inverse=True)
-        out.append((int(bucket[here[0]]), hashes[here].tobytes(), at.astype(np.int32).tobytes(),
-                    key[lo:hi].astype(np.int16).tobytes(), n[lo:hi].astype(np.int32).tobytes()))
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["bucket", "words", "place", "key", "n"])
+        here, size = np.unique(word[lo:hi], return_counts=True)
+        out.append((int(bucket[here[0]]), hashes[here].tobytes(), _planes(size, "<u2"), _planes(key[lo:hi], "<i2"),
+                    _planes(n[lo:hi], "<i4")))
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["bucket", "words", "size", "key", "n"])
 
 
 def contexts(codes: DataFrame, listed: Listed, classes: np.ndarray, k: int, buckets: int) -> DataFrame:
     """(bucket, words, events): how often listed words to be classed follow
     class ``key`` (key < k) or precede class ``key - k``, by bucket of the words'
-    hashes, in several rows: hashes as bytes, and per context the word's place
-    among them, the key and the number.  ``classes``: of the listed words by
+    hashes, in several rows: hashes as bytes, the number of contexts of each, and
+    per context the key and the number.  ``classes``: of the listed words by
     rank, -1 for those that stay open.  Words beyond the list count as open."""
     shared = codes.sparkSession.sparkContext.broadcast((listed.by_rank, classes))
 
@@ -380,25 +422,17 @@ def contexts(codes: DataFrame, listed: Listed, classes: np.ndarray, k: int, buck
     return codes.mapInArrow(run, PACKED)
 
 
-def beyond_contexts(placed: DataFrame, k: int, buckets: int) -> DataFrame:
-    """PACKED rows to add to ``contexts``, from ``_with_classes``: those of the
-    classed words beyond the list, and for their listed neighbours what was
-    counted as next to an open word."""
-    at, own, to = F.when(F.col("first"), k).otherwise(0), F.col("cls"), F.col("to")
-    back = k - at  # the neighbour sees the word on its other side
-
-    def row(h: str, key: Column, n: Column) -> Column:
-        return F.struct(F.col(h).alias("h"), key.cast("short").alias("key"), n.cast("int").alias("n"))
+def beyond_contexts(placed: Placed, listed: Listed, classes: np.ndarray, k: int, buckets: int) -> DataFrame:
+    """PACKED rows to add to ``contexts``: those of the classed words beyond the
+    list, and for their neighbours what was counted as next to an open word."""
+    shared = placed.near.sparkSession.sparkContext.broadcast((listed.by_rank, classes))
 
-    rows = F.when(~F.col("far") & F.col("classed"), F.array(row("h", at + to, F.col("n")), row("other", back + own, F.col("n")),
-                                                      row("other", back + OPEN, -F.col("n")))
-                  ).otherwise(F.array(row("h", at + to, F.col("n"))))
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[pa.RecordBatch] = []
+    def packed(events: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            h, key, n = (pa.Table.from_batches(waiting)[c].to_numpy().astype(np.int64) for c in ("h", "key", "n"))
+            h, key, n = (np.concatenate(x) for x in zip(*waiting))
             hashes, word = np.unique(h, return_inverse=True)
             order = np.argsort(hashes % buckets, kind="stable")
             place = np.empty(len(order), dtype=np.int64)
@@ -409,20 +443,50 @@ def beyond_contexts(placed: DataFrame, k: int, buckets: int) -> DataFrame:
             first = np.flatnonzero(np.diff(code, prepend=-1))
             return _packed(hashes[order] % buckets, hashes[order], code[first], np.add.reduceat(n, first), k)
 
-        for b in batches:
-            if b.num_rows:
-                waiting.append(b)
-                size += b.num_rows
+        for e in events:
+            if len(e[0]):
+                waiting.append(e)
+                size += len(e[0])
                 if size >= FLUSH:
                     yield flush()
                     waiting, size = [], 0
         if size:
             yield flush()
 
-    return placed.select(F.explode(rows).alias("_r")).select("_r.*").mapInArrow(run, PACKED)
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_rank, of = shared.value
+        hashes = np.concatenate([[0, 0], by_rank.view(np.int64)])
+        given = np.concatenate([[-1, -1], of]).astype(np.int64)
+        kind = np.concatenate([[OPEN, END], np.maximum(of, OPEN)]).astype(np.int64)
+
+        def events() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            for b in batches:
+                h, cls = (b.column(c).to_numpy().astype(np.int64) for c in ("h", "cls"))
+                for is_after, row, number in _around(b):
+                    yield h[row], kind[number] + k * is_after, np.ones(len(row), dtype=np.int64)
+                    # a listed neighbour sees the word on its other side
+                    at = np.flatnonzero(given[number] >= 0)
+                    other, back = hashes[number[at]], k * (not is_after)
+                    yield other, cls[row[at]] + back, np.ones(len(at), dtype=np.int64)
+                    yield other, np.full(len(at), OPEN + back), np.full(len(at), -1)
+
+        return packed(events())
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def events() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            for b in batches:
+                h, after, n, cls, to = (b.column(c).to_numpy().astype(np.int64) for c in ("h", "next", "n", "cls", "to"))
+                yield h, to + k, n
+                yield h, np.full(len(h), OPEN + k), -n
+                yield after, cls, n
+                yield after, np.full(len(h), OPEN), -n
+
+        return packed(events())
 
+    return placed.near.mapInArrow(near, PACKED).unionByName(placed.pairs.mapInArrow(pairs, PACKED))
 
-def class_table(codes: DataFrame, classes_by_rank: np.ndarray, placed: DataFrame | None, k: int) -> np.ndarray:
+
+def class_table(codes: DataFrame, classes_by_rank: np.ndarray, placed: Placed | None, k: int) -> np.ndarray:
     """Class bigram counts: rows the class before, columns the class."""
     shared = codes.sparkSession.sparkContext.broadcast(classes_by_rank)
 
@@ -436,17 +500,29 @@ def class_table(codes: DataFrame, classes_by_rank: np.ndarray, placed: DataFrame
         cell = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell])], ["cell", "n"])
 
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """From open words, as the pass took them, to their classes."""
+        kind = np.concatenate([[OPEN, END], np.maximum(shared.value, OPEN)]).astype(np.int64)
+        total = np.zeros(k * k, dtype=np.int64)
+        for b in batches:
+            cls = b.column("cls").to_numpy().astype(np.int64)
+            for is_after, row, number in _around(b):
+                own, to = cls[row], kind[number]
+                for c, sign in ((own, 1), (np.full(len(own), OPEN), -1)):
+                    total += sign * np.bincount(c * k + to if is_after else to * k + c, minlength=k * k)
+        cell = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell])], ["cell", "n"])
+
     cells = codes.mapInArrow(run, "cell long, n long")
     if placed is not None:
         def cell(a: Column, b: Column, n: Column) -> Column:
             return F.struct((a * k + b).cast("long").alias("cell"), n.alias("n"))
 
-        own, to, n = F.col("cls").cast("long"), F.col("to").cast("long"), F.col("n")
-        counted = F.when(F.col("far"), F.lit(OPEN)).otherwise(to)  # as the pass took the neighbour
-        moved = F.when(~F.col("first"), F.array(cell(to, own, n), cell(counted, F.lit(OPEN), -n))
-                       # two words beyond the list: corrected where the second is ``h``
-                       ).when(~F.col("far") | ~F.col("classed"), F.array(cell(own, to, n), cell(F.lit(OPEN), counted, -n)))
-        cells = cells.unionByName(placed.select(F.explode(moved).alias("_c")).select("_c.*"))
+        cls, to, n, open_ = F.col("cls").cast("long"), F.col("to").cast("long"), F.col("n"), F.lit(OPEN)
+        # each of the two was taken for open where the other was corrected
+        moved = F.array(cell(cls, to, n), cell(cls, open_, -n), cell(open_, to, -n), cell(open_, open_, n))
+        cells = (cells.unionByName(placed.near.mapInArrow(near, "cell long, n long"))
+                 .unionByName(placed.pairs.select(F.explode(moved).alias("_c")).select("_c.*")))
     got = cells.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most k squared rows
     out = np.zeros(k * k)
     out[got["cell"].to_numpy()] = got["n"].to_numpy()
@@ -507,10 +583,10 @@ def move(around: DataFrame, classes: DataFrame, table: np.ndarray, buckets: int)
         order = np.argsort(h)
         stated, h = stated[order], h[order]
         word, key, n = [], [], []
-        for words, place, keys, ns in zip(*(rows[c].drop_null().to_pylist() for c in ("words", "place", "key", "n"))):
-            word.append(np.searchsorted(h, np.frombuffer(words, dtype=np.int64))[np.frombuffer(place, dtype=np.int32)])
-            key.append(np.frombuffer(keys, dtype=np.int16).astype(np.int64))
-            n.append(np.frombuffer(ns, dtype=np.int32).astype(np.int64))
+        for words, size, keys, ns in zip(*(rows[c].drop_null().to_pylist() for c in ("words", "size", "key", "n"))):
+            word.append(np.repeat(np.searchsorted(h, np.frombuffer(words, dtype=np.int64)), _from_planes(size, "<u2")))
+            key.append(_from_planes(keys, "<i2").astype(np.int64))
+            n.append(_from_planes(ns, "<i4").astype(np.int64))
         code = np.concatenate(word) * (2 * k) + np.concatenate(key)
         order = np.argsort(code, kind="stable")
         code = code[order]
@@ -623,19 +699,19 @@ def cluster(texts: DataFrame, counts: DataFrame, listed: Listed, within: Column)
     classes = store(words.join(F.broadcast(seeded), "h", "left")  # at most SEEDS rows
                     .select("h", "c", F.coalesce("cls", F.lit(OPEN)).alias("cls")), "class-lm-classes")
     codes = store(encode(texts, listed), "class-lm-codes")
-    near = placed = None
+    beyond = placed = None
     if n_words > int((listed.counts >= MIN_COUNT).sum()):
-        near = store(beyond_neighbours(codes, words.where(~within), listed), "class-lm-beyond")
+        beyond = beyond_neighbours(codes, words.where(~within), listed)
     tokens = max(1, int(counts.agg(F.sum("c")).first()[0] or 0))
     buckets = n_words // BUCKET_WORDS + 1
     kept, settled = None, False
     try:
         for sweep in range(SWEEPS + 1):
             by_rank = listed_classes(classes, listed, within)
-            if near is not None:
+            if beyond is not None:
                 if placed is not None:
-                    placed.unpersist()
-                placed = _with_classes(near, classes).persist(StorageLevel.DISK_ONLY)
+                    placed.discard()
+                placed = Placed.of(*beyond, classes.where(~within))
             table = class_table(codes, by_rank, placed, k)
             value = likelihood(table) / tokens
             if kept and value < kept[2]:
@@ -646,15 +722,18 @@ def cluster(texts: DataFrame, counts: DataFrame, listed: Listed, within: Column)
                 break
             around = contexts(codes, listed, by_rank, k, buckets)
             if placed is not None:
-                around = around.unionByName(beyond_contexts(placed, k, buckets))
+                around = around.unionByName(beyond_contexts(placed, listed, by_rank, k, buckets))
             moved = store(move(around, classes, table, buckets), "class-lm-classes")
             if not moved.where("cls != new").count():
                 return classes, table, True
             classes = moved.select("h", "c", F.col("new").alias("cls"))
         return kept[0], kept[1], settled or not n_words
     finally:
+        # nothing reads these again
         if placed is not None:
-            placed.unpersist()
+            placed.discard()
+        for stored in (codes, *(beyond or ())):
+            discard(stored)
 
 
 def listed_classes(classes: DataFrame, listed: Listed, within: Column) -> np.ndarray:

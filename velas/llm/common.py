@@ -34,6 +34,16 @@ def discard_stored(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the tables from ``store`` that ``df`` reads, once nothing else will."""
+    spark = df.sparkSession
+    read = {f.rsplit("/", 2)[1] for f in df.inputFiles()}
+    for path in [p for p in _stored if p.rsplit("/", 1)[1] in read]:
+        _stored.remove(path)
+        gone = spark._jvm.org.apache.hadoop.fs.Path(path)
+        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the cluster's shared checkpoint folder and
     read it back: later uses neither recompute it nor depend on executors that
